@@ -1,14 +1,5 @@
-"""Registered queries over the library's operators, with their SQL."""
+"""Registered queries over the library's operators, with their SQL, and whole jobs over mesh files."""
 
-from __future__ import annotations
+from spectramesh.plans.queries import ORACLES, QUERIES, flagship
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
