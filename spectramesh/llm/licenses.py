@@ -85,7 +85,7 @@ class Scanner:
 
     def hashed(self, text: str) -> np.ndarray:
         w, memo = _words(text.lower()), self.memo
-        if len(memo) > 500_000:
+        if len(memo) > 200_000:
             memo.clear()
         for x in set(w).difference(memo):
             memo[x] = xxhash.xxh64_intdigest(x, 7)
@@ -118,12 +118,15 @@ class Scanner:
                     part = s[k * step : (k + 2) * step]
                     got = np.minimum(np.searchsorted(mine, part), len(mine) - 1)
                     got = np.where(mine[got] == part, got, -1)
-                    for a in np.unique(np.maximum(0, np.flatnonzero(got >= 0)[:, None] - np.arange(size))):
-                        inside = got[a : a + size]
+                    hit = np.flatnonzero(got >= 0) + k * step
+                    owner = np.searchsorted(starts, hit, side="right") - 1
+                    # Stretches lie within one text and within the window.
+                    low = np.maximum(starts[owner], k * step)
+                    for a, doc in np.unique(np.stack([np.maximum(hit[:, None] - np.arange(size), low[:, None]), np.broadcast_to(owner[:, None], (len(hit), size))], axis=-1).reshape(-1, 2), axis=0).tolist():
+                        inside = got[a - k * step : min(a + size, int(starts[doc + 1])) - k * step]
                         share = len(np.unique(inside[inside >= 0])) / len(mine)
-                        doc = int(np.searchsorted(starts, k * step + a, side="right")) - 1
                         if share >= self.similarity and share > best.get((doc, i), ("", 0.0))[1]:
-                            best[doc, i] = (name, share, int(k * step + a - starts[doc]))
+                            best[doc, i] = (name, share, a - int(starts[doc]))
         return [(doc, name, i, share, first) for (doc, i), (name, share, first) in sorted(best.items())]
 
 
