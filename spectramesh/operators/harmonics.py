@@ -40,8 +40,9 @@ def reconstruct(basis: DataFrame, coeffs: DataFrame, lmax: int, mesh: str = "mes
 def residuals(basis: DataFrame, coeffs: DataFrame, points: DataFrame, lmax: int, mesh: str = "mesh_id") -> DataFrame:
     """mesh, l, vid, sq: squared distance of each point from its reconstruction with l^2 modes, l = 0..lmax.
 
-    Each degree's share is computed once and summed up over degrees. points: mesh, vid, channel, value.
+    Each degree's share is computed once and summed up over degrees. points: mesh, vid, channel, value; those without a basis are left out.
     """
+    points = points.join(basis.select(mesh, "vid"), [mesh, "vid"], "left_semi")
     used = coeffs.where(F.col("mode") < lmax * lmax)
     share = modes(basis, mesh).where(F.col("mode") < lmax * lmax).join(used, [mesh, "mode"]).groupBy(mesh, "vid", "channel", (degree("mode") + 1).alias("l")).agg(F.sum(F.col("p") * F.col("c")).alias("_s"))
     start = points.select(mesh, "vid", "channel", F.lit(0).alias("l"), F.lit(0.0).alias("_s"))

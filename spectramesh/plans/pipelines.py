@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectramesh.kernels import eigen
 from spectramesh.operators import harmonics, scaling
+from spectramesh.session import ship
 from spectramesh.sources import meshes, tables
 
 
@@ -15,9 +16,10 @@ def decompose(spark: SparkSession, path: str | list[str], lmax: int = 15, times:
 
     status has a row per file that failed, with its error. Meshes without fields are fine.
     """
+    ship(spark)
     files = meshes.read_meshes(spark, path)
-    aligned = eigen.align(scaling.center_and_scale(meshes.vertices(files), divisor=divisor))
-    found = eigen.eigenbasis(aligned.drop("rotation"), meshes.faces(files), lmax)
+    aligned = tables.settle(eigen.align(scaling.center_and_scale(meshes.vertices(files), divisor=divisor)))
+    found = tables.settle(eigen.eigenbasis(aligned.drop("rotation"), meshes.faces(files), lmax))
     basis = found.where("error is null").drop("error")
     points = aligned.select("mesh_id", "vid", F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in "xyz"))))
     fields = meshes.vertex_fields(files).withColumnRenamed("field", "channel")

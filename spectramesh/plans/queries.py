@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spectramesh.functions import columns as C
 from spectramesh.kernels import eigen, harmonic_fit, sphere
 from spectramesh.operators import clustering, embedding, geometry, harmonics, information, quality, reporting, scaling
+from spectramesh.session import ship
 from spectramesh.sources import tables
 from spectramesh.streaming import ingest
 
@@ -37,6 +38,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,17 @@ def read_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_arrays(spark, path).select("path", F.posexplode("values").alias("pos", "_v")).select("path", "pos", F.col("_v").cast("int").alias("label"))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The table as it is now, in the folder of spark.checkpoint.dir (where that is unset, as in tests, a new local one).
+
+    Where eigenvalues coincide, their vectors depend on the last bit of the input; whatever is made from a basis must see the same one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectramesh-"))
+    return df.checkpoint()
+
+
 def save(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
