@@ -14,23 +14,25 @@ counts. Equal texts get equal scores. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import bounded_sample, ship
+from spectramesh.llm.common import bounded_sample, chunks, materialize, ship
 from spectramesh.llm.langid import held_out
 
-#: The sample's bound: labelled documents whose terms training reads.
-SAMPLE_ROWS = 12_000
-HASH, FACTORS = 1 << 20, 4
-MEMO_WORDS = 500_000
+#: The sample's bounds: labelled documents whose terms training reads, and terms that may have a weight.
+SAMPLE_ROWS, TERMS = 12_000, 1 << 14
+HASH, FACTORS, STEPS = 1 << 20, 4, 80_000
+MEMO_WORDS = 200_000
 words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -88,28 +90,17 @@ def logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Hashes whose likelihood ratio between labels is beyond what the best of as many random terms would have."""
-    ids, at = np.unique(np.concatenate(docs), return_inverse=True)
-    y = np.repeat(labels, [len(d) for d in docs])
-    n, k = np.bincount(at, minlength=len(ids)).astype(float), np.bincount(at, y, minlength=len(ids))
-    total, hits = float(len(docs)), float(labels.sum())
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, rate: float = 0.1, decay: float = 2e-3, seed: int = 1) -> FactorizationMachine:
+    """docs: hashed terms of each document; labels: 0 or 1. AdaGrad, a document at a time, shuffled by a fixed seed.
 
-    def part(x: np.ndarray, of: np.ndarray | float) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300) / np.maximum(of, 1e-300))
-
-    g = part(k, n * hits / total) + part(n - k, n * (1 - hits / total)) + part(hits - k, (total - n) * hits / total) + part(total - n - hits + k, (total - n) * (1 - hits / total))
-    return ids[g >= np.log(max(2, len(ids)))]
-
-
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.1, decay: float = 2e-3, seed: int = 1) -> FactorizationMachine:
-    """docs: hashed terms of each document; labels: 0 or 1. AdaGrad, a document at a time, shuffled by a fixed seed."""
+    Without a number of epochs: six, or as many as it takes for STEPS steps.
+    """
     labels = np.asarray(labels, float)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.01
     model = FactorizationMachine(bias=float(np.log(share / (1 - share))))
     if not len(docs) or labels.min() == labels.max():
         return model
-    model.ids = ids = telling(docs, labels)
+    model.ids = ids = np.unique(np.concatenate(docs))
     rows = []
     for d in docs:
         at = np.searchsorted(ids, d)
@@ -119,7 +110,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: flo
     w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), FACTORS))
     gw, gv, gb = np.full(len(ids), 1e-8), np.full((len(ids), FACTORS), 1e-8), 1e-8
     bias = model.bias
-    for _ in range(epochs):
+    for _ in range(epochs or max(6, -(-STEPS // len(rows)))):
         for i in rng.permutation(len(rows)):
             at, y = rows[i], labels[i]
             vi = v[at]
@@ -141,22 +132,50 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: flo
     return model
 
 
+def telling(rows: DataFrame) -> DataFrame:
+    """h: the terms whose likelihood ratio between labels is beyond what the best of as many random terms would have.
+
+    rows: y, ids. At most TERMS, those with the largest ratio.
+    """
+    total, hits = rows.select(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    seen = rows.select("y", F.explode("ids").alias("h")).groupBy("h").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("k"))
+
+    def part(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+
+    p, n, k, t, c = hits / max(1, total), F.col("n"), F.col("k"), F.lit(float(total)), F.lit(float(hits))
+    ratio = part(k, n * p) + part(n - k, n * (1 - p)) + part(c - k, (t - n) * p) + part(t - n - c + k, (t - n) * (1 - p))
+    ranked = materialize(seen.select("h", ratio.alias("g")), "terms")
+    return ranked.where(F.col("g") >= math.log(max(2, ranked.count()))).orderBy(F.desc("g"), "h").limit(TERMS).select("h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    """Train on a bounded sample of the labelled rows whose crc32(key) mod 5 isn't 0."""
+    """Train on a bounded sample of the labelled rows whose crc32(key) mod 5 isn't 0.
+
+    The sample's terms are counted in the executors; the driver gets the telling ones and, for each document, which of them it has.
+    """
     ship(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key, 5, 0)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     some = bounded_sample(rows, "k", sample_rows)
     # At most twice sample_rows keys and labels are sent to the scan of the texts.
-    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(some), "k").select("k", "text", "y")
+    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(some), "k").select("k", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "text")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[int]] = {}
-        for p in parts:
-            ids = [term_ids(t, memo) for t in p["text"]]
-            yield pd.DataFrame({"k": p["k"], "y": p["y"], "ids": [x.astype(np.int32) for x in ids]})
+        for b in chunks(batches):
+            ids = [term_ids(t, memo).astype(np.int32) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["k", "y", "ids"])
+
+    found = materialize(joined.mapInArrow(run, "k bigint, y int, ids array<int>"), "sample")
+    chosen = np.sort(np.array([r.h for r in telling(found).collect()], np.int64))
+
+    def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.intersect1d(x, chosen).astype(np.int32) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["k", "y", "ids"])
 
-    found = joined.mapInPandas(run, "k bigint, y int, ids array<int>").toPandas().sort_values("k", kind="stable")
-    return train([np.asarray(x, np.int64) for x in found["ids"]], (found["y"].to_numpy() > 0).astype(int) if len(found) else np.zeros(0))
+    sample = found.mapInArrow(narrow, "k bigint, y int, ids array<int>").toPandas().sort_values("k", kind="stable")
+    return train([np.asarray(x, np.int64) for x in sample["ids"]], sample["y"].to_numpy())
 
 
 def scorer(df: DataFrame, model: FactorizationMachine):
