@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from spectramesh.llm.common import bucket, chunks, get_bytes, materialize, new_path, put_bytes, range_bounds, ship
 
 MAGIC = b"SMTK0001"
-#: Distinct chunks of text whose ids a worker remembers. It bounds memory (about 120 MB); past it ids are computed anew.
-MEMO_WORDS = 500_000
+#: Distinct words whose ids a worker remembers between chunks (about 100 MB); past it those that came up once are forgotten.
+MEMO_WORDS = 400_000
 #: Ids in one file: 64 MB at two bytes each. It bounds what a writer or reader holds.
 FILE_TOKENS = 4 << 20
 KEYS_PER_BIT_LEVELS = 24
@@ -56,60 +56,65 @@ class Encoder:
         splits = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed"]
         self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 1
         if self.by_word:
-            self.piece = regex.compile(splits[0]["pattern"]["Regex"])
-            self.odd = regex.compile("[^\\x00-\\xff]|<\\|")
+            self.pieces = regex.compile(splits[0]["pattern"]["Regex"]).findall
             self.last = np.zeros(self.size, bool)
             self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.hot: set[str] = set()
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, text: str) -> bool:
+        """Whether a text can be cut at blanks: Latin-1 and no special token."""
+        try:
+            return text.isascii() and "<|" not in text or bool(text.encode("latin-1")) and "<|" not in text
+        except UnicodeEncodeError:
+            return False
+
     def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo = {"": b""}
-        if len(self.parts) > MEMO_WORDS:
-            self.parts = {}
-        cut, parts = [self.piece.findall(w) for w in words], self.parts
-        new = list({p for c in cut for p in c if p not in parts})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.last[ids]) + 1
+        """Put words into the memo: each as its pre-tokens, which are encoded many at a time."""
+        memo, need, compound = self.memo, set(), []
+        for w in words:
+            if w.isalpha():
+                need.add(w)
+            else:
+                parts = (w[:-1], w[-1]) if w[-1] in ",." and w[:-1].isalpha() else self.pieces(w)
+                compound.append((w, parts))
+                need.update(parts)
+        new = list(need.difference(memo))
+        for at in range(0, len(new), 512):
+            some = new[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
             if len(ends) != len(some):
-                parts.update(zip(some, self.direct(some), strict=True))
+                memo.update(zip(some, self.direct(some), strict=True))
                 continue
-            raw, width, begin = ids.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(some, (ends * width).tolist(), strict=True):
-                parts[p] = raw[begin:end]
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(some, ends.tolist(), strict=True):
+                memo[p] = raw[begin:end]
                 begin = end
-        memo = self.memo
-        for w, c in zip(words, cut, strict=True):
-            memo[w] = parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])
+        for w, parts in compound:
+            memo[w] = b"".join([memo[p] for p in parts])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of self.dtype."""
         if not self.by_word:
             return self.direct(texts)
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
+        words = [t.replace("\n", " ").lower().split(" ") if self._plain(t) else None for t in texts]
+        odd = [i for i, w in enumerate(words) if w is None]
+        distinct = set().union(*(w for w in words if w is not None))
+        if len(self.memo) > MEMO_WORDS:  # keep what came up again since the last time, if that helps
+            self.memo = {"": b""} | ({w: self.memo[w] for w in self.hot} if len(self.hot) < MEMO_WORDS // 2 else {})
+            self.hot = set()
+        missing = distinct.difference(self.memo)
+        self.hot |= distinct - missing
+        self._learn(list(missing))
+        get = self.memo.__getitem__
+        out = [b"".join(map(get, w)) if w is not None else b"" for w in words]
         if odd:
             for i, ids in zip(odd, self.direct([texts[i] for i in odd]), strict=True):
                 out[i] = ids
-        skip, words, new = set(odd), {}, set()
-        for i, t in enumerate(texts):
-            if i not in skip:
-                words[i] = t.replace("\n", " ").lower().split(" ")
-                new.update(words[i])
-        if missing := [w for w in new if w not in self.memo]:
-            self._learn(missing)
-        for i, w in words.items():
-            try:
-                out[i] = b"".join(map(self.memo.__getitem__, w))
-            except KeyError:  # the memo was emptied for this chunk's words
-                self._learn([x for x in set(w) if x not in self.memo])
-                out[i] = b"".join(map(self.memo.__getitem__, w))
         return out
 
 
@@ -228,7 +233,9 @@ class KeyIndex:
         at = self._slot(keys)
         ok = at >= 0
         ok[ok] = self.prints[at[ok]] == (_mix(keys[ok], 97) >> np.uint64(32)).astype(np.uint32)
-        return np.where(ok, self.slots[np.where(ok, at, 0)] if len(self.slots) else -1, -1).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        out[ok] = self.slots[at[ok]]
+        return out
 
 
 # ---- files ----------------------------------------------------------------------------------------------------------
