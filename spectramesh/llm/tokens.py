@@ -241,8 +241,8 @@ class KeyIndex:
 # ---- files ----------------------------------------------------------------------------------------------------------
 
 
-def file_bytes(keys: np.ndarray, lengths: np.ndarray, payload: bytes, dtype: np.dtype) -> bytes:
-    """keys ascending; repeated ones are kept in the payload, and the index leads to the first."""
+def file_bytes(keys: np.ndarray, lengths: np.ndarray, payload: bytes, dtype: np.dtype, null_keys: bool = False) -> bytes:
+    """keys ascending; repeated ones are kept in the payload, and the index leads to the first. null_keys: zeros that stand for null."""
     distinct, first = np.unique(keys, return_index=True)
     index = KeyIndex.build(distinct)
     sections = {
@@ -254,7 +254,7 @@ def file_bytes(keys: np.ndarray, lengths: np.ndarray, payload: bytes, dtype: np.
     for k, kind, raw in blobs:
         layout[k] = {"at": at, "dtype": kind, "bytes": len(raw)}
         at += -(-len(raw) // 8) * 8
-    head = json.dumps({"sections": layout, "sizes": index.sizes, "documents": len(keys)}).encode()
+    head = json.dumps({"sections": layout, "sizes": index.sizes, "documents": len(keys), "null_keys": null_keys}).encode()
     head += b" " * (-(len(MAGIC) + 4 + len(head)) % 8)
     return b"".join([MAGIC, np.array([len(head)], "<u4").tobytes(), head, *(raw + bytes(-len(raw) % 8) for _, _, raw in blobs)])
 
@@ -267,6 +267,7 @@ class TokenFile:
             raise ValueError("not a token file")
         n = int(np.frombuffer(data, "<u4", 1, 8)[0])
         head, base = json.loads(data[12 : 12 + n]), 12 + n
+        self.null_keys = head["null_keys"]
         part = {k: np.frombuffer(data, np.dtype(x["dtype"]), x["bytes"] // np.dtype(x["dtype"]).itemsize, base + x["at"]) for k, x in head["sections"].items()}
         self.keys, self.starts, self.first, self.payload = part["keys"], part["starts"], part["first"], part["payload"]
         self.index = KeyIndex(part["bits"], head["sizes"], part["ranks"], part["rest"], part["prints"], part["slots"])
@@ -274,7 +275,7 @@ class TokenFile:
     def get(self, key: int) -> np.ndarray | None:
         """Ids of the document with this key (the first, where it repeats); None: there is none."""
         at = int(self.index.find(np.array([key]))[0])
-        if at < 0:
+        if at < 0 or self.null_keys:
             return None
         i = int(self.first[at])
         return self.payload[self.starts[i] : self.starts[i + 1]]
@@ -290,9 +291,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
     """
     spark = docs.sparkSession
     ship(spark)
-    rows, size, nulls = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count_if(F.col(key).isNull())).first()
-    if nulls:
-        raise ValueError(f"{nulls} documents have no {key}")
+    rows, size = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     parts = max(1, min(rows, -(-int(size) // (6 * file_tokens)), 100_000)) if rows else 1
     parts = max(parts, min(rows, spark.sparkContext.defaultParallelism * 4)) if rows else 1
     bounds = range_bounds(docs, key, parts)
@@ -308,14 +307,15 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
             nonlocal keys, raw, held
             if keys:
                 path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tok"
-                put_bytes(path, file_bytes(np.array(keys, np.int64), np.array([len(x) // dtype.itemsize for x in raw]), b"".join(raw), dtype))
+                named = np.array([k or 0 for k in keys], np.int64)
+                put_bytes(path, file_bytes(named, np.array([len(x) // dtype.itemsize for x in raw]), b"".join(raw), dtype, keys[0] is None))
                 made.append((path, shard, len(made), keys[0], keys[-1], len(keys), held))
             keys, raw, held = [], [], 0
 
         for b in batches:
             dtype = dtype or encoder(tokenizer).dtype
             for s, k, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard or held and held + n > file_tokens:
+                if s != shard or held and held + n > file_tokens or keys and (keys[-1] is None) != (k is None):
                     close()
                     shard = s
                 keys.append(k)
@@ -323,7 +323,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
                 held += n
         close()
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], ["path", "shard", "seq", "first_key", "last_key", "documents", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), *[pa.int64()] * 6), strict=True)], ["path", "shard", "seq", "first_key", "last_key", "documents", "tokens"])
 
     # Each shard holds about as many rows; with the sort, a writer streams and holds one file at most.
     sent = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key")
@@ -352,7 +352,8 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 at = f.first[f.index.find(f.keys)].astype(np.int64) + again
                 starts, ends = f.starts[at], f.starts[at + 1]
                 crc = [zlib.crc32(f.payload[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(f.keys), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                names = pa.nulls(len(f.keys), pa.int64()) if f.null_keys else pa.array(f.keys)
+                yield pa.RecordBatch.from_arrays([names, pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, min(manifest.count(), 4096))
     return manifest.select("path", "start").repartition(n).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -76,8 +76,10 @@ def test_repeated_keys_and_empty_table(spark, docs):
     assert sorted((r.start, r.n_tokens) for r in got) == [(0, 4), (4, 4)]
     _, manifest = tokens.write_files(docs.limit(0), FILE, END_ID)
     assert tokens.read_files(manifest).count() == 0
-    with pytest.raises(ValueError):
-        tokens.write_files(spark.createDataFrame([(None, "a", "", 0)], SCHEMA), FILE, END_ID)
+    nobody = spark.createDataFrame([(None, "Hello, world", "", 0), (None, None, "", 0)], SCHEMA)
+    _, manifest = tokens.write_files(docs.unionByName(nobody), FILE, END_ID)
+    got = tokens.read_files(manifest).collect()
+    assert sorted(r.n_tokens for r in got if r.doc_id is None) == [1, 4] and next(r.start for r in got if r.doc_id == 0) == 5
 
 
 def test_packing(spark, docs, expected):
