@@ -646,7 +646,7 @@ def augmented_lagrangian(spark, d):
     return rounded(objective.join(value, "mesh_id").join(geometry.constraint_maxima(a, n), "mesh_id"), 5)
 
 
-@query(f"WITH {MASS} SELECT mesh_id, round(sum(m), 5) AS area, 0.0 AS orthogonality, 0.0 AS first FROM share GROUP BY mesh_id")
+@query(f"WITH {MASS} SELECT mesh_id, round(sum(m), 5) AS area, 0.0::DOUBLE AS orthogonality, 0.0::DOUBLE AS first FROM share GROUP BY mesh_id")
 def eigen_invariants(spark, d):
     """Total mass, largest deviation of the modes' mass products from the identity, lowest eigenvalue."""
     b = eigen.eigenbasis(*grids(spark, d), lmax=4).where("error is null")
@@ -657,7 +657,7 @@ def eigen_invariants(spark, d):
     return rounded(area.join(worst, "mesh_id"), 5)
 
 
-@query(f"WITH {GRID} SELECT mesh_id, count(*) AS n, 0.0 AS x, 0.0 AS y, 0.0 AS z, round(var_pop(x) + var_pop(y) + var_pop(z), 6) AS spread FROM vert GROUP BY 1")
+@query(f"WITH {GRID} SELECT mesh_id, count(*) AS n, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, round(var_pop(x) + var_pop(y) + var_pop(z), 6) AS spread FROM vert GROUP BY 1")
 def align_invariants(spark, d):
     a = eigen.align(grids(spark, d)[0])
     return rounded(a.groupBy("mesh_id").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz"), (F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("spread")))
