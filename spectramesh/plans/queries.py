@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spectramesh.functions import columns as C
 from spectramesh.kernels import eigen, harmonic_fit, sphere
-from spectramesh.operators import clustering, embedding, geometry, harmonics, information, quality, reporting, scaling
+from spectramesh.operators import clustering, descriptors, embedding, geometry, harmonics, information, quality, reporting, scaling
 from spectramesh.session import ship
 from spectramesh.sources import tables
 from spectramesh.streaming import ingest
@@ -472,6 +472,39 @@ def append_centers(spark, d):
     return rounded(both.select("kind", "id", F.get("x", 0).alias("first")))
 
 
+# Words of the vocabulary: the signatures' mean vectors of the first three labels, after scaling.
+BOF = HKS + """, sc AS (SELECT t_index, avg(h) AS mean, stddev_pop(h) AS std FROM hks GROUP BY 1), sx AS (SELECT mesh_id, vid, t_index, (h - mean) / std AS x FROM hks JOIN sc USING (t_index)),
+word AS (SELECT mesh_id AS k, t_index, avg(x) AS v FROM sx WHERE mesh_id < 3 GROUP BY ALL), wd AS (SELECT sx.mesh_id, sx.vid, k, sqrt(sum((x - v) ** 2)) AS d FROM sx JOIN word USING (t_index) GROUP BY ALL),
+ws AS (SELECT avg(d) AS sigma FROM (SELECT min(d) AS d FROM wd GROUP BY mesh_id, vid)), wc AS (SELECT mesh_id, vid, k, exp(-d * d / (2 * sigma * sigma)) AS e FROM wd, ws)"""
+
+
+def _vocabulary(spark, d):
+    from spectramesh.operators.scaling import fit_array_scaler, scale_array
+
+    b = basis(spark, d)
+    h = descriptors.signatures(b, TIMES)
+    scaler = fit_array_scaler(h, "h")
+    x = scale_array(h, scaler, "h", "x")
+    rows = x.where("mesh_id < 3").select(F.col("mesh_id").alias("cluster"), F.posexplode("x").alias("m", "v")).groupBy("cluster", "m").agg(F.avg("v").alias("v"))
+    words = rows.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda s: s["v"]).alias("center"))
+    return b, descriptors.vertex_codes(b, TIMES, scaler, words, clustering.bandwidth(x, words))
+
+
+@query(f"WITH {BOF} SELECT mesh_id, vid, list(round(e, 6) ORDER BY k) AS code FROM wc GROUP BY mesh_id, vid")
+def bof_codes(spark, d):
+    return rounded(_vocabulary(spark, d)[1])
+
+
+@query(f"WITH {BOF}, bc AS (SELECT mesh_id, k, m, l, sum(c * e) AS c FROM wc JOIN modes ON label = mesh_id AND vec_id = vid GROUP BY ALL), ar AS (SELECT label AS mesh_id, count(*)::DOUBLE AS area FROM emb GROUP BY 1) SELECT mesh_id, 'word-' || k AS channel, l, round(sqrt(sum(c * c)) / any_value(area), 6) AS amplitude FROM bc JOIN ar USING (mesh_id) GROUP BY mesh_id, k, l")
+def bof_spectrum(spark, d):
+    return rounded(descriptors.code_spectrum(*_vocabulary(spark, d), LMAX))
+
+
+@query()
+def bof_vocabulary(spark, d):
+    return descriptors.fit_vocabulary(basis(spark, d), TIMES, 4)[0]
+
+
 @query()
 def kmeans_vocabulary(spark, d):
     return clustering.kmeans(vectors(spark, d), 6)
@@ -733,6 +766,13 @@ def pca_projection(spark, d):
     return rounded(y.select("id", F.aggregate("y", F.lit(0.0), lambda s, a: s + a * a).alias("length")), 5)
 
 
+@query("SELECT k::INT AS pc, 1.0::DOUBLE AS length FROM range(3) r(k)")
+def pca_loadings(spark, d):
+    """Squared lengths of the first three components' loadings."""
+    rows = embedding.loadings(embedding.principal_components(vectors(spark, d), 3))
+    return rounded(rows.groupBy("pc").agg(F.sum(F.col("loading") * F.col("loading")).alias("length")))
+
+
 @query()
 def tsne_rows(spark, d):
     v = vectors(spark, d).where("label < 2").select(F.col("vec_id").alias("id"), "x")
