@@ -271,10 +271,10 @@ def unweighted_length(spark, d):
     return rounded(harmonics.squared_length(coefficients(spark, d), "vec_id", weighted=False))
 
 
-@query(f"WITH {MODES} SELECT a.label, a.vec_id AS channel_a, b.vec_id AS channel_b, round(sum(a.c * b.c / (2 * a.l + 1)), 6) + 0.0 AS \"inner\" FROM modes a JOIN modes b USING (label, m) WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 1 GROUP BY ALL")
+@query(f"WITH {MODES} SELECT a.label, a.vec_id AS channel_a, b.vec_id AS channel_b, round(sum(a.c * b.c / (2 * a.l + 1)), 6) + 0.0 AS \"inner\" FROM modes a JOIN modes b USING (label, m) GROUP BY ALL")
 def inner_product(spark, d):
     long = vectors(spark, d).select("label", F.col("vec_id").alias("channel"), F.posexplode("x").alias("mode", "c"))
-    return rounded(harmonics.inner_product(long.where("channel % 10 = 0"), long.where("channel % 10 = 1"), "label"))
+    return rounded(harmonics.inner_product(long, long, "label"))
 
 
 HKS = MODES + ", ts AS (SELECT * FROM (VALUES (0, 0.01), (1, 0.02), (2, 0.1), (3, 1.0)) v(t_index, t)), hks AS (SELECT label AS mesh_id, vec_id AS vid, t_index, t::DOUBLE AS t, sum(exp(-lam * t) * c * c) AS h FROM modes, ts GROUP BY ALL)"
@@ -451,12 +451,14 @@ def decode_weighted(spark, d):
     return rounded(clustering.decode(e.select("vec_id", "code"), c, "weighted").select("vec_id", "x"))
 
 
-@query(f"""WITH {CODES}, k AS (SELECT vec_id, list(e ORDER BY cluster) AS code FROM code GROUP BY 1), b AS (SELECT a.vec_id, arg_min(s.vec_id, (list_distance(a.code, s.code), s.vec_id)) AS s FROM k a, k s WHERE a.vec_id % 2 = 1 AND s.vec_id % 2 = 0 GROUP BY 1)
-SELECT b.vec_id, list_transform(x, lambda v: round(v, 6) + 0.0) AS x FROM b JOIN emb ON emb.vec_id = b.s""")
+@query(f"""WITH {CODES}, k AS (SELECT vec_id, list(e ORDER BY cluster) AS code FROM code GROUP BY 1), ck AS (SELECT a.cluster AS id, list(exp(-(list_distance(a.center, b.center) ** 2) / (2 * sigma * sigma)) ORDER BY b.cluster) AS code FROM cen a, cen b, sig GROUP BY 1),
+b AS (SELECT ck.id, arg_min(s.vec_id, (list_distance(ck.code, s.code), s.vec_id)) AS s FROM ck, k s GROUP BY 1) SELECT id, list_transform(x, lambda v: round(v, 6) + 0.0) AS x FROM b JOIN emb ON emb.vec_id = b.s""")
 def decode_sample(spark, d):
+    """The vector whose code is nearest to that of each centre."""
     e, c = _codes(spark, d)
-    asked, samples = e.where("vec_id % 2 = 1").select("vec_id", "code"), e.where("vec_id % 2 = 0").select("vec_id", "code", "x")
-    return rounded(clustering.decode(asked, c, "nearest_sample", samples=samples, sample_key="vec_id").select("vec_id", "x"))
+    sigma = clustering.bandwidth(vectors(spark, d), centers(spark, d))
+    asked = clustering.encode(c.select(F.col("cluster").alias("id"), F.col("center").alias("x")), centers(spark, d), sigma).select("id", "code")
+    return rounded(clustering.decode(asked, c, "nearest_sample", samples=e.select("vec_id", "code", "x"), sample_key="vec_id").select("id", "x"))
 
 
 @query()
@@ -472,9 +474,9 @@ def append_centers(spark, d):
     return rounded(both.select("kind", "id", F.get("x", 0).alias("first")))
 
 
-# Words of the vocabulary: the signatures' mean vectors of the first three labels, after scaling.
+# Words of the vocabulary: the scaled signatures' mean vectors of the labels.
 BOF = HKS + """, sc AS (SELECT t_index, avg(h) AS mean, stddev_pop(h) AS std FROM hks GROUP BY 1), sx AS (SELECT mesh_id, vid, t_index, (h - mean) / std AS x FROM hks JOIN sc USING (t_index)),
-word AS (SELECT mesh_id AS k, t_index, avg(x) AS v FROM sx WHERE mesh_id < 3 GROUP BY ALL), wd AS (SELECT sx.mesh_id, sx.vid, k, sqrt(sum((x - v) ** 2)) AS d FROM sx JOIN word USING (t_index) GROUP BY ALL),
+word AS (SELECT mesh_id AS k, t_index, avg(x) AS v FROM sx GROUP BY ALL), wd AS (SELECT sx.mesh_id, sx.vid, k, sqrt(sum((x - v) ** 2)) AS d FROM sx JOIN word USING (t_index) GROUP BY ALL),
 ws AS (SELECT avg(d) AS sigma FROM (SELECT min(d) AS d FROM wd GROUP BY mesh_id, vid)), wc AS (SELECT mesh_id, vid, k, exp(-d * d / (2 * sigma * sigma)) AS e FROM wd, ws)"""
 
 
@@ -485,7 +487,7 @@ def _vocabulary(spark, d):
     h = descriptors.signatures(b, TIMES)
     scaler = fit_array_scaler(h, "h")
     x = scale_array(h, scaler, "h", "x")
-    rows = x.where("mesh_id < 3").select(F.col("mesh_id").alias("cluster"), F.posexplode("x").alias("m", "v")).groupBy("cluster", "m").agg(F.avg("v").alias("v"))
+    rows = x.select(F.col("mesh_id").alias("cluster"), F.posexplode("x").alias("m", "v")).groupBy("cluster", "m").agg(F.avg("v").alias("v"))
     words = rows.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda s: s["v"]).alias("center"))
     return b, descriptors.vertex_codes(b, TIMES, scaler, words, clustering.bandwidth(x, words))
 
@@ -775,13 +777,13 @@ def pca_loadings(spark, d):
 
 @query()
 def tsne_rows(spark, d):
-    v = vectors(spark, d).where("label < 2").select(F.col("vec_id").alias("id"), "x")
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "x")
     return embedding.reduce_dimensions(v, centers(spark, d), "tsne").select("kind", "id", "y")
 
 
 @query()
 def mds_rows(spark, d):
-    v = vectors(spark, d).where("label < 2").select(F.col("vec_id").alias("id"), "x")
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "x")
     return embedding.reduce_dimensions(v, centers(spark, d), "mds").select("kind", "id", "y")
 
 
