@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -22,11 +24,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Rows of an Arrow batch. Documents of some kilobytes then make batches of some megabytes, in the JVM and in Python.
+BATCH_ROWS = 1000
+#: Settings of Python workers by which they give memory back that a task has used.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver's copy of it is visible to them."""
+    """Let Python workers find this package where the driver's copy of it is visible to them, and bound their memory."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end; workers live on for other tasks."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -87,6 +109,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CH
                 begin, size = i, 0
             size += int(n)
         yield batch.slice(begin)
+    give_back()
 
 
 def put_bytes(path: str, data: bytes) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectramesh.llm.common import bounded_sample, crc_mod, ship
+from spectramesh.llm.common import bounded_sample, crc_mod, give_back, ship
 
 #: The sample's bound: labelled documents that training reads, and the bytes that it reads of each (evenly spaced stretches).
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 2000
@@ -72,7 +72,7 @@ class LanguageModel:
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def logits(self, texts: list[str], most: int = 1 << 20) -> np.ndarray:
+    def logits(self, texts: list[str], most: int = 1 << 18) -> np.ndarray:
         """Mean of the subwords' rows, plus bias; texts are joined into stretches of about `most` bytes."""
         out = np.zeros((len(texts), len(self.langs)))
         data, begin = [_lower(t) for t in texts], 0
@@ -187,6 +187,7 @@ def predictor(df: DataFrame, model: LanguageModel):
         m = sent.value
         for s in parts:
             yield m.predict(s.tolist())
+        give_back()
 
     return predict
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import chunks, materialize, ship, small, without
+from spectramesh.llm.common import chunks, give_back, materialize, ship, small, without
 from spectramesh.llm.components import components
 
 RADIUS, BLOCKS, FAN, HOT = 3, 4, 16, 200_000
@@ -217,7 +217,7 @@ def _mixed(words: list[bytes], memo: dict[bytes, int], n: int) -> np.ndarray:
     """Distinct hashes of the runs of n words (of the whole sequence, if shorter)."""
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 500_000:
+    if len(memo) > 200_000:
         memo.clear()
     for w in set(words):
         if w not in memo:
@@ -304,6 +304,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+        give_back()
 
     marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, keys array<bigint>"), "sketches")
     prints = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import bounded_sample, chunks, materialize, ship
+from spectramesh.llm.common import bounded_sample, chunks, give_back, materialize, ship
 from spectramesh.llm.langid import held_out
 
 #: The sample's bounds: labelled documents whose terms training reads, and terms that may have a weight.
@@ -188,6 +188,7 @@ def scorer(df: DataFrame, model: FactorizationMachine):
         one = sent.value.scorer()
         for s in parts:
             yield pd.Series([one(t) for t in s], dtype=float)
+        give_back()
 
     return score
 
