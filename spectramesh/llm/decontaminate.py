@@ -8,7 +8,7 @@ the substituted words are; the tests prove it by trying all. Items of five to se
 items are no passage.
 
 The documents' side is one scan: long texts are cut into overlapping blocks, windows become rows inside the scan's stage, the
-seeds of the benchmark are broadcast while they are fewer than `BROADCAST_ROWS` (else the planner joins by shuffle), and hits
+seeds of the benchmark are broadcast while they are fewer than `SEEDS` (else the planner joins by shuffle), and hits
 are verified in place, so that no text is shuffled.
 
 Null and empty texts hold no passage and are none. Equal documents each get their rows. Rows with a null key are judged too and
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import BROADCAST_ROWS, let, materialize, small, without
+from spectramesh.llm.common import let, materialize, small, without
 
 #: Fixed masks: the places of a window that are hashed.
 MASKS = ((0, 1, 2, 5), (0, 2, 3, 4))
@@ -28,6 +28,8 @@ WINDOW = 16
 SHARE = 5  # one word in so many may differ
 BLOCK = 4096
 LEAST, TOLERANT = 5, 8
+#: Seeds that a broadcast may hold: 44 words each, some 60 MB in an executor.
+SEEDS = 100_000
 SPAN = max(p for m in MASKS for p in m) + 1
 
 
@@ -61,11 +63,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     first_word is the place in the document of the first such stretch's hit.
     """
     items = benchmark.select(F.col(item).alias("item_id"), word_list(F.col(item_text)).alias("words")).where(F.size("words") >= LEAST)
-    table = materialize(seeds(items.select("item_id", F.col("words").alias("item"), "words"), "item_id", "item").withColumnRenamed("at", "item_at"), "seeds")
+    around = WINDOW + SPAN
+    marked = seeds(items.select("item_id", F.col("words").alias("item"), "words"), "item_id", "item")
+    # With each seed go the words that a stretch around it can reach, not the whole item: a row has 44 words at most.
+    first = F.greatest(F.col("at") - around, F.lit(0))
+    table = materialize(marked.select("hash", "item_id", F.size("item").alias("length"), (F.col("at") - first).alias("item_at"), F.slice("item", first + 1, 2 * around).alias("item")), "seeds")
     parts = blocks(docs.select(F.col(key).cast("bigint").alias("key"), word_list(F.col(text)).alias("words")))
-    hits = seeds(parts, "key", "first", "words").join(small(table, BROADCAST_ROWS // 4), "hash")
+    hits = seeds(parts, "key", "first", "words").join(small(table, SEEDS), "hash")
     # Laid over each other: word i of the item faces word i + shift of the block; only what a stretch around the hit can reach counts.
-    size = F.least(F.lit(WINDOW), F.size("item"))
+    size = F.least(F.lit(WINDOW), F.col("length"))
     shift = F.col("at") - F.col("item_at")
     low = F.greatest(F.lit(0), -shift, F.col("item_at") + SPAN - size)
     high = F.least(F.size("item"), F.size("words") - shift, F.col("item_at") + size)
