@@ -12,7 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; with it, memory doesn't depend on the batch size of Arrow.
@@ -185,3 +185,22 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key isn't among `keys` (one column, materialized). Rows with a null key stay."""
     name = keys.columns[0]
     return df.join(small(keys), df[key] == keys[name], "left_anti")
+
+
+#: Rows of a line that one task adds up.
+RUN_ROWS = 1 << 16
+
+
+def running(df: DataFrame, group: str, position: str, value: Column, name: str, rows: int = RUN_ROWS) -> DataFrame:
+    """Add the sum of `value` over the rows before this one in its group, by position (gapless or nearly so).
+
+    Two passes: windows over runs of at most `rows` positions, and prefix sums over the runs' totals. No task sees a whole group.
+    """
+    run = F.floor(F.col(position) / rows).alias("_run")
+    df = df.withColumn("_value", value).withColumn("_run", run)
+    totals = df.groupBy(group, "_run").agg(F.sum("_value").alias("_total"))
+    # One row per run of 65,536 rows: a billionth of the table, by group in order.
+    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(group, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(group, "_run").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0))).join(bases, [group, "_run"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_value", "_run", "_base", "_own")

@@ -16,16 +16,14 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import materialize, new_path
+from spectramesh.llm.common import RUN_ROWS, materialize, new_path, running
 
 HEADER_BYTES = 16
 #: A document is large from this part of a mean shard on.
 LARGE = 1 / 100
-#: Documents of a line that one task adds up.
-RUN_ROWS = 1 << 16
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: np.ndarray) -> np.ndarray:
@@ -38,7 +36,9 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: np.ndarray) -> np.
         raise ValueError("the new capacities are too small")
     n, m = len(supply), len(demand)
     flow, left, room = np.zeros((n, m), np.int64), supply.copy(), demand.copy()
-    u, v = np.zeros(n), cost.min(0).astype(float) if n else np.zeros(m)
+    if cost.size and cost.min() < 0:
+        raise ValueError("costs can't be negative")
+    u, v = np.zeros(n), np.zeros(m)  # all sinks with room keep one potential, so the nearest by reduced costs is the cheapest
     while left.any():
         # Dijkstra over sources and sinks at once, from all sources with supply left; costs reduced by potentials.
         du, dv = np.where(left > 0, 0.0, np.inf), np.full(m, np.inf)
@@ -130,33 +130,29 @@ def make_plan(sizes: dict[int, int], large: list[tuple[int, int, int]], shards:
         moved += size * (t != s)
     rest = sum(sizes.values())
     room = level(placed - (want - want.min()), rest) if total else np.zeros(shards, np.int64)
-    flow = min_cost_flow([sizes.get(s, 0) for s in range(old)], room.tolist(), cost)
+    # Sources with equal costs are one source to the flow; what it sends is then taken from them in their order.
+    kinds, kind = np.unique(cost, axis=0, return_inverse=True)
+    kind = kind.ravel()
+    supply = np.array([sizes.get(s, 0) for s in range(old)], np.int64)
+    flow = min_cost_flow([int(supply[kind == k].sum()) for k in range(len(kinds))], room.tolist(), kinds)
+    left = [[(t, int(flow[k, t])) for t in range(shards) if flow[k, t]] for k in range(len(kinds))]
     blocks = []
     for s in range(old):
-        begin = 0
-        for t in sorted(range(shards), key=lambda t: (t != s, t)):
-            if flow[s, t]:
-                blocks.append((s, begin, begin + int(flow[s, t]), t))
-                begin += int(flow[s, t])
-                moved += int(flow[s, t]) * (t != s)
+        begin, sends = 0, left[kind[s]]
+        sends.sort(key=lambda x: (x[0] != s, x[0]))
+        while begin < supply[s]:
+            t, much = sends[0]
+            part = min(much, int(supply[s]) - begin)
+            blocks.append((s, begin, begin + part, t))
+            begin += part
+            moved += part * (t != s)
+            if part == much:
+                sends.pop(0)
+            else:
+                sends[0] = (t, much - part)
     return Plan(blocks, put, int(moved), room.tolist())
 
 
-def running(df: DataFrame, group: str, position: str, value: Column, name: str, rows: int = RUN_ROWS) -> DataFrame:
-    """Add the sum of `value` over the rows before this one in its group, by position (gapless or nearly so).
-
-    Two passes: windows over runs of at most `rows` positions, and prefix sums over the runs' totals. No task sees a whole group.
-    """
-    run = F.floor(F.col(position) / rows).alias("_run")
-    df = df.withColumn("_value", value).withColumn("_run", run)
-    totals = df.groupBy(group, "_run").agg(F.sum("_value").alias("_total"))
-    # One row per run of 65,536 rows: a billionth of the table, by group in order.
-    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(group, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy(group, "_run").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0))).join(bases, [group, "_run"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_value", "_run", "_base", "_own")
-
-
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + HEADER_BYTES).cast("long")
 
@@ -188,7 +184,10 @@ def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, run_ro
     plan = make_plan(small, big, shards, cost)
     lines = running(known.withColumn("_large", F.col("size") > limit), "old_shard", "_place", F.when(F.col("_large"), F.lit(0)).otherwise(F.col("size")), "_begin", run_rows)
     # Blocks and large documents: at most (old + new) blocks and 100 documents a shard.
-    cuts = spark.createDataFrame([(s, [(a, b, t) for o, a, b, t in plan.blocks if o == s]) for s in sorted({x[0] for x in plan.blocks})], "old_shard int, _cuts array<struct<a:bigint,b:bigint,t:int>>")
+    by_old: dict[int, list[tuple[int, int, int]]] = {}
+    for o, a, b, t in plan.blocks:
+        by_old.setdefault(o, []).append((a, b, t))
+    cuts = spark.createDataFrame(sorted(by_old.items()), "old_shard int, _cuts array<struct<a:bigint,b:bigint,t:int>>")
     large = spark.createDataFrame(plan.large, "old_shard int, _place bigint, _to int")
     middle = F.col("_begin") + F.floor(F.col("size") / 2)
     found = F.expr("filter(_cuts, c -> _middle >= c.a and _middle < c.b)[0].t")
