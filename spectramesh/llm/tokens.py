@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import bucket, chunks, get_bytes, materialize, new_path, put_bytes, range_bounds, ship
+from spectramesh.llm.common import bucket, chunks, get_bytes, materialize, new_path, put_bytes, range_bounds, running, ship
 
 MAGIC = b"SMTK0001"
-#: Distinct words whose ids a worker remembers between chunks (about 100 MB); past it those that came up once are forgotten.
-MEMO_WORDS = 400_000
-#: Ids in one file: 64 MB at two bytes each. It bounds what a writer or reader holds.
-FILE_TOKENS = 4 << 20
+#: Distinct words whose ids a worker remembers between chunks (about 140 MB); past it those that came up once are forgotten.
+MEMO_WORDS = 600_000
+#: Ids in one file: 32 MB at two bytes each. It bounds what a writer or reader holds.
+FILE_TOKENS = 16 << 20
 KEYS_PER_BIT_LEVELS = 24
 
 
@@ -328,12 +328,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
     # Each shard holds about as many rows; with the sort, a writer streams and holds one file at most.
     sent = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key")
     files = materialize(sent.mapInArrow(run, "path string, shard bigint, seq bigint, first_key bigint, last_key bigint, documents bigint, tokens bigint"), "manifest")
-    found, before, table = files.orderBy("shard", "first_key", "seq").collect(), 0, []  # one row per file of 4 million ids
-    for x in found:
-        table.append((x.path, x.first_key, x.last_key, x.documents, x.tokens, before))
-        before += x.tokens
-    schema = "path string, first_key bigint, last_key bigint, documents bigint, tokens bigint, start bigint"
-    return folder, spark.createDataFrame(table, schema)
+    # Files of a shard count up within its task; shards are the runs of the prefix sum.
+    numbered = files.select("path", "first_key", "last_key", "documents", "tokens", F.lit(0).alias("one"), (F.col("shard") * F.lit(1 << 24) + F.col("seq")).alias("place"))
+    return folder, materialize(running(numbered, "one", "place", F.col("tokens"), "start", 1 << 24).drop("one", "place"), "files")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
@@ -355,5 +352,5 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 names = pa.nulls(len(f.keys), pa.int64()) if f.null_keys else pa.array(f.keys)
                 yield pa.RecordBatch.from_arrays([names, pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, min(manifest.count(), 4096))
+    n = max(1, min(manifest.count(), 1 << 16))
     return manifest.select("path", "start").repartition(n).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
