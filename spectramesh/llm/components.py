@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import materialize
+from spectramesh.llm.common import materialize, small
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """links: a, b (long). Rows node, component for every node with a link; component is the smallest node reachable.
 
-    Each round is two aggregations and joins over at most as many links as came in; every round's table is written to the
-    shared folder, so a lost executor costs one round. Rounds end when a table repeats; they are logarithmic in the longest path.
+    Links point from the larger node to the smaller. The large star moves each to the smallest node that its target knows; the small
+    star joins a node's targets to the smallest of them. Targets that know none smaller - the hubs that most links share - have
+    no row in the table of smallest nodes. It is broadcast while it is small, so that hubs gather nowhere; beyond that the planner
+    joins by shuffle and splits large partitions. Every round's table is written to the shared folder, so a lost
+    executor costs one round. Rounds end when a table repeats; they are logarithmic in the longest path.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _digest(edges)
     if not before[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        known = materialize(edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "least")
+        large = materialize(edges.join(small(known), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        moved = large.join(small(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         after = _digest(edges)
         if after == before:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
