@@ -62,6 +62,15 @@ def _lower(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
 
 
+def _parts(data: np.ndarray, most: int) -> list[np.ndarray]:
+    """A text cut between words into parts of `most` bytes or little more."""
+    if len(data) <= most:
+        return [data]
+    gaps = np.flatnonzero(~_keep[data])
+    cuts = np.unique(gaps[np.minimum(np.searchsorted(gaps, np.arange(most, len(data), most)), len(gaps) - 1)]) if len(gaps) else []
+    return np.split(data, cuts)
+
+
 @dataclass
 class LanguageModel:
     """langs: learned values, sorted; table: bucket x language; bias; temperature; threshold of rejection."""
@@ -73,26 +82,32 @@ class LanguageModel:
     threshold: float = 0.0
 
     def logits(self, texts: list[str], most: int = 1 << 18) -> np.ndarray:
-        """Mean of the subwords' rows, plus bias; texts are joined into stretches of about `most` bytes."""
-        out = np.zeros((len(texts), len(self.langs)))
-        data, begin = [_lower(t) for t in texts], 0
-        while begin < len(data):
-            end, size = begin, 0
-            while end < len(data) and (end == begin or size + len(data[end]) <= most):
-                size += len(data[end]) + 1
-                end += 1
-            lengths = np.array([len(d) + 1 for d in data[begin:end]])
-            joined = np.concatenate([x for d in data[begin:end] for x in (d, _blank)])
-            sums, counts = np.zeros((end - begin, len(self.langs))), np.zeros(end - begin)
+        """Mean of the subwords' rows, plus bias; about `most` bytes are worked on at once, however long a text is."""
+        sums, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray]] = []
+
+        def add() -> None:
+            lengths = np.array([len(d) + 1 for _, d in held])
+            joined = np.concatenate([x for _, d in held for x in (d, _blank)])
             b, at = subwords(joined)
             # A place before the shift by the leading mark belongs to the text that holds the n-gram's second byte.
-            owner = np.repeat(np.arange(end - begin), lengths)[np.minimum(at, len(joined) - 1)]
-            counts += np.bincount(owner, minlength=end - begin)
+            owner = np.repeat([i for i, _ in held], lengths)[np.minimum(at, len(joined) - 1)]
+            counts[:] += np.bincount(owner, minlength=len(texts))
             for c in range(len(self.langs)):
-                sums[:, c] = np.bincount(owner, self.table[:, c][b], minlength=end - begin)
-            out[begin:end] = sums / np.maximum(counts, 1)[:, None] + self.bias
-            begin = end
-        return out
+                sums[:, c] += np.bincount(owner, self.table[:, c][b], minlength=len(texts))
+            held.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            for part in _parts(_lower(t), most):
+                if size + len(part) > most and held:
+                    add()
+                    size = 0
+                held.append((i, part))
+                size += len(part) + 1
+        if held:
+            add()
+        return sums / np.maximum(counts, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, rejected of each text."""

@@ -140,6 +140,13 @@ def test_url_model(spark, data):
     assert urlfilter.train(labelled.limit(0)) == ([0.0] * urlfilter.BUCKETS, -1.0)
 
 
+def test_long_texts_in_parts():
+    rng = np.random.default_rng(0)
+    model = langid.LanguageModel(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype("f4"), np.array([0.1, -0.2]))
+    texts = ["un mot, deux mots " * 50, "", "x" * 500, "über alles 12 " * 40 + "z" * 300, "kurz"]
+    assert np.allclose(model.logits(texts), model.logits(texts, most=64)) and np.allclose(model.logits(texts), np.concatenate([model.logits([t]) for t in texts]))
+
+
 @pytest.mark.parametrize("text", ["", "a", "ab", "a b", "über"])
 def test_subwords_stay_within_words(text):
     b, at = langid.subwords(langid._lower(text))
