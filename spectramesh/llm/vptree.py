@@ -22,7 +22,7 @@ from spectramesh.llm.common import materialize, ship
 
 #: Candidates with equal scores up to this are ordered by id; unit vectors of 64 components differ by rounding far below it.
 SAME = 1e-12
-LEAF = 32
+LEAF = 64
 
 
 class Tree:
@@ -69,8 +69,10 @@ class Search:
 
     def _offer(self, q: np.ndarray, rows: np.ndarray) -> None:
         """Score rows for queries and keep each query's k best."""
-        score = np.einsum("id,jd->ij", self.queries[q], self.vectors[rows]) / (self.query_norms[q][:, None] * self.norms[rows][None])
+        score = self.queries[q] @ self.vectors[rows].T / (self.query_norms[q][:, None] * self.norms[rows][None])
         score[self.ids[rows][None] == self.query_ids[q][:, None]] = -np.inf
+        better = score.max(1) >= self.best[q, -1] - SAME  # others' lists stay as they are
+        q, score = q[better], score[better]
         every = np.concatenate([self.best[q], score], axis=1)
         where = np.concatenate([self.at[q], np.broadcast_to(rows, score.shape)], axis=1)
         names = np.where(where >= 0, self.ids[where], np.iinfo(np.int64).max)
