@@ -260,13 +260,49 @@ def class_prints(hashes: np.ndarray, similarity: float) -> list[int]:
     return out
 
 
+#: Counters of a document's shingles, and the documents of a class that meet those of another block (or their own) in one cell.
+COUNTERS, CELL = 64, 512
+
+
+def shingle_counts(hashes: np.ndarray) -> bytes:
+    """How many shingles fall to each counter. Two documents share at most the sum of their smaller counters."""
+    return np.bincount((hashes >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype("<i4").tobytes()
+
+
+def crossing(docs: np.ndarray, parts: np.ndarray, side: np.ndarray, counts: np.ndarray, similarity: float, best: bool) -> list[tuple[int, int]]:
+    """Pairs of one cell that lie in different components and may be `similarity` alike by their counters; with `best` each document's likeliest only.
+
+    side: 0 or 1, the block; documents of one side meet in the cell of that block alone, where all are of side 0.
+    """
+    sizes, order = counts.sum(1), np.arange(len(docs))
+    both_sides, out = bool(side.any()), []
+    for i in range(len(docs)):
+        ok = (parts != parts[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+        ok &= (side != side[i]) if both_sides else (order != i)
+        if not best:
+            ok &= order > i
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        shared = np.minimum(counts[at], counts[i]).sum(1)
+        bound = shared - similarity * (sizes[at] + sizes[i] - shared)
+        on = np.flatnonzero(bound >= -1e-9)
+        if best and len(on):
+            on = on[[int(np.lexsort((docs[at[on]], -bound[on]))[0])]]
+        out += [(int(max(docs[i], docs[j])), int(min(docs[i], docs[j]))) for j in at[on]]
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
     """doc_id, component_id of the documents that have a near-duplicate: Jaccard similarity of their word shingles of `similarity` or more.
 
-    Candidates are links of the Gray-order index over whole documents' fingerprints (radius three), and, as similarity 0.8 puts
-    those some ten bits apart, documents with an equal fingerprint of a class of shingles. Of those, each document is compared
-    with its class's pivot, the document with most company; documents left without a partner choose pivots among themselves
-    again. Each comparison is exact over all shingles. So candidates stay in proportion to the documents.
+    Candidates are all pairs of a class: documents whose fingerprints the Gray-order index (radius three) puts into one component,
+    and, as similarity 0.8 puts fingerprints some ten bits apart, documents with an equal fingerprint of a class of shingles. First each
+    document is compared with its class's pivot, the document with most company; in the other `rounds`, classes with several
+    components left compare each document with the likeliest one of another component. In the end all pairs of a class that are not
+    in one component by then are compared, in cells of blocks of CELL documents, but for those whose sizes or counters
+    rule the similarity out. So every pair of a class is compared, ruled out by a bound, or joined. Each comparison is
+    exact over all shingles.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -275,12 +311,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for b in chunks(batches):
-            fps, keys = [], []
+            fps, keys, counts = [], [], []
             for t in b.column(1).to_pylist():
                 h = _mixed((t or "").encode("utf-8", "surrogatepass").translate(_lower).split(), memo, words)
                 fps.append(signed(majority(h)))
                 keys.append(class_prints(h, similarity))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+                counts.append(shingle_counts(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "fp", "keys", "counts"])
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -306,29 +343,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
         give_back()
 
-    marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, keys array<bigint>"), "sketches")
-    prints = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
-    pairs = fingerprint_links(prints)
-    rows = marks.select("doc_id", F.explode("keys").alias("k"))
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(rows.join(sizes, "k"), "company")
-    links = None
-    for turn in range(rounds):
-        popular = rows.groupBy("doc_id").agg(F.sum("n").alias("company"))
-        ranked = rows.join(popular, "doc_id").select("k", "doc_id", F.struct("company", (-F.col("doc_id")).alias("m")).alias("rank"))
-        pivots = ranked.groupBy("k").agg((-F.max("rank")["m"]).alias("pivot"))
-        found = rows.join(pivots, "k").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        pairs = materialize((pairs.unionByName(found) if not turn else found).distinct(), "pairs")
+    def meet(best: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                t = pa.Table.from_batches(held)
+                k, lo, hi, ids, parts, block = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "doc_id", "c", "block"))
+                counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<i4").reshape(-1, COUNTERS)
+                order = np.lexsort((ids, hi, lo, k))
+                k, lo, hi = k[order], lo[order], hi[order]
+                begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+                for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(k)], strict=True):
+                    at = order[x:y]
+                    found = crossing(ids[at], parts[at], (block[at] != lo[x]).astype(np.int8), counts[at], similarity, best) if y - x > 1 and (lo[x] == hi[x] or len(np.unique(block[at])) > 1) else []
+                    if found:
+                        a, b = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            give_back()
+
+        return run
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are near-duplicates."""
         named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
         full = materialize(texts.join(small(named), "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary"), "shingles")
         left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        same = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
-        links = same if links is None else links.unionByName(same)
-        if turn + 1 < rounds:
-            done = materialize(same.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "linked")
-            rows = without(rows.select("doc_id", "k"), done, "doc_id")
-            rows = materialize(rows.join(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"), "company")
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+
+    marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, keys array<bigint>, counts binary"), "sketches")
+    # The documents of an index component are a class of their own; most fingerprints are alone in theirs and need no row.
+    prints = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "prints")
+    index = materialize(components(fingerprint_links(prints.select("fp", "rep"))), "index")
+    family = prints.join(small(index), F.col("rep") == F.col("node"), "left").select("fp", F.xxhash64(F.lit("family"), F.coalesce("component", "rep")).alias("k"), F.col("node").isNotNull().alias("linked"), "n")
+    family = materialize(family.where("linked or n > 1").select("fp", "k"), "families")
+    rows = marks.select("doc_id", F.explode("keys").alias("k")).unionByName(marks.select("doc_id", "fp").join(small(family), "fp").select("doc_id", "k"))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialize(rows.join(sizes, "k"), "company")
+    popular = rows.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    ranked = rows.join(popular, "doc_id").select("k", "doc_id", F.struct("company", (-F.col("doc_id")).alias("m")).alias("rank"))
+    pivots = ranked.groupBy("k").agg((-F.max("rank")["m"]).alias("pivot"))
+    tested = materialize(rows.join(pivots, "k").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
+    links = alike(tested)
+    for turn in range(max(1, rounds)):
+        parts = materialize(components(links), "parts")
+        placed = materialize(rows.select("k", "doc_id").join(small(parts), F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("c")), "placed")
+        still = materialize(placed.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x <> y").select("k", "n"), "open")
+        blocks = F.ceil(F.col("n") / CELL).cast("int")
+        cells = placed.join(small(still), "k").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
+        cells = cells.join(marks.select("doc_id", "counts"), "doc_id").select("k", "doc_id", "c", "block", "counts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = cells.select("k", "doc_id", "c", "block", "counts", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        found = cells.repartition("k", "lo", "hi").mapInArrow(meet(turn + 1 < rounds), "a bigint, b bigint").distinct()
+        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(alike(found))
+        tested = tested.unionByName(found)
     found = components(links)
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

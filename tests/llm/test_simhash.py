@@ -153,3 +153,37 @@ def test_empty_near(spark):
     assert sorted(r.doc_id or 0 for r in S.keep_one(some).collect()) == [0, 0, 1]
 
 
+def test_large_group_without_its_original(spark):
+    """No member is near all others: links between non-pivots decide, and they are those of a comparison of all pairs of a class."""
+    rng = random.Random(12)
+    vocab = [f"t{i}" for i in range(5000)]
+    texts = []
+    for group in range(4):
+        base = rng.choices(vocab, k=200)
+        for _ in range(150):
+            other = list(base)
+            for at in rng.sample(range(200), rng.choice([2, 3, 4])):
+                other[at] = rng.choice(vocab)
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    made = [S._mixed(t.encode().split(), {}, 5) for t in texts]
+    keys = [set(S.class_prints(h, 0.8)) for h in made]
+    sets = [set(h.tolist()) for h in made]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = roots(len(texts), near)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_cells_lose_no_pair():
+    """All pairs of different components and enough similarity come out of a cell, of one block or of two."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    made = [np.unique(np.concatenate([rng.choice(base, 54, replace=False), rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)])) for _ in range(40)]
+    counts = np.array([np.frombuffer(S.shingle_counts(h), "<i4") for h in made])
+    sets, ids, parts = [set(h.tolist()) for h in made], np.arange(100, 140), np.arange(40) % 7
+    for side in (np.zeros(40, int), np.arange(40) % 2):
+        got = set(S.crossing(ids, parts, side, counts, 0.8, False))
+        want = {(100 + i, 100 + j) for i in range(40) for j in range(i) if parts[i] != parts[j] and (side[i] != side[j] or not side.any()) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert want and want <= got and all(parts[a - 100] != parts[b - 100] for a, b in got)
+        assert set(S.crossing(ids, parts, side, counts, 0.8, True)) <= got
