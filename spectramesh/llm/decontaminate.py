@@ -48,13 +48,13 @@ def blocks(texts: DataFrame) -> DataFrame:
 
 
 def seeds(parts: DataFrame, *keep: str) -> DataFrame:
-    """A row for each window and mask: hash, at (of the window in the words) and the kept columns."""
+    """A row for each window and mask: hash, span (words of the mask), at (of the window in the words) and the kept columns."""
     places = sorted({p for m in MASKS for p in m})
     n = F.size("words")
     shifted = F.arrays_zip(*(F.slice("words", p + 1, F.greatest(n - p, F.lit(0))).alias(f"w{p}") for p in places))
     rows = parts.select(*keep, F.posexplode(shifted).alias("at", "w"))
     hashes = [F.when(F.col(f"w.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"w.w{p}") for p in m))) for k, m in enumerate(MASKS)]
-    return rows.select(*keep, "at", F.stack(F.lit(len(MASKS)), *hashes).alias("hash")).where("hash is not null")
+    return rows.select(*keep, "at", F.stack(F.lit(len(MASKS)), *(c for h, m in zip(hashes, MASKS, strict=True) for c in (h, F.lit(m[-1] + 1)))).alias("hash", "span")).where("hash is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -67,13 +67,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     marked = seeds(items.select("item_id", F.col("words").alias("item"), "words"), "item_id", "item")
     # With each seed go the words that a stretch around it can reach, not the whole item: a row has 44 words at most.
     first = F.greatest(F.col("at") - around, F.lit(0))
-    table = materialize(marked.select("hash", "item_id", F.size("item").alias("length"), (F.col("at") - first).alias("item_at"), F.slice("item", first + 1, 2 * around).alias("item")), "seeds")
+    table = materialize(marked.select("hash", "span", "item_id", F.size("item").alias("length"), (F.col("at") - first).alias("item_at"), F.slice("item", first + 1, 2 * around).alias("item")), "seeds")
     parts = blocks(docs.select(F.col(key).cast("bigint").alias("key"), word_list(F.col(text)).alias("words")))
-    hits = seeds(parts, "key", "first", "words").join(small(table, SEEDS), "hash")
+    hits = seeds(parts, "key", "first", "words").drop("span").join(small(table, SEEDS), "hash")
     # Laid over each other: word i of the item faces word i + shift of the block; only what a stretch around the hit can reach counts.
     size = F.least(F.lit(WINDOW), F.col("length"))
     shift = F.col("at") - F.col("item_at")
-    low = F.greatest(F.lit(0), -shift, F.col("item_at") + SPAN - size)
+    low = F.greatest(F.lit(0), -shift, F.col("item_at") + F.col("span") - size)
     high = F.least(F.size("item"), F.size("words") - shift, F.col("item_at") + size)
     hits = hits.select("key", "item_id", "item", "words", (F.col("first") + F.col("at")).alias("place"), size.alias("window"), shift.alias("shift"), F.greatest(low, F.lit(0)).alias("low"), high.alias("high"))
     hits = hits.where("high - low >= window")

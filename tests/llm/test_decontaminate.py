@@ -88,3 +88,19 @@ def test_short_shared_phrase_is_no_passage(spark):
     a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
     b[10:18] = a[10:18]
     assert D.overlaps(spark.createDataFrame([(1, " ".join(b), None, 0)], DOCS), spark.createDataFrame([(1, " ".join(a))], "item_id bigint, text string")).count() == 0
+
+
+def test_shortest_items_against_brute_force(spark):
+    """Items of five to eight words, planted as they are at either end and in the middle."""
+    rng = random.Random(5)
+    vocab = [f"s{i}" for i in range(300)]
+    items = [(n, " ".join(rng.choices(vocab, k=n))) for n in (4, 5, 6, 7, 8)]
+    docs = []
+    for _, t in items:
+        for at in (0, 9, 20):
+            base = rng.choices(vocab, k=20)
+            docs.append((len(docs), " ".join([*base[:at], *words(t), *base[at:]])))
+        docs.append((len(docs), t))
+    got = D.overlaps(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
+    assert {r.doc_id for r in got if r.item_id == 5} == {4, 5, 6, 7} and all(r.matched == r.window for r in got if r.item_id < 8)
