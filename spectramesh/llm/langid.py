@@ -5,8 +5,10 @@ embedding table; their mean goes through a linear softmax. Table and weights are
 numpy on a bounded sample. As mean and softmax input are both linear, a prediction needs only the table's product with the
 weights: a few numbers per bucket.
 
-Probabilities are calibrated by a temperature on held-back documents of the sample. A text is rejected if it has no letter, or
-if its largest probability is below the `reject_share` quantile of those documents.
+Probabilities are calibrated by a temperature on held-back documents of the sample. A softmax always prefers some language, so what
+rejects is familiarity: the mean log frequency of a text's subwords in the sample. A text is rejected if it has no letter, or if it
+is less familiar than the threshold, which lies midway between the `reject_share` quantile of the sample's documents (each
+without its own share of the counts, so that all of them count as held back) and the median of the same texts with shuffled letters.
 
 Null, empty and letterless texts: `und`, score 0, rejected. No labelled document at all: `und` and score 0 for every text,
 rejected only where it has no letter. A null lang is no label. Equal texts get equal predictions. Other columns are ignored.
@@ -73,17 +75,22 @@ def _parts(data: np.ndarray, most: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """langs: learned values, sorted; table: bucket x language; bias; temperature; threshold of rejection."""
+    """langs: learned values, sorted; table: bucket x language; bias; temperature; familiar: log frequency by bucket; threshold of familiarity."""
 
     langs: list[str] = field(default_factory=list)
     table: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     temperature: float = 1.0
-    threshold: float = 0.0
+    familiar: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
+    threshold: float = -np.inf
 
     def logits(self, texts: list[str], most: int = 1 << 18) -> np.ndarray:
         """Mean of the subwords' rows, plus bias; about `most` bytes are worked on at once, however long a text is."""
-        sums, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        return self.measure(texts, most)[0]
+
+    def measure(self, texts: list[str], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and familiarity of each text (0 without subwords)."""
+        sums, known, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), np.zeros(len(texts))
         held: list[tuple[int, np.ndarray]] = []
 
         def add() -> None:
@@ -93,6 +100,7 @@ class LanguageModel:
             # A place before the shift by the leading mark belongs to the text that holds the n-gram's second byte.
             owner = np.repeat([i for i, _ in held], lengths)[np.minimum(at, len(joined) - 1)]
             counts[:] += np.bincount(owner, minlength=len(texts))
+            known[:] += np.bincount(owner, self.familiar[b], minlength=len(texts))
             for c in range(len(self.langs)):
                 sums[:, c] += np.bincount(owner, self.table[:, c][b], minlength=len(texts))
             held.clear()
@@ -107,7 +115,7 @@ class LanguageModel:
                 size += len(part) + 1
         if held:
             add()
-        return sums / np.maximum(counts, 1)[:, None] + self.bias
+        return sums / np.maximum(counts, 1)[:, None] + self.bias, known / np.maximum(counts, 1)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, rejected of each text."""
@@ -115,10 +123,11 @@ class LanguageModel:
         empty = np.array([not _letter(t) for t in some])
         if not self.langs:
             return pd.DataFrame({"lang_pred": UND, "score": 0.0, "rejected": empty}, index=range(len(some)))
-        p = softmax(self.logits(some) / self.temperature) if some else np.zeros((0, len(self.langs)))
+        z, known = self.measure(some)
+        p = softmax(z / self.temperature) if some else np.zeros((0, len(self.langs)))
         best = p.argmax(1) if len(p) else np.zeros(0, int)
         top = np.where(empty, 0.0, p.max(1) if len(p) else 0.0)
-        return pd.DataFrame({"lang_pred": np.where(empty, UND, np.array(self.langs, object)[best]), "score": np.clip(top, 0, 1), "rejected": empty | (top < self.threshold)})
+        return pd.DataFrame({"lang_pred": np.where(empty, UND, np.array(self.langs, object)[best]), "score": np.clip(top, 0, 1), "rejected": empty | (known < self.threshold)})
 
 
 _blank = np.array([32], np.uint8)
@@ -142,6 +151,40 @@ def stretches(text: str, most: int = SAMPLE_BYTES, pieces: int = 4) -> list[str]
     return [text[i : i + n] for i in np.linspace(0, len(text) - n, pieces).astype(int)]
 
 
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters dealt anew over words of the same lengths."""
+    found = text.split()
+    letters = "".join(found)
+    line, cuts = "".join(letters[i] for i in rng.permutation(len(letters))), np.cumsum([0, *map(len, found)]).tolist()
+    return " ".join(line[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
+def familiarity(texts: list[str], reject_share: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Log frequency of each bucket in the texts, and the threshold below which a text is rejected.
+
+    Of fewer texts than it takes to hold one beyond the quantile, the least familiar one counts. Where shuffled texts are not below
+    that, nothing can be told by familiarity and nothing is rejected for it.
+    """
+    parts, counts = [], np.zeros(BUCKETS, np.int64)
+    for t in texts:
+        parts.append(np.concatenate([subwords(_lower(s))[0] for s in stretches(t)]).astype(np.uint16))  # BUCKETS values
+        counts += np.bincount(parts[-1], minlength=BUCKETS)
+    total = int(counts.sum()) + BUCKETS
+    table = (np.log(counts + 1.0) - np.log(total)).astype(np.float32)
+    clean = []
+    for b in parts:
+        if len(b):
+            ids, own = np.unique(b, return_counts=True)
+            clean.append(float((own * np.log((counts[ids] - own + 1.0) / (total - len(b)))).sum() / len(b)))
+    mixed = (subwords(_lower(shuffled(stretches(t)[0], rng)))[0] for t in texts)
+    noise = [float(table[b].mean()) for b in mixed if len(b)]
+    if not clean or not noise:
+        return table, -np.inf
+    low = float(np.quantile(clean, reject_share)) if len(clean) * reject_share >= 1 else min(clean)
+    middle = float(np.median(noise))
+    return table, (low + middle) / 2 if middle < low else -np.inf
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.5, reject_share: float = 0.0005, seed: int = 1) -> LanguageModel:
     """Fit on four of five documents and calibrate on the fifth. The order of the rows doesn't matter."""
     order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
@@ -168,14 +211,13 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.
             w -= step * np.outer(mean, g)
             bias -= step * 0.1 * g
             np.subtract.at(e, ids, (step * 20 / len(ids)) * back)
+    del examples
     model = LanguageModel(langs, (e @ w).astype(np.float32), bias)
     z, y = model.logits([t for t, _ in held]), np.array([langs.index(v) for _, v in held])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 61))
     losses = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(losses))])
-    # No quantile can be told from fewer documents than it takes to hold one beyond it: then half of the least one.
-    top = np.sort(softmax(z / model.temperature).max(1))
-    model.threshold = float(np.quantile(top, reject_share)) if len(top) * reject_share >= 1 else float(top[0]) / 2
+    model.familiar, model.threshold = familiarity([t for t, _ in pairs], reject_share, rng)
     return model
 
 
@@ -186,7 +228,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     # Long documents are cut into the stretches that training reads before they leave the executors.
     cut = F.when(F.length("text") > 4 * SAMPLE_BYTES, F.concat_ws(" ", *(F.substr("text", (F.length("text") * i / 4 + 1).cast("int"), F.lit(SAMPLE_BYTES)) for i in range(4)))).otherwise(F.col("text"))
     found = some.select(F.coalesce(cut, F.lit("")).alias("text"), "lang").toPandas()
-    return train(found["text"].tolist(), found["lang"].tolist(), **settings)
+    model = train(found["text"].tolist(), found["lang"].tolist(), **settings)
+    del found
+    give_back()
+    return model
 
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

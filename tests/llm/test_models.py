@@ -45,6 +45,20 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_rejects_gibberish(spark, data):
+    """Texts of none of the learned languages and texts with shuffled letters go, clean ones stay."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", F.lit(0.0).alias("score"), F.lit("").alias("held_out"))
+    rng = random.Random(2)
+    foreign = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "这是一个测试文档内容", "qzx jkv wpf xxqj zvbk qqpw jxkz vvqj " * 5]
+    foreign += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(80)) for _ in range(20)]
+    mixed = [langid.shuffled(r.text, np.random.default_rng(r.doc_id)) for r in docs.where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    bad = spark.createDataFrame([(10**6 + i, t, None, 0.0, "") for i, t in enumerate(foreign + mixed)], DOCS)
+    got = {r.doc_id: r.rejected for r in langid.identify(docs.unionByName(bad)).collect()}
+    assert all(got[10**6 + i] for i in range(len(foreign))) and np.mean([got[10**6 + len(foreign) + i] for i in range(len(mixed))]) > 0.8
+    assert not any(v for k, v in got.items() if k < 10**6)
+    assert langid.keep_identified(docs.unionByName(bad)).where(f"doc_id < {10**6 + len(foreign)}").count() == docs.count()
+
+
 def test_language_ignores_labels_at_prediction(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     a = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
