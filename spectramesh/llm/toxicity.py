@@ -5,7 +5,9 @@ letters, which carry over to inflected forms that training never saw. The score
 
     bias + sum of w_i + 1/2 sum over f of ((sum of v_if)^2 - sum of v_if^2)
 
-so that pairs of terms count that an additive model misses. Trained in numpy by AdaGrad on a bounded sample of labelled rows.
+so that pairs of terms count that an additive model misses. Trained in numpy by AdaGrad on a bounded sample of labelled rows: first the
+terms that tell the label by themselves, then all terms of the sample on what those leave unexplained, so that every term that the sample
+holds has a weight and factors.
 
 Null and empty texts have no terms: their score is the logistic of the bias. Labels that are null or of unknown documents are no
 labels. With no labels, or labels of one kind, the bias alone is learned. Several labels of one document: the largest
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from spectramesh.llm.common import bounded_sample, chunks, give_back, materialize, ship
 from spectramesh.llm.langid import held_out
 
-#: The sample's bounds: labelled documents whose terms training reads, and terms that may have a weight.
+#: The sample's bounds: labelled documents whose terms training reads, and terms that training begins with.
 SAMPLE_ROWS, TERMS = 12_000, 1 << 14
 HASH, FACTORS, STEPS = 1 << 20, 4, 80_000
+#: The phase of all terms: a document of more terms shares its step, and one with a smaller gradient is explained already.
+SHARED, LEFT = 2, 0.1
 MEMO_WORDS = 200_000
 words = re.compile(r"[^\W\d_]+").findall
 
@@ -69,7 +73,8 @@ class FactorizationMachine:
 
     def scorer(self):
         """text -> score. Words that lead to no weight cost a look-up."""
-        place = {int(h): i for i, h in enumerate(self.ids)}
+        place = np.full(HASH, -1, np.int32)
+        place[self.ids] = np.arange(len(self.ids))
         memo: dict[str, tuple[int, ...]] = {}
 
         def score(text: str | None) -> float:
@@ -78,7 +83,7 @@ class FactorizationMachine:
             found: set[int] = set()
             for w in set(words((text or "").lower())):
                 if (at := memo.get(w)) is None:
-                    at = memo[w] = tuple(place[h] for h in terms(w) if h in place)
+                    at = memo[w] = tuple(i for i in place[terms(w)].tolist() if i >= 0)
                 if at:
                     found.update(at)
             return float(logistic(self.raw(np.fromiter(sorted(found), np.int64, len(found)))))
@@ -90,44 +95,50 @@ def logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, rate: float = 0.1, decay: float = 2e-3, seed: int = 1) -> FactorizationMachine:
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, rate: float = 0.1, decay: float = 2e-3, seed: int = 1, first: np.ndarray | None = None) -> FactorizationMachine:
     """docs: hashed terms of each document; labels: 0 or 1. AdaGrad, a document at a time, shuffled by a fixed seed.
 
-    Without a number of epochs: six, or as many as it takes for STEPS steps.
+    Without a number of epochs: six, or as many as it takes for STEPS steps. first: terms that are trained alone before all are.
     """
     labels = np.asarray(labels, float)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.01
     model = FactorizationMachine(bias=float(np.log(share / (1 - share))))
     if not len(docs) or labels.min() == labels.max():
         return model
-    model.ids = ids = np.unique(np.concatenate(docs))
-    rows = []
+    place = np.full(HASH, -1, np.int32)
     for d in docs:
-        at = np.searchsorted(ids, d)
-        ok = (at < len(ids)) & (ids[np.minimum(at, max(0, len(ids) - 1))] == d) if len(ids) else np.zeros(len(d), bool)
-        rows.append(at[ok])
+        place[d] = 0
+    model.ids = ids = np.flatnonzero(place == 0)
+    place[ids] = np.arange(len(ids))
+    rows = [place[d] for d in docs]
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), FACTORS))
     gw, gv, gb = np.full(len(ids), 1e-8), np.full((len(ids), FACTORS), 1e-8), 1e-8
     bias = model.bias
-    for _ in range(epochs or max(6, -(-STEPS // len(rows)))):
-        for i in rng.permutation(len(rows)):
-            at, y = rows[i], labels[i]
-            vi = v[at]
-            s = vi.sum(0)
-            z = bias + w[at].sum() + 0.5 * float((s**2 - (vi**2).sum(0)).sum())
-            # The step is shared by the document's terms, so that a long document doesn't move the sum more than a short one.
-            g = (float(logistic(z)) - y) * (1.0 if y else 0.5)
-            if abs(g) < 1e-3:
-                continue
-            own = g + decay * w[at]
-            gw[at] += own**2
-            w[at] -= rate * own / np.sqrt(gw[at])
-            own = g * (s - vi) + decay * vi
-            gv[at] += own**2 + 1e-6
-            v[at] -= 0.05 * rate * own / np.sqrt(gv[at])
-            gb += g * g
-            bias -= rate * g / np.sqrt(gb)
+    phases = [(rows, False)]
+    if first is not None:
+        early = np.isin(ids, first)
+        phases = [([at[early[at]] for at in rows], False), (rows, True)]
+    for now, shared in phases:
+        for _ in range(epochs or max(6, -(-STEPS // len(now)))):
+            for i in rng.permutation(len(now)):
+                at, y = now[i], labels[i]
+                vi = v[at]
+                s = vi.sum(0)
+                z = bias + w[at].sum() + 0.5 * float((s**2 - (vi**2).sum(0)).sum())
+                g = (float(logistic(z)) - y) * (1.0 if y else 0.5)
+                if abs(g) < (LEFT if shared else 1e-3):
+                    continue
+                # Among all its terms a document's step is shared, so that a long document doesn't move the sum more than a short one.
+                step = rate * min(1.0, SHARED / len(at)) if shared and len(at) else rate
+                own = g + decay * w[at]
+                gw[at] += own**2
+                w[at] -= step * own / np.sqrt(gw[at])
+                own = g * (s - vi) + decay * vi
+                gv[at] += own**2 + 1e-6
+                v[at] -= 0.05 * step * own / np.sqrt(gv[at])
+                gb += g * g
+                bias -= rate * g / np.sqrt(gb)
     model.w, model.v, model.bias = w, v, float(bias)
     return model
 
@@ -152,7 +163,7 @@ def telling(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Train on a bounded sample of the labelled rows whose crc32(key) mod 5 isn't 0.
 
-    The sample's terms are counted in the executors; the driver gets the telling ones and, for each document, which of them it has.
+    The sample's terms are counted in the executors; the driver gets each sampled document's terms. None is left out.
     """
     ship(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key, 5, 0)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
@@ -167,19 +178,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["k", "y", "ids"])
 
     found = materialize(joined.mapInArrow(run, "k bigint, y int, ids array<int>"), "sample")
-    chosen = np.sort(np.array([r.h for r in telling(found).collect()], np.int64))
-
-    def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.intersect1d(x, chosen).astype(np.int32) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["k", "y", "ids"])
-
-    sample = found.mapInArrow(narrow, "k bigint, y int, ids array<int>").toPandas().sort_values("k", kind="stable")
-    return train([np.asarray(x, np.int64) for x in sample["ids"]], sample["y"].to_numpy())
+    first = np.array([r.h for r in telling(found).collect()], np.int64)
+    sample = found.toArrow().combine_chunks()
+    order = np.argsort(sample.column("k").to_numpy(), kind="stable")
+    # Documents are views of one array of four bytes a term.
+    lists = sample.column("ids").chunk(0) if sample.num_rows else pa.array([], pa.list_(pa.int32()))
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    model = train([values[ends[i] : ends[i + 1]] for i in order], sample.column("y").to_numpy()[order], first=first)
+    del sample, lists, values
+    give_back()
+    return model
 
 
 def scorer(df: DataFrame, model: FactorizationMachine):
-    """A column function: text -> score. The model has a few weights for each term that the bounded sample repeats."""
+    """A column function: text -> score. The model has a few weights for each term of the bounded sample, HASH terms at most."""
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 

@@ -81,6 +81,19 @@ def test_interaction_beyond_additive_weights():
     assert right > 0.9
 
 
+def test_interaction_through_fit(spark):
+    """Terms that tell the label in pairs only have weights and factors too."""
+    rng = np.random.default_rng(1)
+    docs, labels = [], []
+    for i in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append((i, " ".join([*(f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.integers(10, 40, 4).tolist()), "xa" if a else "xb", "ya" if b else "yb"]), "en", 0.0, ""))
+        labels.append((i, 1, int(a != b)))
+    got = toxicity.score_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).where("held_out").collect()
+    truth = {i: y for i, _, y in labels}
+    assert len(got) > 300 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.9
+
+
 def test_toxicity_held_out(spark):
     data = "/root/testdata/sf0.1"
     got = QUERIES["op4_toxicity"](spark, data).collect()
