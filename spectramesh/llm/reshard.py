@@ -7,6 +7,10 @@ its middle lies. To keep that rounding small, documents above a hundredth of a s
 first, at home if they fit, else where most room is left; less than a hundred of them per shard can exist, so that list is
 bounded. Sizes then differ by about a hundredth of a shard, or by one document where single documents are larger than that.
 
+Then the affected shards are written: every new shard but those whose rows are those of the old shard of the same number. A block is a
+run of rows of its file, so the rows' new shards follow from a broadcast table of runs and large documents, and the scan of the
+texts writes them without a shuffle. Rows are told apart by file and place in it, never by their key.
+
 Law: `bytes`. Null texts have the size of the 16-byte header alone. Equal rows are separate rows. Equal texts may part.
 """
 
@@ -18,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectramesh.llm.common import RUN_ROWS, materialize, new_path, running
 
@@ -162,16 +167,20 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
 
 
+def file_numbers(rows: DataFrame) -> DataFrame:
+    """_file, old_shard: one row per file of the input, numbered by name."""
+    files = [(r[0], i) for i, r in enumerate(rows.select("_file").distinct().orderBy("_file").collect())]
+    return rows.sparkSession.createDataFrame(files, "_file string, old_shard int")
+
+
 def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, run_rows: int = RUN_ROWS) -> tuple[DataFrame, Plan]:
     """rows: _file (string), _place (long, distinct in the file), size (long) and any other columns.
 
-    Returns the rows with `old_shard`, `shard` and `slot` (gapless from 0 in each shard), and the plan. Old shards are numbered by
+    Returns the rows with `old_shard`, `shard`, `slot` (gapless from 0 in each shard) and `_large` (placed one by one), and the plan. Old shards are numbered by
     their file's name; the table of files is on the driver, as it is for any scan. An empty table makes an empty plan.
     """
     spark = rows.sparkSession
-    files = [(r[0], i) for i, r in enumerate(rows.select("_file").distinct().orderBy("_file").collect())]
-    # One row per file of the input.
-    numbers = spark.createDataFrame(files, "_file string, old_shard int")
+    numbers = file_numbers(rows)
     known = rows.join(F.broadcast(numbers), "_file").drop("_file")
     by_shard = known.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     total = sum(r.bytes for r in by_shard)
@@ -196,31 +205,62 @@ def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, run_ro
         .join(F.broadcast(large), ["old_shard", "_place"], "left")
         .withColumn("_middle", middle)
         .withColumn("shard", F.coalesce("_to", F.when(~F.col("_large"), F.coalesce(found, F.element_at("_cuts", -1)["t"]))))
-        .drop("_cuts", "_to", "_middle", "_large", "_begin")
+        .drop("_cuts", "_to", "_middle", "_begin")
     )
     # A row's order in its new shard: by old shard and place, added up in runs.
     out = out.withColumn("_order", F.col("old_shard").cast("long") * F.lit(1 << 40) + F.col("_place"))
     return running(out, "shard", "_order", F.lit(1), "slot", run_rows).drop("_order"), plan
 
 
+def untouched(flows: set[tuple[int, int]]) -> set[int]:
+    """New shards whose rows are all of the old shard of the same number. flows: (old shard, new shard) that share a row."""
+    return {t for s, t in flows if s == t and all((a == t) == (b == t) for a, b in flows)}
+
+
 def rewrite(resharded: DataFrame, content: DataFrame, keep: set[int] | None = None) -> str:
-    """Write the affected shards as one folder each and return the root. keep: shards whose content stays as it is.
+    """Write the affected shards as one folder each (`_shard=N`) and return the root.
 
-    resharded: doc_id, shard, slot; content: doc_id and the columns to write.
+    resharded: old_shard, _place, shard, _large of every row; content: the same table read from its files, with all columns to write. To
+    these come _old and _at, the row's old shard and place: their order is that of the slots. keep: shards whose content stays
+    as it is; without it, those that no row leaves or enters.
     """
     path = new_path(resharded.sparkSession, "shards")
-    rows = resharded.select("doc_id", "shard", "slot").join(content, "doc_id")
+    # A run of rows per block of the plan, at most (old + new) rows, and 100 large documents a shard.
+    runs = resharded.where(~F.col("_large")).groupBy("old_shard", "shard").agg(F.min("_place").alias("a"), F.max("_place").alias("b")).collect()
+    large = resharded.where("_large").select("old_shard", "_place", "shard").collect()
+    if keep is None:
+        keep = untouched({(r.old_shard, r.shard) for r in [*runs, *large]})
+    by_old: dict[int, list[tuple[int, int, int]]] = {}
+    for r in runs:
+        by_old.setdefault(r.old_shard, []).append((r.a, r.b, r.shard))
+    spark = resharded.sparkSession
+    cuts = spark.createDataFrame(sorted(by_old.items()), "_old int, _runs array<struct<a:bigint,b:bigint,t:int>>")
+    single = spark.createDataFrame([(r.old_shard, r._place, r.shard) for r in large], "_old int, _at bigint, _to int")
+    rows = located(content)
+    rows = rows.join(F.broadcast(file_numbers(rows).withColumnRenamed("old_shard", "_old")), "_file").drop("_file").withColumnRenamed("_place", "_at")
+    rows = rows.join(F.broadcast(cuts), "_old", "left").join(F.broadcast(single), ["_old", "_at"], "left")
+    rows = rows.withColumn("_shard", F.coalesce("_to", F.expr("filter(_runs, r -> _at >= r.a and _at <= r.b)[0].t"))).drop("_runs", "_to")
     if keep:
-        rows = rows.where(~F.col("shard").isin(sorted(keep)))
-    rows.repartition("shard", F.floor(F.col("slot") / RUN_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+        rows = rows.where(~F.col("_shard").isin(sorted(keep)))
+    rows.sortWithinPartitions("_shard", "_old", "_at").write.option("compression", "zstd").partitionBy("_shard").parquet(path)
     return path
 
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Put the documents of a table read from files into `shards` shards: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
+    The affected shards are written, and what is returned is read from them (from the old files for shards that stay).
     text_crc32 is that of the empty string for null texts. grown_shard is null: the law is `bytes`.
     """
-    rows = located(docs).select("_file", "_place", F.col(key).alias("doc_id"), size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
-    out, _ = reshard(materialize(rows, "sizes"), shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = materialize(located(docs).select("_file", "_place", size_of(F.col(text)).alias("size")), "sizes")
+    out = materialize(reshard(rows, shards)[0].select("old_shard", "_place", "shard", "_large"), "assigned")
+    keep = untouched({(r.old_shard, r.shard) for r in out.select("old_shard", "shard").distinct().collect()})
+    held = T.StructType([*docs.schema.fields, T.StructField("_old", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_shard", T.IntegerType())])
+    again = docs.sparkSession.read.schema(held).parquet(rewrite(out, docs, keep))
+    if keep:
+        same = located(docs)
+        same = same.join(F.broadcast(file_numbers(rows).withColumnRenamed("old_shard", "_old")), "_file").drop("_file").withColumnRenamed("_place", "_at").withColumn("_shard", F.col("_old"))
+        again = again.unionByName(same.where(F.col("_shard").isin(sorted(keep))))
+    read = again.select(F.col(key).alias("doc_id"), size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.col("_shard").alias("shard"), (F.col("_old").cast("long") * F.lit(1 << 40) + F.col("_at")).alias("_order"))
+    found = running(materialize(read, "reread"), "shard", "_order", F.lit(1), "slot")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

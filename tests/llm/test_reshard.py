@@ -1,6 +1,7 @@
 """Flows against brute force, and documents in near-equal, gapless shards."""
 
 import itertools
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -85,3 +86,30 @@ def test_runs_and_law(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "t"))
     assert R.shard_documents(spark.read.schema("doc_id bigint, text string").parquet(str(tmp_path / "t")), 4).count() == 0
+
+
+def test_rewrite_holds_every_row(spark, tmp_path):
+    """Null and repeated keys are rows of their own; what is written is the whole table, each row in its shard."""
+    rows = [(None if i % 7 == 0 else i % 5, f"{i} " * (i % 40), "x") for i in range(900)] + [(3, "z" * 9000, "x"), (None, None, "y")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, shard string").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    out = R.reshard(R.located(docs).select("_file", "_place", "doc_id", R.size_of(docs["text"]).alias("size")), 8)[0]
+    again = spark.read.parquet(R.rewrite(out, docs))
+    assert Counter((r.doc_id, r.text, r.shard) for r in again.collect()) == Counter(rows)
+    assert {(r._old, r._at): r._shard for r in again.collect()} == {(r.old_shard, r._place): r.shard for r in out.collect()}
+    got = R.shard_documents(docs, 8).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((k, zlib.crc32((t or "").encode())) for k, t, _ in rows)
+    slots = {(r.old_shard, r._place): (r.shard, r.slot) for r in out.collect()}
+    assert sorted((r.shard, r.slot) for r in got) == sorted(slots.values())
+
+
+def test_operator_writes_the_affected_shards(spark, tmp_path, monkeypatch):
+    assert R.untouched({(0, 0), (1, 1), (1, 2), (3, 3), (4, 3)}) == {0}
+    written = []
+    monkeypatch.setattr(R, "rewrite", lambda *a, f=R.rewrite: written.append(f(*a)) or written[-1])
+    for n, shards in ((3, 5), (4, 4)):
+        spark.range(0, 400, 1, n).selectExpr("id as doc_id", "'same' as text").write.parquet(str(tmp_path / f"t{n}"))
+        got = R.shard_documents(spark.read.parquet(str(tmp_path / f"t{n}")), shards).collect()
+        assert sorted(r.doc_id for r in got) == list(range(400))
+    assert spark.read.parquet(written[0]).select("_shard").distinct().count() >= 4
+    assert spark.read.schema("doc_id bigint").parquet(written[1]).count() == 0  # equal files stay as they are
