@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,18 +55,19 @@ def give_back() -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one, in local mode alone."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        at = _local_dir(spark)
+        at = spark.sparkContext.getCheckpointDir() or _local_dir(spark)
     return at.rstrip("/")
 
 
 def _local_dir(spark: SparkSession) -> str:
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spectramesh-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = tempfile.mkdtemp(prefix="spectramesh-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(at)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -86,13 +90,15 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None)
     """About `rows` rows at most, chosen by a hash of the key: the same ones wherever the rows lie.
 
     The share comes from the table's count, so the expected size doesn't depend on it. A key that repeats often
-    is taken or left as a whole; the limit of twice the rows bounds that case.
+    is taken or left as a whole; twice the rows bound that case, and those with the smallest hashes stay.
     """
     total = df.count() if total is None else total
     if total <= rows:
         return df
     share = int(rows / total * 2**32)
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(2**32)) < share).limit(2 * rows)
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(2**32))
+    some = df.where(place < share)
+    return some if some.limit(2 * rows + 1).count() <= 2 * rows else some.orderBy(place, *some.columns).limit(2 * rows)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -181,6 +187,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_key(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with a materialized table of one row per key, whose column n says how many rows have that key.
+
+    A table of at most `most` rows is broadcast. Of a larger one the keys are that have more than a `most`-th of all rows - fewer than
+    `most` of them - and the others are joined by shuffle, so that no task sees more of one key than that.
+    """
+    if facts.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(facts), on, how)
+    limit = facts.agg(F.sum("n")).first()[0] // most
+    hot = facts.where(F.col("n") > limit)
+    named = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(named, on, "left_anti").join(facts.where(F.col("n") <= limit), on, how))
+
+
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key isn't among `keys` (one column, materialized). Rows with a null key stay."""
     name = keys.columns[0]

@@ -11,13 +11,14 @@ A block value with more than `HOT` fingerprints is split once more: the other 48
 partners agree in one of four parts of twelve bits. No partner is lost and none is capped.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Equal texts share a fingerprint; so do texts that
-differ in case of A-Z or kind of blanks alone. Rows with a null key take part and come out with a null key; their component is
-the smallest known key, or null if there is none. An empty table gives an empty result. Other columns are ignored.
+differ in case of A-Z or kind of blanks alone. Keys are any longs. Rows with a null key take part and come out with a null key; their
+component is the smallest known key, or null if there is none. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import chunks, give_back, materialize, ship, small, without
+from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, give_back, materialize, ship, small, without
 from spectramesh.llm.components import components
 
 RADIUS, BLOCKS, FAN, HOT = 3, 4, 16, 200_000
@@ -198,19 +199,20 @@ def fingerprint_links(table: DataFrame, radius: int = RADIUS, hot: int = HOT) ->
 def link_documents(docs: DataFrame, words: int = 3, radius: int = RADIUS, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     prints = materialize(fingerprints(docs, words, key, text), "prints")
-    nobody = F.lit(2**63 - 1)  # stands for the key of fingerprints whose rows have none
-    table = prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nobody).alias("least"))
-    table = materialize(table.select("fp", "least", F.when(F.col("least") < nobody, F.col("least")).otherwise(F.xxhash64("fp").bitwiseOR(F.lit(1 << 62)).bitwiseAND(nobody)).alias("rep")), "table")
-    found = components(fingerprint_links(table, radius, hot))
-    linked = materialize(table.join(found, table["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("c")), "classes")
-    known = F.when(F.col("c") >= F.lit(1 << 62), F.lit(None)).otherwise(F.col("c"))
-    return prints.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known.alias("component_id"))
+    table = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    # Links are between fingerprints; only then does each component get its smallest key, whatever range the keys have.
+    table = materialize(table.withColumn("rep", F.col("fp")), "table")
+    found = materialize(components(fingerprint_links(table.select("fp", "rep"), radius, hot)), "found")
+    linked = materialize(table.join(found, F.col("rep") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "rep").alias("c")), "classes")
+    smallest = materialize(linked.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "smallest")
+    named = materialize(by_key(linked.select("fp", F.col("n").alias("rows"), "c"), smallest, ["c"]).select("fp", F.col("rows").alias("n"), "component_id"), "named")
+    return by_key(prints, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- near-duplicates by shingle similarity --------------------------------------------------------------------------
 
-#: Classes that a document's shingles are dealt into, and the shingles of a document that are dealt (at least; twice as many at most).
-CLASSES, DEALT = 32, 96
+#: A shingle in more prefixes than this is common and comes last in every document's order.
+COMMON = 64
 
 
 def _mixed(words: list[bytes], memo: dict[bytes, int], n: int) -> np.ndarray:
@@ -232,32 +234,24 @@ def _mixed(words: list[bytes], memo: dict[bytes, int], n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def class_prints(hashes: np.ndarray, similarity: float) -> list[int]:
-    """SimHash fingerprints of the classes of a document's shingles, each mixed with class and level to a long.
+def as_longs(hashes: np.ndarray) -> np.ndarray:
+    """Unsigned hashes as longs in the same order."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
 
-    A level keeps one shingle in 2^level. Documents near a level's end take both, so that two documents of the given similarity
-    have one in common; then a class has a handful of shingles, and classes of similar documents are often wholly equal.
+
+def reach(n: int, similarity: float) -> int:
+    """How many of n shingles, in an order that all documents share, hold at least one of any set that is `similarity` alike.
+
+    Alike sets share at least similarity * n of the n, so those can't all lie beyond the first n - ceil(similarity * n) + 1.
     """
-    if not len(hashes):
-        return [0]
-    levels = {max(0, int(np.floor(np.log2(max(1.0, len(hashes) * f / DEALT))))) for f in (similarity, 1.0, 1 / similarity)}
-    out = []
-    for level in sorted(levels):
-        some = hashes[hashes & np.uint64((1 << level) - 1) == 0]
-        of = ((some >> np.uint64(32)) % np.uint64(CLASSES)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        some, of = some[order], of[order]
-        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-        if not len(begin):
-            continue
-        bits = np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts, n = np.add.reduceat(bits, begin, axis=0, dtype=np.int32), np.diff(np.append(begin, len(of)))
-        fps = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        with np.errstate(over="ignore"):
-            # A majority over few shingles often ties; their number and sum tell such classes apart.
-            mixed = (fps ^ (np.add.reduceat(some, begin) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15) + (of[begin] * 64 + level).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        out += (mixed ^ (mixed >> np.uint64(31))).view(np.int64).tolist()
-    return out
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """Two longs that equal sets share; other sets do with a chance of 2^-128."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return signed(int(hashes.sum(dtype=np.uint64))), signed(int((mixed ^ (mixed >> np.uint64(32))).sum(dtype=np.uint64)))
 
 
 #: Counters of a document's shingles, and the documents of a class that meet those of another block (or their own) in one cell.
@@ -293,47 +287,72 @@ def crossing(docs: np.ndarray, parts: np.ndarray, side: np.ndarray, counts: np.n
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
+
+
+def _beside(pairs: DataFrame, side: str, full: DataFrame, name: str, most: int) -> DataFrame:
+    """pairs with the shingles of the document named by `side`; one that is in many pairs is sent to as many places as it takes."""
+    limit = max(CELL, pairs.count() // most)
+    many = pairs.groupBy(side).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    # Fewer than `most` documents can have that many pairs.
+    many = F.broadcast(materialize(many.select(side, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "many"))
+    parts = F.coalesce("_parts", F.lit(1))
+    sent = full.select(F.col("doc_id").alias(side), F.col("shingles").alias(name)).join(many, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    dealt = pairs.join(many, side, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("_parts")
+    return dealt.join(sent, [side, "_part"]).drop("_part")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", rounds: int = 2, common: int = COMMON, most: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, component_id of the documents that have a near-duplicate: Jaccard similarity of their word shingles of `similarity` or more.
 
-    Candidates are all pairs of a class: documents whose fingerprints the Gray-order index (radius three) puts into one component,
-    and, as similarity 0.8 puts fingerprints some ten bits apart, documents with an equal fingerprint of a class of shingles. First each
-    document is compared with its class's pivot, the document with most company; in the other `rounds`, classes with several
+    Keys are distinct longs; rows with a null key take no part. Documents with equal sets of shingles (the empty set too) are one from the start.
+    Candidates are all pairs of a class. A class is the documents with one shingle among their first `reach`, in the order of the
+    shingles' hashes with common shingles last: whatever shingles are called common, every pair of the given similarity shares such
+    a class. The documents whose fingerprints the Gray-order index (radius three) puts into one component are a class besides.
+
+    First each document is compared with its class's pivot, the document with most company; in the other `rounds`, classes with several
     components left compare each document with the likeliest one of another component. In the end all pairs of a class that are not
     in one component by then are compared, in cells of blocks of CELL documents, but for those whose sizes or counters
-    rule the similarity out. So every pair of a class is compared, ruled out by a bound, or joined. Each comparison is
-    exact over all shingles.
+    rule the similarity out. So no pair of that similarity is left in two components. Each comparison is exact over all shingles.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
+    def made(b: pa.RecordBatch, memo: dict[bytes, int]) -> list[np.ndarray]:
+        return [_mixed((t or "").encode("utf-8", "surrogatepass").translate(_lower).split(), memo, words) for t in b.column(1).to_pylist()]
+
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for b in chunks(batches):
-            fps, keys, counts = [], [], []
-            for t in b.column(1).to_pylist():
-                h = _mixed((t or "").encode("utf-8", "surrogatepass").translate(_lower).split(), memo, words)
-                fps.append(signed(majority(h)))
-                keys.append(class_prints(h, similarity))
-                counts.append(shingle_counts(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "fp", "keys", "counts"])
+            found = made(b, memo)
+            marks = [digest(h) for h in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([signed(majority(h)) for h in found], pa.int64()), pa.array([x for x, _ in marks], pa.int64()), pa.array([y for _, y in marks], pa.int64()),
+                    pa.array([len(h) for h in found], pa.int32()), _lists([as_longs(h[: reach(len(h), similarity)]) for h in found], pa.int64()), pa.array([shingle_counts(h) for h in found], pa.binary()),
+                ],
+                ["doc_id", "fp", "d1", "d2", "size", "keys", "counts"],
+            )
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        for b in chunks(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([as_longs(h) for h in made(b, memo)], pa.int64())], ["doc_id", "keys"])
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for b in chunks(batches):
-            found = [(_mixed((t or "").encode("utf-8", "surrogatepass").translate(_lower).split(), memo, words) >> np.uint64(16)).astype("<u8") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(h >> np.uint64(16)).astype("<u8").tobytes() for h in made(b, memo)], pa.binary())], ["doc_id", "shingles"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x == y:
-                    ok.append(True)
-                    continue
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) or not len(x):
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9 or not len(x) or not len(y):
                     ok.append(False)
                     continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -367,49 +386,79 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
         """Those of the pairs that are near-duplicates."""
         named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
         full = materialize(texts.join(small(named), "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary"), "shingles")
-        left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
-
-    marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, keys array<bigint>, counts binary"), "sketches")
+        sent = _beside(_beside(pairs, "a", full, "x", most), "b", full, "y", most)
+        return materialize(sent.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+
+    marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, d1 bigint, d2 bigint, size int, keys array<bigint>, counts binary"), "sketches")
+    # Copies: of each set of shingles the smallest key stands for all.
+    groups = materialize(marks.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "groups")
+    copies = materialize(by_key(marks.select("doc_id", "d1", "d2", "size"), groups, ["d1", "d2", "size"], most=most).where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    single = marks.join(small(copies.select("doc_id"), most), "doc_id", "left_anti")
+    # Classes by a shingle of the prefix. Where one is common, the documents that began with it begin with others.
+    first = single.where("size > 0").select("doc_id", F.explode("keys").alias("k"))
+    often = materialize(first.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > common), "common")
+    if not often.isEmpty():
+        moved = materialize(by_key(first, often, ["k"], most=most).select("doc_id").distinct(), "moved")
+        again = texts.join(small(moved, most), "doc_id", "left_semi").mapInArrow(whole, "doc_id bigint, keys array<bigint>").select("doc_id", F.size("keys").alias("size"), F.explode("keys").alias("k"))
+        ordered = by_key(again, often, ["k"], "left", most).groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("n").isNotNull().alias("late"), "k"))).alias("s"))
+        count = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
+        again = ordered.select("doc_id", F.explode(F.slice(F.transform("s", lambda x: x["k"]), F.lit(1), count)).alias("k"))
+        first = materialize(first.join(small(moved, most), "doc_id", "left_anti").unionByName(again), "prefixes")
     # The documents of an index component are a class of their own; most fingerprints are alone in theirs and need no row.
-    prints = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "prints")
-    index = materialize(components(fingerprint_links(prints.select("fp", "rep"))), "index")
-    family = prints.join(small(index), F.col("rep") == F.col("node"), "left").select("fp", F.xxhash64(F.lit("family"), F.coalesce("component", "rep")).alias("k"), F.col("node").isNotNull().alias("linked"), "n")
-    family = materialize(family.where("linked or n > 1").select("fp", "k"), "families")
-    rows = marks.select("doc_id", F.explode("keys").alias("k")).unionByName(marks.select("doc_id", "fp").join(small(family), "fp").select("doc_id", "k"))
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(rows.join(sizes, "k"), "company")
+    prints = materialize(single.where("size > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "prints")
+    index = materialize(components(fingerprint_links(prints.select("fp", "rep")), most=most), "index")
+    family = prints.join(small(index, most), F.col("rep") == F.col("node"), "left").select("fp", F.xxhash64(F.lit("family"), F.coalesce("component", "rep")).alias("k"), F.col("node").isNotNull().alias("linked"), "n")
+    family = materialize(family.where("linked or n > 1").select("fp", "k", "n"), "families")
+    rows = first.unionByName(by_key(single.where("size > 0").select("doc_id", "fp"), family, ["fp"], most=most).select("doc_id", "k"))
+    # Classes of the same documents are one class.
+    sized = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("s2")).where("n > 1")
+    sizes = materialize(sized.groupBy("n", "s1", "s2").agg(F.min("k").alias("k")).select("k", "n"), "classes")
+    rows = materialize(by_key(rows, sizes, ["k"], most=most).select("k", "doc_id", "n"), "company")
     popular = rows.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    ranked = rows.join(popular, "doc_id").select("k", "doc_id", F.struct("company", (-F.col("doc_id")).alias("m")).alias("rank"))
-    pivots = ranked.groupBy("k").agg((-F.max("rank")["m"]).alias("pivot"))
-    tested = materialize(rows.join(pivots, "k").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
+    ranked = materialize(rows.join(popular, "doc_id").join(marks.select("doc_id", "size"), "doc_id").select("k", "n", "doc_id", "size", "company"), "ranked")
+    pivots = ranked.groupBy("k", "n").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("m"), "size")).alias("p"))
+    pivots = materialize(pivots.select("k", "n", (-F.col("p.m")).alias("pivot"), F.col("p.size").alias("other")), "pivots")
+    likely = F.least("size", "other") >= F.greatest("size", "other") * similarity - 1e-9
+    met = by_key(ranked.select("k", "doc_id", "size"), pivots, ["k"], most=most).where(F.col("doc_id") != F.col("pivot")).where(likely)
+    tested = materialize(met.select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = alike(tested)
     for turn in range(max(1, rounds)):
-        parts = materialize(components(links), "parts")
-        placed = materialize(rows.select("k", "doc_id").join(small(parts), F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("c")), "placed")
-        still = materialize(placed.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x <> y").select("k", "n"), "open")
+        parts = materialize(components(links, most=most), "parts")
+        placed = materialize(rows.join(small(parts, most), F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "placed")
+        still = materialize(placed.groupBy("k", "n").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k", "n"), "open")
         blocks = F.ceil(F.col("n") / CELL).cast("int")
-        cells = placed.join(small(still), "k").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
+        cells = by_key(placed.drop("n"), still, ["k"], most=most).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
         cells = cells.join(marks.select("doc_id", "counts"), "doc_id").select("k", "doc_id", "c", "block", "counts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cells = cells.select("k", "doc_id", "c", "block", "counts", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         found = cells.repartition("k", "lo", "hi").mapInArrow(meet(turn + 1 < rounds), "a bigint, b bigint").distinct()
         found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(alike(found))
         tested = tested.unionByName(found)
-    found = components(links)
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    found = materialize(components(links, most=most), "components")
+    # Copies follow the document that stands for them.
+    groups = groups.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("component_id"), F.col("node").isNull().alias("alone"))
+    groups = materialize(groups, "groups")
+    rest = by_key(copies, groups, ["rep"], most=most).select("doc_id", "component_id").unionByName(groups.where("alone").select(F.col("rep").alias("doc_id"), "component_id"))
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).unionByName(rest)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near-duplicates and of each group the one with the smallest key, columns as they are.
 
-    Of rows that repeat a key, one stays. Rows with a null key stay.
+    Rows with a null key stay. Rows that repeat a key are told apart by their texts: those that aren't near-duplicates all stay, and of
+    those that are, with the same smallest key, the one whose text has the smallest hash (of equal texts the first one read).
     """
-    found = near_duplicates(docs, words, similarity, key, text)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "duplicates")
-    kept = without(docs, gone, key)
-    rows, keys = docs.select(F.count(key), F.count_distinct(key)).first()
-    if rows == keys:
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    rows, some, keys = docs.select(F.count("*"), F.count(key), F.count_distinct(key)).first()
+    if some == keys:
+        found = near_duplicates(docs, words, similarity, key, text)
+        return without(docs, materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "duplicates"), key)
+    at = "_row"
+    while at in docs.columns:
+        at += "_"
+    numbered = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    known = numbered.where(F.col(key).isNotNull()).select(F.col(at).alias("_at"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    found = near_duplicates(numbered.where(F.col(key).isNotNull()).select(at, text), words, similarity, at, text).join(known, F.col("doc_id") == F.col("_at"))
+    found = materialize(found.select("component_id", F.struct("_key", "_hash", "_at").alias("place")), "places")
+    stays = materialize(found.groupBy("component_id").agg(F.min("place").alias("least"), F.count("*").alias("n")), "stays")
+    gone = by_key(found, stays, ["component_id"]).where(F.col("place") != F.col("least")).select(F.col("place._at").alias("_gone"))
+    return without(numbered, materialize(gone, "duplicates"), at).drop(at)

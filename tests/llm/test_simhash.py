@@ -126,6 +126,65 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def brute(texts):
+    """Components of all pairs with a similarity of 0.8, each pair compared."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    return roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+
+
+def test_reach_loses_no_pair():
+    """The first shingles of two alike sets share one, in any order of the shingles."""
+    rng = np.random.default_rng(5)
+    for n in range(1, 60):
+        base = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        for _ in range(20):
+            x, y = (np.unique(np.concatenate([base[: n - c], rng.integers(0, 2**63, c).astype(np.uint64)])) for c in rng.integers(0, n // 4 + 1, 2))
+            if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+                assert set(x[: S.reach(len(x), 0.8)].tolist()) & set(y[: S.reach(len(y), 0.8)].tolist())
+
+
+@pytest.mark.parametrize("common, most", [(64, 1_000_000), (3, 1_000_000), (3, 5)])
+def test_common_passages_and_small_broadcasts(spark, common, most):
+    """Passages that most documents share, copies, near copies and empty texts; with every shared shingle called common, and hardly a table broadcast."""
+    rng = random.Random(21)
+    vocab = [f"p{i}" for i in range(4000)]
+    passage, texts = rng.choices(vocab, k=60), []
+    for k in range(90):
+        base = rng.choices(vocab, k=rng.choice([10, 30, 120])) + passage * (k % 2)
+        for edits in (0, 0, 1, 2):
+            other = list(base)
+            for _ in range(edits):
+                other[rng.randrange(len(other))] = rng.choice(vocab)
+            texts.append(" ".join(other))
+    texts += ["", None, " ", "one", "one", "two"]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df, common=common, most=most).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute(texts)
+
+
+def test_repeated_keys_with_other_texts(spark):
+    """A repeated key drops no text of its own, whatever the table's other columns are called."""
+    long, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, long, "x"), (1, other, "x"), (2, long, "y"), (2, "quite something else", "y"), (None, long, "z"), (3, other + " c", "w")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, _row string"))
+    assert kept.columns == ["doc_id", "text", "_row"]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, long), (1, long), (1, other), (2, "quite something else")])
+
+
+def test_keys_of_any_size(spark):
+    rows = [((1 << 62) + 5, "a b c"), ((1 << 62) + 6, "a b c"), (-(1 << 63), "x y z q"), ((1 << 63) - 1, "x y z q"), ((1 << 63) - 2, "k l m n")]
+    got = {r.doc_id: r.component_id for r in S.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1 << 62) + 5: (1 << 62) + 5, (1 << 62) + 6: (1 << 62) + 5, -(1 << 63): -(1 << 63), (1 << 63) - 1: -(1 << 63), (1 << 63) - 2: (1 << 63) - 2}
+
+
+def test_components_with_hardly_a_broadcast(spark):
+    rng = random.Random(2)
+    pairs = [(0, i) for i in range(1, 200)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), most=3).collect()}
+    assert [got.get(i, i) for i in range(400)] == roots(400, pairs)
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(4)
     vocab = [f"u{i}" for i in range(5000)]
@@ -154,7 +213,7 @@ def test_empty_near(spark):
 
 
 def test_large_group_without_its_original(spark):
-    """No member is near all others: links between non-pivots decide, and they are those of a comparison of all pairs of a class."""
+    """No member is near all others: links between non-pivots decide, and they are those of a comparison of all pairs."""
     rng = random.Random(12)
     vocab = [f"t{i}" for i in range(5000)]
     texts = []
@@ -166,11 +225,7 @@ def test_large_group_without_its_original(spark):
                 other[at] = rng.choice(vocab)
             texts.append(" ".join(other))
     rng.shuffle(texts)
-    made = [S._mixed(t.encode().split(), {}, 5) for t in texts]
-    keys = [set(S.class_prints(h, 0.8)) for h in made]
-    sets = [set(h.tolist()) for h in made]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = roots(len(texts), near)
+    want = brute(texts)
     got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
 
