@@ -260,7 +260,24 @@ COUNTERS, CELL = 64, 512
 
 def shingle_counts(hashes: np.ndarray) -> bytes:
     """How many shingles fall to each counter. Two documents share at most the sum of their smaller counters."""
-    return np.bincount((hashes >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype("<i4").tobytes()
+    return _counters(hashes, COUNTERS)
+
+
+def _counters(hashes: np.ndarray, n: int) -> bytes:
+    return np.bincount((hashes >> np.uint64(32)).astype(np.int64) % n, minlength=n).astype("<i4").tobytes()
+
+
+def fine_counts(hashes: np.ndarray) -> bytes:
+    """The same with a counter for every four shingles or so: a power of two, so that those of a longer document fold to those of a shorter."""
+    return _counters(hashes, max(COUNTERS, 1 << (len(hashes) // 4).bit_length()))
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two documents can be `similarity` alike by their fine counters."""
+    n = min(len(x), len(y))
+    x, y = x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)
+    shared = int(np.minimum(x, y).sum())
+    return shared >= similarity * (int(x.sum()) + int(y.sum()) - shared) - 1e-9
 
 
 def crossing(docs: np.ndarray, parts: np.ndarray, side: np.ndarray, counts: np.ndarray, similarity: float, best: bool) -> list[tuple[int, int]]:
@@ -292,14 +309,14 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
 
 
-def _beside(pairs: DataFrame, side: str, full: DataFrame, name: str, most: int) -> DataFrame:
-    """pairs with the shingles of the document named by `side`; one that is in many pairs is sent to as many places as it takes."""
+def _beside(pairs: DataFrame, side: str, held: DataFrame, name: str, most: int) -> DataFrame:
+    """pairs with what `held` has of the document named by `side`, as `name`; one that is in many pairs is sent to as many places as it takes."""
     limit = max(CELL, pairs.count() // most)
     many = pairs.groupBy(side).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     # Fewer than `most` documents can have that many pairs.
     many = F.broadcast(materialize(many.select(side, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "many"))
     parts = F.coalesce("_parts", F.lit(1))
-    sent = full.select(F.col("doc_id").alias(side), F.col("shingles").alias(name)).join(many, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    sent = held.select(F.col("doc_id").alias(side), F.col("held").alias(name)).join(many, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     dealt = pairs.join(many, side, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("_parts")
     return dealt.join(sent, [side, "_part"]).drop("_part")
 
@@ -333,19 +350,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
                 [
                     b.column(0), pa.array([signed(majority(h)) for h in found], pa.int64()), pa.array([x for x, _ in marks], pa.int64()), pa.array([y for _, y in marks], pa.int64()),
                     pa.array([len(h) for h in found], pa.int32()), _lists([as_longs(h[: reach(len(h), similarity)]) for h in found], pa.int64()), pa.array([shingle_counts(h) for h in found], pa.binary()),
+                    pa.array([fine_counts(h) for h in found], pa.binary()),
                 ],
-                ["doc_id", "fp", "d1", "d2", "size", "keys", "counts"],
+                ["doc_id", "fp", "d1", "d2", "size", "keys", "counts", "fine"],
             )
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        for b in chunks(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([as_longs(h) for h in made(b, memo)], pa.int64())], ["doc_id", "keys"])
-
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for b in chunks(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(h >> np.uint64(16)).astype("<u8").tobytes() for h in made(b, memo)], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(h >> np.uint64(16)).astype("<u8").tobytes() for h in made(b, memo)], pa.binary())], ["doc_id", "held"])
+
+    def ruled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([may_be_alike(np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4"), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+        give_back()
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -382,14 +401,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
 
         return run
 
+    def faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        return _beside(_beside(pairs, "a", held, "x", most), "b", held, "y", most).select("a", "b", "x", "y")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are near-duplicates."""
+        """Those of the pairs that are near-duplicates: by their fine counters first, then by all shingles."""
+        pairs = materialize(faced(pairs, fine).mapInArrow(ruled, "a bigint, b bigint"), "likely")
         named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
-        full = materialize(texts.join(small(named), "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary"), "shingles")
-        sent = _beside(_beside(pairs, "a", full, "x", most), "b", full, "y", most)
-        return materialize(sent.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+        full = materialize(texts.join(small(named), "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, held binary"), "shingles")
+        return materialize(faced(pairs, full).mapInArrow(compare, "a bigint, b bigint"), "links")
 
-    marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, d1 bigint, d2 bigint, size int, keys array<bigint>, counts binary"), "sketches")
+    marks = materialize(texts.mapInArrow(sketch, "doc_id bigint, fp bigint, d1 bigint, d2 bigint, size int, keys array<bigint>, counts binary, fine binary"), "sketches")
+    fine = marks.select("doc_id", F.col("fine").alias("held"))
     # Copies: of each set of shingles the smallest key stands for all.
     groups = materialize(marks.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "groups")
     copies = materialize(by_key(marks.select("doc_id", "d1", "d2", "size"), groups, ["d1", "d2", "size"], most=most).where("doc_id <> rep").select("doc_id", "rep"), "copies")
@@ -397,21 +420,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     # Classes by a shingle of the prefix. Where one is common, the documents that began with it begin with others.
     first = single.where("size > 0").select("doc_id", F.explode("keys").alias("k"))
     often = materialize(first.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > common), "common")
-    if not often.isEmpty():
+    # Of a longer list those with more than a `most`-th of all rows: fewer than `most` of them, eight bytes each.
+    limit = 0 if often.limit(most + 1).count() <= most else single.agg(F.sum(F.size("keys"))).first()[0] // most
+    often = often.where(F.col("n") > limit)
+    late = np.sort(often.select("k").toArrow().column("k").to_numpy())
+    if len(late):
+        sent = spark.sparkContext.broadcast(late)
         moved = materialize(by_key(first, often, ["k"], most=most).select("doc_id").distinct(), "moved")
-        again = texts.join(small(moved, most), "doc_id", "left_semi").mapInArrow(whole, "doc_id bigint, keys array<bigint>").select("doc_id", F.size("keys").alias("size"), F.explode("keys").alias("k"))
-        ordered = by_key(again, often, ["k"], "left", most).groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("n").isNotNull().alias("late"), "k"))).alias("s"))
-        count = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
-        again = ordered.select("doc_id", F.explode(F.slice(F.transform("s", lambda x: x["k"]), F.lit(1), count)).alias("k"))
-        first = materialize(first.join(small(moved, most), "doc_id", "left_anti").unionByName(again), "prefixes")
+
+        def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo: dict[bytes, int] = {}
+            late = sent.value
+            for b in chunks(batches):
+                out = []
+                for h in map(as_longs, made(b, memo)):
+                    last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                    out.append(np.concatenate([h[~last], h[last]])[: reach(len(h), similarity)])
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(out, pa.int64())], ["doc_id", "keys"])
+
+        other = texts.join(small(moved, most), "doc_id", "left_semi").mapInArrow(again, "doc_id bigint, keys array<bigint>").select("doc_id", F.explode("keys").alias("k"))
+        first = materialize(first.join(small(moved, most), "doc_id", "left_anti").unionByName(other), "prefixes")
     # The documents of an index component are a class of their own; most fingerprints are alone in theirs and need no row.
     prints = materialize(single.where("size > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "prints")
     index = materialize(components(fingerprint_links(prints.select("fp", "rep")), most=most), "index")
     family = prints.join(small(index, most), F.col("rep") == F.col("node"), "left").select("fp", F.xxhash64(F.lit("family"), F.coalesce("component", "rep")).alias("k"), F.col("node").isNotNull().alias("linked"), "n")
     family = materialize(family.where("linked or n > 1").select("fp", "k", "n"), "families")
     rows = first.unionByName(by_key(single.where("size > 0").select("doc_id", "fp"), family, ["fp"], most=most).select("doc_id", "k"))
+    shared = materialize(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    rows = materialize(by_key(rows, shared, ["k"], most=most).select("k", "doc_id"), "company")
     # Classes of the same documents are one class.
-    sized = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("s2")).where("n > 1")
+    sized = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("s2"))
     sizes = materialize(sized.groupBy("n", "s1", "s2").agg(F.min("k").alias("k")).select("k", "n"), "classes")
     rows = materialize(by_key(rows, sizes, ["k"], most=most).select("k", "doc_id", "n"), "company")
     popular = rows.groupBy("doc_id").agg(F.sum("n").alias("company"))
