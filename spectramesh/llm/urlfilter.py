@@ -22,16 +22,16 @@ BUCKETS = 1 << 16
 ORDERS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Hosts of the labelled table, by verdict. Each is labelled with a few paths.
+#: Site names of the labelled table, by verdict: gambling, pills, adult, advertising and link spam, against everyday sites. Each comes with a few hosts and paths.
 BLOCKED_SITES = (
-    "casino-win", "casino-royal", "online-casino", "win-jackpot", "poker-win", "lucky-slots", "free-bets", "bets-online", "sport-bets", "free-spins",
-    "cheap-pills", "pills-online", "buy-pills", "cheap-meds", "cheap-watches", "adult-x", "adult-cams", "x-adult", "xxx-video", "adult-dating",
-    "ads-track", "ad-tracker", "track-click", "click-ads", "ads-server", "popup-ads", "spam-farm", "link-farm", "spam-links", "seo-spam",
+    "casino-royal", "online-casino", "casinobonus", "bestcasino", "win-jackpot", "poker-win", "winbig", "lucky-slots", "bets-online", "sport-bets", "livebets", "free-spins", "freecoins", "free-chips",
+    "pills-online", "buy-pills", "pillshop", "cheap-meds", "cheap-watches", "cheapviagra", "diet-pills", "adult-cams", "x-adult", "adultvideo", "xxx-video", "adult-dating",
+    "ad-tracker", "track-click", "click-ads", "ads-server", "popup-ads", "tracking-pixel", "banner-ads", "link-farm", "spam-links", "seo-spam", "clickfarm", "spammail",
 )
 ALLOWED_SITES = (
-    "daily-news", "city-library", "weather", "open-science", "history-archive", "garden-club", "travel-notes", "recipes", "museum", "university",
-    "physics-lab", "health-service", "music-school", "books", "photo-journal", "math-notes", "river-walks", "theatre", "engineering", "farm-life",
-    "thering", "tionsh", "therha", "ththnd", "tiontion", "ththan", "thered", "ththon", "ththsh", "thernt",
+    "daily-news", "city-library", "weather", "open-science", "history-archive", "garden-club", "travel-notes", "recipes", "museum", "university", "education", "station-times", "the-reader",
+    "physics-lab", "health-service", "music-school", "books", "photo-journal", "math-notes", "river-walks", "theatre", "engineering", "farmlife", "northern-trails", "mother-care", "gathering",
+    "nation", "breathing-room", "other-voices", "north-theatre", "the-thirteenth-hour", "bathtub-repair", "youth-orchestra", "motherboard", "lighthouse-trust", "healthy-things", "birthday-cakes", "smith-and-son",
 )
 HOST_FORMS = ("{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com")
 PATH_FORMS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}")
