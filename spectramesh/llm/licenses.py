@@ -9,7 +9,8 @@ similarity of 0.19 with it at least, or one in eight for a template of a single
 shingles that a stretch as long as the template holds must be `similarity` at least.
 
 Null, empty and short texts hold no license. Repeated passages count once a template, with the best place, the first of equal ones. Equal
-documents get equal rows. Documents with a null key come out with a null key. An empty table gives no rows. Other columns are ignored.
+documents get equal rows. Documents with a null key come out with a null key. An empty table gives no rows. Other columns are ignored. Notices
+of related licenses share most of their words, so a document may get a row for each; the largest containment tells which one it is.
 """
 
 from __future__ import annotations
@@ -37,7 +38,29 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
+#: Templates that a table of them may hold.
+MOST_TEMPLATES = 10_000
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -133,15 +156,28 @@ class Scanner:
 _scanners: dict[tuple, Scanner] = {}
 
 
-def scan_documents(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, license, template (its number), containment, first_word: a row per document and template that it holds."""
+def listed(templates: DataFrame, license: str = "license", text: str = "text") -> tuple[tuple[str, str], ...]:
+    """A table of templates as a list, numbered by name and text. Rows without a name or a text are left out; MOST_TEMPLATES at most."""
+    rows = templates.where(F.col(license).isNotNull() & F.col(text).isNotNull()).select(F.col(license).alias("a"), F.col(text).alias("b")).distinct().orderBy("a", "b").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return tuple((r.a, r.b) for r in rows)
+
+
+def scan_documents(docs: DataFrame, templates: tuple[tuple[str, str], ...] | DataFrame = TEMPLATES, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, license, template (its number), containment, first_word: a row per document and template that it holds.
+
+    templates: pairs of name and text, or a table of license and text (see `listed`).
+    """
     ship(docs.sparkSession)
+    known = listed(templates) if isinstance(templates, DataFrame) else templates
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _scanners.setdefault((templates, similarity), Scanner(templates, similarity))
+        if (scanner := _scanners.get((known, similarity))) is None:
+            scanner = _scanners[known, similarity] = Scanner(known, similarity)
         for b in chunks(batches):
             keys = b.column(0).to_pylist()
-            rows = [(keys[x[0]], *x[1:]) for x in known.scan(b.column(1).to_pylist())]
+            rows = [(keys[x[0]], *x[1:]) for x in scanner.scan(b.column(1).to_pylist())]
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "license", "template", "containment", "first_word"])

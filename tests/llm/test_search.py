@@ -134,3 +134,19 @@ def test_scan_edges(spark):
     got = licenses.scan_documents(df).collect()
     assert sorted((r.doc_id or 0, r.license, r.first_word) for r in got) == [(0, "GPL-3.0", 1), (1, "GPL-3.0", 1), (1, "GPL-3.0", 1), (2, "MIT", 100_000)]
     assert licenses.scan_documents(df.limit(0)).count() == 0
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("B", "one two three four five six seven"), ("A", "all rights of this sort stay"), (None, "x"), ("C", None), ("A", "all rights of this sort stay")], "license string, text string")
+    df = spark.createDataFrame([(1, "so all rights of this sort stay here"), (2, "zero one two three four five six seven eight")], "doc_id bigint, text string")
+    assert licenses.listed(table) == (("A", "all rights of this sort stay"), ("B", "one two three four five six seven"))
+    assert sorted((r.doc_id, r.license, r.template, r.first_word) for r in licenses.scan_documents(df, table).collect()) == [(1, "A", 0, 1), (2, "B", 1, 1)]
+    assert licenses.scan_documents(df, table.limit(0)).count() == 0
+
+
+def test_a_notice_is_nearest_to_its_own_template(spark):
+    df = spark.createDataFrame([(i, "Note. " + t + " End.") for i, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id bigint, text string")
+    best = {}
+    for r in licenses.scan_documents(df).collect():
+        best.setdefault(r.doc_id, []).append((-r.containment, r.template != r.doc_id, r.license))
+    assert [min(best[i])[2] for i in range(len(licenses.TEMPLATES))] == [n for n, _ in licenses.TEMPLATES] and all(min(x)[0] == -1 for x in best.values())
