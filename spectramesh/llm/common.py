@@ -70,6 +70,14 @@ def _local_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def free(name: str, columns: Iterable[str]) -> str:
+    """A column name that isn't among `columns`: the given one, with as many underscores as it takes."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -211,16 +219,18 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 RUN_ROWS = 1 << 16
 
 
-def running(df: DataFrame, group: str, position: str, value: Column, name: str, rows: int = RUN_ROWS) -> DataFrame:
-    """Add the sum of `value` over the rows before this one in its group, by position (gapless or nearly so).
+def running(df: DataFrame, group: str, position: str, value: Column | dict[str, Column], name: str = "", rows: int = RUN_ROWS) -> DataFrame:
+    """Add the sum of `value` over the rows before this one in its group, by position (gapless or nearly so); of several, by name.
 
     Two passes: windows over runs of at most `rows` positions, and prefix sums over the runs' totals. No task sees a whole group.
     """
+    values = value if isinstance(value, dict) else {name: value}
     run = F.floor(F.col(position) / rows).alias("_run")
-    df = df.withColumn("_value", value).withColumn("_run", run)
-    totals = df.groupBy(group, "_run").agg(F.sum("_value").alias("_total"))
+    df = df.withColumns({f"_value_{n}": v for n, v in values.items()}).withColumn("_run", run)
+    totals = df.groupBy(group, "_run").agg(*(F.sum(f"_value_{n}").alias(f"_total_{n}") for n in values))
     # One row per run of 65,536 rows: a billionth of the table, by group in order.
     before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(group, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    bases = totals.select(group, "_run", *(F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in values))
     own = Window.partitionBy(group, "_run").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0))).join(bases, [group, "_run"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_value", "_run", "_base", "_own")
+    df = df.select("*", *(F.coalesce(F.sum(f"_value_{n}").over(own), F.lit(0)).alias(f"_own_{n}") for n in values)).join(bases, [group, "_run"])
+    return df.withColumns({n: F.col(f"_base_{n}") + F.col(f"_own_{n}") for n in values}).drop("_run", *(f"_{x}_{n}" for n in values for x in ("value", "base", "own")))

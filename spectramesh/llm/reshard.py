@@ -3,9 +3,10 @@
 The old shards are sources, the new ones sinks; an edge's cost is what it takes to move one byte, zero where a shard keeps its
 place. The flow is solved exactly on the driver over one number per old and per new shard. Documents aren't divisible, so the
 flow's blocks are cut between documents: within each old shard the documents lie on a line of bytes, and a document goes where
-its middle lies. To keep that rounding small, documents above a hundredth of a shard are placed first, one by one, largest
-first, at home if they fit, else where most room is left; less than a hundred of them per shard can exist, so that list is
-bounded. Sizes then differ by about a hundredth of a shard, or by one document where single documents are larger than that.
+its middle lies. To keep that rounding small, documents above a hundredth of a shard are placed first, one by one, largest first: where
+the flow over all bytes puts them if they fit, else where most room is left. Less than a hundred of them per shard can exist, so that
+list is bounded. A second flow then takes the others' bytes to the room that is left. Sizes differ by about a hundredth of a shard, or by
+one document where documents are larger than that. A plan says what the first flow alone would move, which no plan can be below.
 
 Then the affected shards are written: every new shard but those whose rows are those of the old shard of the same number. A block is a
 run of rows of its file, so the rows' new shards follow from a broadcast table of runs and large documents, and the scan of the
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectramesh.llm.common import RUN_ROWS, materialize, new_path, running
+from spectramesh.llm.common import RUN_ROWS, free, materialize, new_path, running
 
 HEADER_BYTES = 16
 #: A document is large from this part of a mean shard on.
@@ -105,44 +106,27 @@ def level(placed: np.ndarray, rest: int) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """blocks: (old shard, first byte, last byte, new shard); large: (old shard, position, new shard); names: of old shards."""
+    """blocks: (old shard, first byte, last byte, new shard) of the small documents; large: (old shard, position, new shard).
+
+    least_bytes: what would move if documents were divisible.
+    """
 
     blocks: list[tuple[int, int, int, int]]
     large: list[tuple[int, int, int]]
     moved_bytes: int
+    least_bytes: int
     capacities: list[int]
 
 
-def make_plan(sizes: dict[int, int], large: list[tuple[int, int, int]], shards: int, cost: np.ndarray | None = None, capacities: list[int] | None = None) -> Plan:
-    """sizes: bytes of the small documents by old shard; large: (size, old shard, position). Pure, on the driver."""
-    old = max([*sizes, *(x[1] for x in large), 0]) + 1
-    cost = np.asarray(cost, float) if cost is not None else (1.0 - np.eye(old, shards))
-    total = sum(sizes.values()) + sum(x[0] for x in large)
-    want = np.array(capacities if capacities is not None else [total / shards] * shards, float)
-    placed, put, moved = np.zeros(shards), [], 0
-    heap = [(float(-want[t]), t) for t in range(shards)]
-    heapq.heapify(heap)
-    for size, s, at in sorted(large, key=lambda x: (-x[0], x[1], x[2])):
-        t = s if s < shards and cost[s, s] == cost[s].min() and placed[s] + size <= want[s] else None
-        while t is None:
-            room, k = heap[0]
-            if -room == want[k] - placed[k]:
-                t = k
-            else:  # it was filled meanwhile
-                heapq.heapreplace(heap, (float(placed[k] - want[k]), k))
-        placed[t] += size
-        put.append((s, at, t))
-        moved += size * (t != s)
-    rest = sum(sizes.values())
-    room = level(placed - (want - want.min()), rest) if total else np.zeros(shards, np.int64)
+def cut(supply: np.ndarray, room: np.ndarray, cost: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The blocks of the cheapest flow: (old shard, first byte, last byte, new shard), what stays first."""
     # Sources with equal costs are one source to the flow; what it sends is then taken from them in their order.
     kinds, kind = np.unique(cost, axis=0, return_inverse=True)
     kind = kind.ravel()
-    supply = np.array([sizes.get(s, 0) for s in range(old)], np.int64)
     flow = min_cost_flow([int(supply[kind == k].sum()) for k in range(len(kinds))], room.tolist(), kinds)
-    left = [[(t, int(flow[k, t])) for t in range(shards) if flow[k, t]] for k in range(len(kinds))]
+    left = [[(t, int(flow[k, t])) for t in range(len(room)) if flow[k, t]] for k in range(len(kinds))]
     blocks = []
-    for s in range(old):
+    for s in range(len(supply)):
         begin, sends = 0, left[kind[s]]
         sends.sort(key=lambda x: (x[0] != s, x[0]))
         while begin < supply[s]:
@@ -150,21 +134,61 @@ def make_plan(sizes: dict[int, int], large: list[tuple[int, int, int]], shards:
             part = min(much, int(supply[s]) - begin)
             blocks.append((s, begin, begin + part, t))
             begin += part
-            moved += part * (t != s)
             if part == much:
                 sends.pop(0)
             else:
                 sends[0] = (t, much - part)
-    return Plan(blocks, put, int(moved), room.tolist())
+    return blocks
+
+
+def moved(blocks: list[tuple[int, int, int, int]]) -> int:
+    return sum(b - a for s, a, b, t in blocks if s != t)
+
+
+def make_plan(sizes: dict[int, int], large: list[tuple[int, int, int, int]], shards: int, cost: np.ndarray | None = None, capacities: list[int] | None = None) -> Plan:
+    """sizes: bytes of the small documents by old shard; large: (size, old shard, position, bytes of all documents before it). Pure, on the driver."""
+    old = max([*sizes, *(x[1] for x in large), 0]) + 1
+    cost = np.asarray(cost, float) if cost is not None else (1.0 - np.eye(old, shards))
+    total = sum(sizes.values()) + sum(x[0] for x in large)
+    want = np.array(capacities if capacities is not None else [total / shards] * shards, float)
+    nothing = np.zeros(shards, np.int64)
+    supply = np.array([sizes.get(s, 0) for s in range(old)], np.int64)
+    every = supply + np.bincount([x[1] for x in large], [x[0] for x in large], old).astype(np.int64)
+    ideal = cut(every, level(want.min() - want, total) if total else nothing, cost)
+    starts = {s: [b for b in ideal if b[0] == s] for s in range(old)}
+    placed, put = np.zeros(shards), []
+    heap = [(float(-want[t]), t) for t in range(shards)]
+    heapq.heapify(heap)
+    for size, s, at, before in sorted(large, key=lambda x: (-x[0], x[1], x[2])):
+        t = next((b[3] for b in starts[s] if before + size // 2 < b[2]), starts[s][-1][3])
+        if placed[t] + size > want[t]:
+            while True:
+                room, t = heap[0]
+                if -room == want[t] - placed[t]:
+                    break
+                heapq.heapreplace(heap, (float(placed[t] - want[t]), t))  # it was filled meanwhile
+        placed[t] += size
+        put.append((s, at, t))
+    rest = int(supply.sum())
+    room = level(placed - (want - want.min()), rest) if total else nothing
+    blocks = cut(supply, room, cost)
+    sizes_of = {(x[1], x[2]): x[0] for x in large}
+    return Plan(blocks, put, moved(blocks) + sum(sizes_of[s, at] for s, at, t in put if s != t), moved(ideal), room.tolist())
 
 
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + HEADER_BYTES).cast("long")
 
 
-def located(docs: DataFrame) -> DataFrame:
+def read_from(docs: DataFrame) -> tuple[Column, Column]:
+    """The file that a row was read from and its place there, for a table read from files; its own columns may have any names."""
+    found = docs.metadataColumn("_metadata")
+    return found["file_path"], found["row_index"]
+
+
+def located(docs: DataFrame, file: str = "_file", place: str = "_place") -> DataFrame:
     """Add the old shard's file and the row's place in it, for a table read from files."""
-    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    return docs.select("*", read_from(docs)[0].alias(file), read_from(docs)[1].alias(place))
 
 
 def file_numbers(rows: DataFrame) -> DataFrame:
@@ -185,13 +209,14 @@ def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, run_ro
     by_shard = known.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     total = sum(r.bytes for r in by_shard)
     limit = total / shards * LARGE
+    is_large = F.col("size") > limit
+    lines = running(known.withColumn("_large", is_large), "old_shard", "_place", {"_before": F.col("size"), "_begin": F.when(F.col("_large"), F.lit(0)).otherwise(F.col("size"))}, rows=run_rows)
     # Fewer than 100 documents per new shard are larger than a hundredth of a shard.
-    big = [(r.size, r.old_shard, r._place) for r in known.where(F.col("size") > limit).select("size", "old_shard", "_place").collect()] if total else []
+    big = [(r.size, r.old_shard, r._place, r._before) for r in lines.where("_large").select("size", "old_shard", "_place", "_before").collect()] if total else []
     small = {r.old_shard: r.bytes for r in by_shard}
-    for size, s, _ in big:
+    for size, s, *_ in big:
         small[s] -= size
     plan = make_plan(small, big, shards, cost)
-    lines = running(known.withColumn("_large", F.col("size") > limit), "old_shard", "_place", F.when(F.col("_large"), F.lit(0)).otherwise(F.col("size")), "_begin", run_rows)
     # Blocks and large documents: at most (old + new) blocks and 100 documents a shard.
     by_old: dict[int, list[tuple[int, int, int]]] = {}
     for o, a, b, t in plan.blocks:
@@ -205,7 +230,7 @@ def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, run_ro
         .join(F.broadcast(large), ["old_shard", "_place"], "left")
         .withColumn("_middle", middle)
         .withColumn("shard", F.coalesce("_to", F.when(~F.col("_large"), F.coalesce(found, F.element_at("_cuts", -1)["t"]))))
-        .drop("_cuts", "_to", "_middle", "_begin")
+        .drop("_cuts", "_to", "_middle", "_begin", "_before")
     )
     # A row's order in its new shard: by old shard and place, added up in runs.
     out = out.withColumn("_order", F.col("old_shard").cast("long") * F.lit(1 << 40) + F.col("_place"))
@@ -217,12 +242,26 @@ def untouched(flows: set[tuple[int, int]]) -> set[int]:
     return {t for s, t in flows if s == t and all((a == t) == (b == t) for a, b in flows)}
 
 
+def names(columns: list[str]) -> tuple[str, str, str]:
+    """What a written shard calls the old shard, the place in it and the new shard: _old, _at and _shard, unless the table has such columns."""
+    return free("_old", columns), free("_at", columns), free("_shard", columns)
+
+
+def numbered(content: DataFrame) -> DataFrame:
+    """A table read from files, with each row's old shard and place."""
+    old, at, _ = names(content.columns)
+    file = free("_file", content.columns)
+    rows = located(content, file, at)
+    files = file_numbers(content.select(read_from(content)[0].alias("_file"))).toDF(file, old)
+    return rows.join(F.broadcast(files), file).drop(file)
+
+
 def rewrite(resharded: DataFrame, content: DataFrame, keep: set[int] | None = None) -> str:
     """Write the affected shards as one folder each (`_shard=N`) and return the root.
 
     resharded: old_shard, _place, shard, _large of every row; content: the same table read from its files, with all columns to write. To
-    these come _old and _at, the row's old shard and place: their order is that of the slots. keep: shards whose content stays
-    as it is; without it, those that no row leaves or enters.
+    these come _old and _at, the row's old shard and place (see `names`): their order is that of the slots. keep: shards whose content
+    stays as it is; without it, those that no row leaves or enters.
     """
     path = new_path(resharded.sparkSession, "shards")
     # A run of rows per block of the plan, at most (old + new) rows, and 100 large documents a shard.
@@ -233,16 +272,16 @@ def rewrite(resharded: DataFrame, content: DataFrame, keep: set[int] | None = No
     by_old: dict[int, list[tuple[int, int, int]]] = {}
     for r in runs:
         by_old.setdefault(r.old_shard, []).append((r.a, r.b, r.shard))
-    spark = resharded.sparkSession
-    cuts = spark.createDataFrame(sorted(by_old.items()), "_old int, _runs array<struct<a:bigint,b:bigint,t:int>>")
-    single = spark.createDataFrame([(r.old_shard, r._place, r.shard) for r in large], "_old int, _at bigint, _to int")
-    rows = located(content)
-    rows = rows.join(F.broadcast(file_numbers(rows).withColumnRenamed("old_shard", "_old")), "_file").drop("_file").withColumnRenamed("_place", "_at")
-    rows = rows.join(F.broadcast(cuts), "_old", "left").join(F.broadcast(single), ["_old", "_at"], "left")
-    rows = rows.withColumn("_shard", F.coalesce("_to", F.expr("filter(_runs, r -> _at >= r.a and _at <= r.b)[0].t"))).drop("_runs", "_to")
+    spark, (old, at, shard) = resharded.sparkSession, names(content.columns)
+    taken = [*content.columns, old, at, shard]
+    held, to = free("_runs", taken), free("_to", taken)
+    cuts = spark.createDataFrame(sorted(by_old.items()), f"`{old}` int, `{held}` array<struct<a:bigint,b:bigint,t:int>>")
+    single = spark.createDataFrame([(r.old_shard, r._place, r.shard) for r in large], f"`{old}` int, `{at}` bigint, `{to}` int")
+    rows = numbered(content).join(F.broadcast(cuts), old, "left").join(F.broadcast(single), [old, at], "left")
+    rows = rows.withColumn(shard, F.coalesce(F.col(to), F.expr(f"filter(`{held}`, r -> `{at}` >= r.a and `{at}` <= r.b)[0].t"))).drop(held, to)
     if keep:
-        rows = rows.where(~F.col("_shard").isin(sorted(keep)))
-    rows.sortWithinPartitions("_shard", "_old", "_at").write.option("compression", "zstd").partitionBy("_shard").parquet(path)
+        rows = rows.where(~F.col(shard).isin(sorted(keep)))
+    rows.sortWithinPartitions(shard, old, at).write.option("compression", "zstd").partitionBy(shard).parquet(path)
     return path
 
 
@@ -250,17 +289,19 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     """Put the documents of a table read from files into `shards` shards: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The affected shards are written, and what is returned is read from them (from the old files for shards that stay).
-    text_crc32 is that of the empty string for null texts. grown_shard is null: the law is `bytes`.
+    text_crc32 is that of the empty string for null texts. grown_shard is null: the law is `bytes`. The table's other columns go with
+    their rows, whatever their names.
     """
-    rows = materialize(located(docs).select("_file", "_place", size_of(F.col(text)).alias("size")), "sizes")
+    file, place = read_from(docs)
+    rows = materialize(docs.select(file.alias("_file"), place.alias("_place"), size_of(F.col(text)).alias("size")), "sizes")
     out = materialize(reshard(rows, shards)[0].select("old_shard", "_place", "shard", "_large"), "assigned")
     keep = untouched({(r.old_shard, r.shard) for r in out.select("old_shard", "shard").distinct().collect()})
-    held = T.StructType([*docs.schema.fields, T.StructField("_old", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_shard", T.IntegerType())])
+    old, at, shard = names(docs.columns)
+    held = T.StructType([*docs.schema.fields, T.StructField(old, T.IntegerType()), T.StructField(at, T.LongType()), T.StructField(shard, T.IntegerType())])
     again = docs.sparkSession.read.schema(held).parquet(rewrite(out, docs, keep))
     if keep:
-        same = located(docs)
-        same = same.join(F.broadcast(file_numbers(rows).withColumnRenamed("old_shard", "_old")), "_file").drop("_file").withColumnRenamed("_place", "_at").withColumn("_shard", F.col("_old"))
-        again = again.unionByName(same.where(F.col("_shard").isin(sorted(keep))))
-    read = again.select(F.col(key).alias("doc_id"), size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.col("_shard").alias("shard"), (F.col("_old").cast("long") * F.lit(1 << 40) + F.col("_at")).alias("_order"))
+        same = numbered(docs)
+        again = again.unionByName(same.withColumn(shard, F.col(old)).where(F.col(shard).isin(sorted(keep))))
+    read = again.select(F.col(key).alias("doc_id"), size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.col(shard).alias("shard"), (F.col(old).cast("long") * F.lit(1 << 40) + F.col(at)).alias("_order"))
     found = running(materialize(read, "reread"), "shard", "_order", F.lit(1), "slot")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

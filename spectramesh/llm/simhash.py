@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, give_back, materialize, ship, small, without
+from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, free, give_back, materialize, ship, small, without
 from spectramesh.llm.components import components
 
 RADIUS, BLOCKS, FAN, HOT = 3, 4, 16, 200_000
@@ -490,9 +490,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     if some == keys:
         found = near_duplicates(docs, words, similarity, key, text)
         return without(docs, materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "duplicates"), key)
-    at = "_row"
-    while at in docs.columns:
-        at += "_"
+    at = free("_row", docs.columns)
     numbered = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
     known = numbered.where(F.col(key).isNotNull()).select(F.col(at).alias("_at"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
     found = near_duplicates(numbered.where(F.col(key).isNotNull()).select(at, text), words, similarity, at, text).join(known, F.col("doc_id") == F.col("_at"))

@@ -113,3 +113,33 @@ def test_operator_writes_the_affected_shards(spark, tmp_path, monkeypatch):
         assert sorted(r.doc_id for r in got) == list(range(400))
     assert spark.read.parquet(written[0]).select("_shard").distinct().count() >= 4
     assert spark.read.schema("doc_id bigint").parquet(written[1]).count() == 0  # equal files stay as they are
+
+
+def test_columns_with_the_names_of_its_own(spark, tmp_path):
+    rows = [(i, f"{i} " * (i % 9), "a", i, "b", i, i, i) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, _file string, _place int, _metadata string, _shard int, _old int, _AT int").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    for shards in (3, 7):
+        got = R.shard_documents(docs, shards).collect()
+        assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t, *_ in rows) and {r.shard for r in got} == set(range(shards))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_large_documents_follow_the_flow(seed):
+    """Nearly all bytes are in large documents: they go where the flow puts them, and little more moves than if they were divisible."""
+    rng = np.random.default_rng(seed)
+    line, large, small = Counter(), [], Counter()
+    for at in range(400):
+        s, size = int(rng.integers(0, 5) ** 2 // 5), int(rng.integers(50, 4000))
+        large.append((size, s, at, line[s]))
+        line[s] += size
+        small[s] += 16
+        line[s] += 16
+    plan = R.make_plan(dict(small), large, 4)
+    total, got = sum(line.values()), Counter()
+    for s, at, t in plan.large:
+        got[t] += large[at][0]
+    for s, a, b, t in plan.blocks:
+        got[t] += b - a
+    assert sum(got.values()) == total and max(got.values()) - min(got.values()) <= total / 4 * 0.02
+    assert plan.least_bytes <= plan.moved_bytes + total * 0.02 and plan.moved_bytes <= plan.least_bytes + total * 0.05
