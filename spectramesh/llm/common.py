@@ -89,6 +89,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_named(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """A table and a column that tells its rows apart: the key where it is distinct and never null, else numbers in a written copy."""
+    rows, keys = df.select(F.count("*"), F.count_distinct(key)).first()
+    if rows == keys:
+        return df, key
+    at = free("_row", df.columns)
+    return materialize(df.withColumn(at, F.monotonically_increasing_id()), "numbered"), at
+
+
 def crc_mod(key: str | Column, n: int) -> Column:
     """crc32 of the key's decimal text, mod n; null for null."""
     return F.crc32(F.col(key).cast("string").cast("binary") if isinstance(key, str) else key.cast("string").cast("binary")) % n

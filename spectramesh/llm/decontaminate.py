@@ -8,8 +8,9 @@ the substituted words are; the tests prove it by trying all. Items of five to se
 items are no passage.
 
 The documents' side is one scan: long texts are cut into overlapping blocks, windows become rows inside the scan's stage, the
-seeds of the benchmark are broadcast while they are fewer than `SEEDS` (else the planner joins by shuffle), and hits
-are verified in place, so that no text is shuffled.
+seeds of the benchmark are broadcast while they are no more than `SEEDS`, and hits are verified in place, so that no text is shuffled. Of a
+larger benchmark the hashes alone meet those of the documents (as a broadcast list up to a million); what hits is then joined with
+its seed, frequent seeds by broadcast, and with its block's words, which move once.
 
 Null and empty texts hold no passage and are none. Equal documents each get their rows. Rows with a null key are judged too and
 come out with a null key. Empty tables give an empty result. Other columns are ignored.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import let, materialize, small, without
+from spectramesh.llm.common import BROADCAST_ROWS, let, materialize, row_named, small, without
 
 #: Fixed masks: the places of a window that are hashed.
 MASKS = ((0, 1, 2, 5), (0, 2, 3, 4))
@@ -57,7 +58,16 @@ def seeds(parts: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "at", F.stack(F.lit(len(MASKS)), *(c for h, m in zip(hashes, MASKS, strict=True) for c in (h, F.lit(m[-1] + 1)))).alias("hash", "span")).where("hash is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def meet(rows: DataFrame, table: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with a table that may have several rows a key. Keys with more than a `most`-th of all rows are joined by broadcast."""
+    counts = materialize(rows.groupBy(on).agg(F.count("*").alias("n")), "counts")
+    limit = max(1, rows.count() // most)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(on))  # fewer than `most`
+    often = materialize(table.join(hot, on, "left_semi"), "often")
+    return rows.join(hot, on, "left_anti").join(table, on).unionByName(rows.join(hot, on, "left_semi").join(small(often, most), on))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most_seeds: int = SEEDS, most: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, matched, window, first_word: for each pair the largest number of agreeing words in a stretch of `window` words.
 
     first_word is the place in the document of the first such stretch's hit.
@@ -69,7 +79,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     first = F.greatest(F.col("at") - around, F.lit(0))
     table = materialize(marked.select("hash", "span", "item_id", F.size("item").alias("length"), (F.col("at") - first).alias("item_at"), F.slice("item", first + 1, 2 * around).alias("item")), "seeds")
     parts = blocks(docs.select(F.col(key).cast("bigint").alias("key"), word_list(F.col(text)).alias("words")))
-    hits = seeds(parts, "key", "first", "words").drop("span").join(small(table, SEEDS), "hash")
+    if table.limit(most_seeds + 1).count() <= most_seeds:
+        hits = seeds(parts, "key", "first", "words").drop("span").join(F.broadcast(table), "hash")
+    else:
+        parts = materialize(parts.withColumn("block", F.monotonically_increasing_id()), "blocks")
+        known = materialize(table.select("hash").distinct(), "hashes")
+        met = materialize(seeds(parts, "block").drop("span").join(small(known, most), "hash", "left_semi"), "hits")
+        hits = meet(met, table, "hash", most).join(parts, "block")
     # Laid over each other: word i of the item faces word i + shift of the block; only what a stretch around the hit can reach counts.
     size = F.least(F.lit(WINDOW), F.col("length"))
     shift = F.col("at") - F.col("item_at")
@@ -97,6 +113,7 @@ def best_stretch(same: Column) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without any benchmark passage, with their columns as they are. Documents with a null key can't be named and stay."""
-    found = materialize(overlaps(docs, benchmark, key, text).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return without(docs, found, key)
+    """The documents without any benchmark passage, with their columns as they are. Rows with a null or a repeated key are judged each by its text."""
+    rows, at = row_named(docs, key)
+    found = materialize(overlaps(rows, benchmark, at, text).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return without(rows, found, at).select(*(F.col(f"`{c}`") for c in docs.columns))

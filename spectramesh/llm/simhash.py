@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, free, give_back, materialize, ship, small, without
+from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, give_back, materialize, row_named, ship, small, without
 from spectramesh.llm.components import components
 
 RADIUS, BLOCKS, FAN, HOT = 3, 4, 16, 200_000
@@ -486,12 +486,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     Rows with a null key stay. Rows that repeat a key are told apart by their texts: those that aren't near-duplicates all stay, and of
     those that are, with the same smallest key, the one whose text has the smallest hash (of equal texts the first one read).
     """
-    rows, some, keys = docs.select(F.count("*"), F.count(key), F.count_distinct(key)).first()
+    some, keys = docs.select(F.count(key), F.count_distinct(key)).first()
     if some == keys:
         found = near_duplicates(docs, words, similarity, key, text)
         return without(docs, materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "duplicates"), key)
-    at = free("_row", docs.columns)
-    numbered = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    numbered, at = row_named(docs, key)
     known = numbered.where(F.col(key).isNotNull()).select(F.col(at).alias("_at"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
     found = near_duplicates(numbered.where(F.col(key).isNotNull()).select(at, text), words, similarity, at, text).join(known, F.col("doc_id") == F.col("_at"))
     found = materialize(found.select("component_id", F.struct("_key", "_hash", "_at").alias("place")), "places")

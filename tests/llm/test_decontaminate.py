@@ -54,6 +54,13 @@ def fixture(seed=1):
     return docs, items
 
 
+def test_repeated_keys_are_judged_row_by_row(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "a"), (1, "clean", "a"), (None, text, "b"), (None, "clean", "b"), (2, "clean", "c")]
+    kept = D.remove_contaminated(spark.createDataFrame(rows, "doc_id bigint, text string, _row string"), spark.createDataFrame([(1, text)], "item_id bigint, text string"))
+    assert kept.columns == ["doc_id", "text", "_row"] and sorted(map(tuple, kept.collect()), key=repr) == sorted((r for r in rows if r[1] == "clean"), key=repr)
+
+
 def test_against_brute_force(spark):
     docs, items = fixture()
     got = D.overlaps(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
@@ -81,7 +88,7 @@ def test_edges(spark):
     assert D.overlaps(docs, item.limit(0)).count() == 0
     kept = D.remove_contaminated(docs, item)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [2, 3, 4]  # the passage goes under a null key too
 
 
 def test_short_shared_phrase_is_no_passage(spark):
@@ -104,3 +111,16 @@ def test_shortest_items_against_brute_force(spark):
     got = D.overlaps(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
     assert {r.doc_id for r in got if r.item_id == 5} == {4, 5, 6, 7} and all(r.matched == r.window for r in got if r.item_id < 8)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_benchmark_beyond_a_broadcast(spark, most):
+    """Without room for the seeds in a broadcast, and with hardly any for their hashes, the rows are the same; a frequent seed too."""
+    docs, items = fixture(seed=3)
+    items.append((9000, "never seen before by anyone here"))
+    docs = docs + [(20_000 + i, "x never seen before by anyone here y") for i in range(60)] + [(None, "never seen before by anyone here")]
+    a = spark.createDataFrame([(k, t, "", 0) for k, t in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, D.overlaps(a, b).collect()), key=repr)
+    got = sorted(map(tuple, D.overlaps(a, b, most_seeds=0, most=most).collect()), key=repr)
+    assert got == want and len(want) > 60
