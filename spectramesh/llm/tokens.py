@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import bucket, chunks, get_bytes, materialize, new_path, put_bytes, range_bounds, running, ship
+from spectramesh.llm.common import bucket, chunks, get_bytes, get_range, materialize, new_path, put_bytes, range_bounds, running, ship
 
 MAGIC = b"SMTK0001"
 #: Distinct words whose ids a worker remembers between chunks (about 140 MB); past it those that came up once are forgotten.
@@ -52,9 +52,14 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         suffix = spec["model"].get("end_of_word_suffix")
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        blanks = [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        # What all special tokens begin with, or each of them.
+        special = [x["content"].lower() for x in spec.get("added_tokens", [])]
+        self.marks = [begin] if (begin := os.path.commonprefix(special)) else special
+        self.upper = [x.upper() for x in self.marks]
         splits = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed"]
-        self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 1
+        self.by_word = bool(suffix) and steps == blanks and len(splits) == 1
         if self.by_word:
             self.pieces = regex.compile(splits[0]["pattern"]["Regex"]).findall
             self.last = np.zeros(self.size, bool)
@@ -67,10 +72,13 @@ class Encoder:
 
     def _plain(self, text: str) -> bool:
         """Whether a text can be cut at blanks: Latin-1 and no special token."""
-        try:
-            return text.isascii() and "<|" not in text or bool(text.encode("latin-1")) and "<|" not in text
-        except UnicodeEncodeError:
-            return False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        low = text if self.marks == self.upper else text.lower()
+        return not any(x in low for x in self.marks)
 
     def _learn(self, words: list[str]) -> None:
         """Put words into the memo: each as its pre-tokens, which are encoded many at a time."""
@@ -281,11 +289,40 @@ class TokenFile:
         return self.payload[self.starts[i] : self.starts[i + 1]]
 
 
+class TokenFileReader:
+    """A file of ids, read by ranges: the header and the index when it is opened, and for each key its place and its ids alone."""
+
+    def __init__(self, path: str):
+        head = get_range(path, 0, 12)
+        if head[:8] != MAGIC:
+            raise ValueError("not a token file")
+        n = int(np.frombuffer(head, "<u4", 1, 8)[0])
+        spec = json.loads(get_range(path, 12, n))
+        self.path, self.base, self.sections, self.null_keys = path, 12 + n, spec["sections"], spec["null_keys"]
+        part = {k: self._read(k, 0, None) for k in ("bits", "ranks", "rest", "prints", "slots")}
+        self.index = KeyIndex(part["bits"], spec["sizes"], part["ranks"], part["rest"], part["prints"], part["slots"])
+
+    def _read(self, section: str, first: int, count: int | None) -> np.ndarray:
+        x = self.sections[section]
+        kind = np.dtype(x["dtype"])
+        n = x["bytes"] if count is None else count * kind.itemsize
+        return np.frombuffer(get_range(self.path, self.base + x["at"] + first * kind.itemsize, n) if n else b"", kind)
+
+    def get(self, key: int) -> np.ndarray | None:
+        """Ids of the document with this key (the first, where it repeats); None: there is none."""
+        at = int(self.index.find(np.array([key]))[0])
+        if at < 0 or self.null_keys:
+            return None
+        place = int(self._read("first", at, 1)[0])
+        begin, end = self._read("starts", place, 2).tolist()
+        return self._read("payload", begin, end - begin)
+
+
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
     """Write every document's ids in ascending key order; return the folder and its manifest.
 
     The manifest has a row per file, in order: path, first_key, last_key, documents, tokens, start (the ids of all files
-    before it). Documents with a null key have no place in the order and raise an error. Repeated keys are kept
+    before it). Documents with a null key have no place in the order: they come first, in files of their own. Repeated keys are kept
     side by side. An empty table makes an empty manifest. A task that is run again writes files of other names; the
     manifest names those of the attempt that Spark kept.
     """
@@ -345,8 +382,9 @@ def read_files(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = TokenFile(get_bytes(path))
-                again = np.arange(len(f.keys)) - f.first[np.searchsorted(f.keys[f.first], f.keys)].astype(np.int64)  # 0 but for repeated keys
-                at = f.first[f.index.find(f.keys)].astype(np.int64) + again
+                at = f.first[f.index.find(f.keys)].astype(np.int64)
+                if len(f.first) < len(f.keys):  # repeated keys: the others follow the first
+                    at += np.arange(len(f.keys)) - np.maximum.accumulate(np.where(np.concatenate([[True], f.keys[1:] != f.keys[:-1]]), np.arange(len(f.keys)), 0))
                 starts, ends = f.starts[at], f.starts[at + 1]
                 crc = [zlib.crc32(f.payload[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 names = pa.nulls(len(f.keys), pa.int64()) if f.null_keys else pa.array(f.keys)
@@ -354,3 +392,31 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
     n = max(1, min(manifest.count(), 1 << 16))
     return manifest.select("path", "start").repartition(n).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def look_up(manifest: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """key, n_tokens, ids (little-endian unsigned 32-bit) of each distinct key that the files hold; of a repeated key, its first document.
+
+    Keys are dealt to files by the files' last keys (a long per file, on the driver); a task opens a file once and reads the ranges of its keys.
+    """
+    spark = manifest.sparkSession
+    ship(spark)
+    files = [(r.path, r.last_key) for r in manifest.where("last_key is not null").orderBy("start").select("path", "last_key").collect()]
+    numbers = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(files)], "file int, path string")
+    # A key is in the first file whose last key isn't below it, or in none.
+    asked = keys.select(F.col(key).cast("bigint").alias("key")).where("key is not null").distinct().withColumn("file", bucket("key", [k for _, k in files]))
+    sent = asked.join(numbers, "file").select("path", "key").repartition("path").sortWithinPartitions("path", "key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            rows = []
+            for path, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if now is None or now.path != path:
+                    now = TokenFileReader(path)
+                if (ids := now.get(k)) is not None:
+                    rows.append((k, len(ids), ids.astype("<u4").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "n_tokens", "ids"])
+
+    return sent.mapInArrow(run, "key bigint, n_tokens bigint, ids binary")

@@ -103,3 +103,28 @@ def test_packing(spark, docs, expected):
     made = packing.sequences(pieces, 0, length).collect()
     assert len(made) == len(seq) and all(len(r.ids) == length for r in made) and sum(r.n_tokens for r in made) == total
     assert packing.pack(docs.limit(0), FILE, END_ID).count() == 0
+
+
+def test_keyed_access_by_ranges(spark, docs, expected):
+    """Keys, absent keys, repeated and null ones are found in many files without reading a whole one."""
+    twice = docs.unionByName(docs.where("doc_id = 0")).unionByName(spark.createDataFrame([(None, "Hello, world", "", 0)], SCHEMA))
+    _, manifest = tokens.write_files(twice, FILE, END_ID, file_tokens=200)
+    assert manifest.count() > 3
+    keys = spark.createDataFrame([(10 * i,) for i in range(len(TEXTS))] + [(0,), (5,), (-1,), (10**9,), (None,)], "key bigint")
+    got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.look_up(manifest, keys).collect()}
+    assert got == {10 * i: x.tolist() for i, x in enumerate(expected)}
+    assert tokens.look_up(manifest.limit(0), keys).count() == 0
+
+
+def test_unlike_tokenizers_are_encoded_directly(tmp_path):
+    """Another replacement or another kind of special token: texts aren't cut at blanks, or not where the token may stand."""
+    import json
+
+    spec = json.load(open(FILE))
+    for change in (lambda d: d["normalizer"]["normalizers"][1].update(content="_"), lambda d: d["added_tokens"][0].update(content="[Start]")):
+        new = json.loads(json.dumps(spec))
+        change(new)
+        (tmp_path / "t.json").write_text(json.dumps(new))
+        e = tokens.Encoder(str(tmp_path / "t.json"))
+        texts = ["a [start] b [Start] c", "some  plain text <|endoftext|> end", "x"]
+        assert e(texts) == e.direct(texts)
