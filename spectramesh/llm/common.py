@@ -163,6 +163,19 @@ def get_bytes(path: str) -> bytes:
         return f.read()
 
 
+def get_range(path: str, at: int, n: int) -> bytes:
+    """n bytes of a file from a place on."""
+    if path.startswith("file:") or "://" not in path:
+        with open(_local(path), "rb") as f:
+            f.seek(at)
+            return f.read(n)
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        return f.read_at(n, at)
+
+
 def _local(path: str) -> str:
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
 

@@ -197,20 +197,27 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.
     part = rng.permutation(len(pairs)) % 5
     held = [pairs[i] for i in range(len(pairs)) if part[i] == 0] if len(pairs) >= 50 else pairs
     fit = [pairs[i] for i in range(len(pairs)) if part[i] != 0] if len(pairs) >= 50 else pairs
-    examples = [(subwords(_lower(s))[0], langs.index(y)) for t, y in fit for s in stretches(t) if _letter(s)]
+    examples = []  # distinct subwords of a stretch, their shares, and its language
+    for t, y in fit:
+        for s in stretches(t):
+            if _letter(s):
+                ids, counts = np.unique(subwords(_lower(s))[0], return_counts=True)
+                examples.append((ids, counts / counts.sum(), langs.index(y)))
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     w, bias = rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(examples)):
-            ids, y = examples[i]
-            mean = e[ids].mean(0)
+            ids, shares, y = examples[i]
+            rows = e[ids]
+            mean = shares @ rows
             g = softmax((mean @ w + bias)[None])[0]
             g[y] -= 1
             back = w @ g
             w -= step * np.outer(mean, g)
             bias -= step * 0.1 * g
-            np.subtract.at(e, ids, (step * 20 / len(ids)) * back)
+            rows -= np.outer((step * 20) * shares, back)
+            e[ids] = rows
     del examples
     model = LanguageModel(langs, (e @ w).astype(np.float32), bias)
     z, y = model.logits([t for t, _ in held]), np.array([langs.index(v) for _, v in held])

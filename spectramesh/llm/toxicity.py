@@ -40,22 +40,33 @@ MEMO_WORDS = 200_000
 words = re.compile(r"[^\W\d_]+").findall
 
 
+_caret = zlib.crc32(b"^")
+
+
 def terms(word: str) -> list[int]:
     """The hashes of a word and, where it is longer, of its first four and five letters."""
-    out = [zlib.crc32(word.encode()) % HASH]
-    out += [zlib.crc32(b"^" + word[:n].encode()) % HASH for n in (4, 5) if len(word) > n]
+    raw = word.encode()
+    out = [zlib.crc32(raw) % HASH]
+    if len(word) > 4:
+        four, fifth = (raw[:4], raw[4:5]) if len(raw) == len(word) else (word[:4].encode(), word[4].encode())
+        begin = zlib.crc32(four, _caret)
+        out.append(begin % HASH)
+        if len(word) > 5:
+            out.append(zlib.crc32(fifth, begin) % HASH)
     return out
 
 
-def term_ids(text: str | None, memo: dict[str, list[int]]) -> np.ndarray:
+def term_ids(text: str | None, memo: dict[str, tuple[int, ...]], named=terms) -> np.ndarray:
+    """The distinct terms of a text, ascending. named: what a word stands for; memo: of the words seen lately."""
+    found = set(words((text or "").lower()))
     if len(memo) > MEMO_WORDS:
         memo.clear()
-    found: set[int] = set()
-    for w in set(words((text or "").lower())):
-        if (ids := memo.get(w)) is None:
-            ids = memo[w] = terms(w)
-        found.update(ids)
-    return np.fromiter(sorted(found), np.int64, len(found))
+    for w in found.difference(memo):
+        memo[w] = tuple(named(w))
+    every = set().union(*map(memo.__getitem__, found))
+    out = np.fromiter(every, np.int64, len(every))
+    out.sort()
+    return out
 
 
 @dataclass
@@ -73,20 +84,13 @@ class FactorizationMachine:
 
     def scorer(self):
         """text -> score. Words that lead to no weight cost a look-up."""
-        place = np.full(HASH, -1, np.int32)
-        place[self.ids] = np.arange(len(self.ids))
-        memo: dict[str, tuple[int, ...]] = {}
+        place, memo = dict(zip(self.ids.tolist(), range(len(self.ids)))).get, {}
+
+        def known(word: str) -> list[int]:
+            return [i for h in terms(word) if (i := place(h)) is not None]
 
         def score(text: str | None) -> float:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            found: set[int] = set()
-            for w in set(words((text or "").lower())):
-                if (at := memo.get(w)) is None:
-                    at = memo[w] = tuple(i for i in place[terms(w)].tolist() if i >= 0)
-                if at:
-                    found.update(at)
-            return float(logistic(self.raw(np.fromiter(sorted(found), np.int64, len(found)))))
+            return float(logistic(self.raw(term_ids(text, memo, known))))
 
         return score
 
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(some), "k").select("k", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, tuple[int, ...]] = {}
         for b in chunks(batches):
             ids = [term_ids(t, memo).astype(np.int32) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["k", "y", "ids"])
