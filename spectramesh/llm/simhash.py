@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, give_back, materialize, row_named, ship, small, without
+from spectramesh.llm.common import BROADCAST_ROWS, by_key, chunks, give_back, materialize, row_named, scratch, ship, small, without
 from spectramesh.llm.components import components
 
 RADIUS, BLOCKS, FAN, HOT = 3, 4, 16, 200_000
@@ -254,38 +254,43 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
         return signed(int(hashes.sum(dtype=np.uint64))), signed(int((mixed ^ (mixed >> np.uint64(32))).sum(dtype=np.uint64)))
 
 
-#: Counters of a document's shingles, and the documents of a class that meet those of another block (or their own) in one cell.
-COUNTERS, CELL = 64, 512
+#: Counters of a document's shingles, shingles that share a fine counter, and the documents of a class that meet those of another block (or their own) in one cell.
+COUNTERS, SHARED, CELL = 256, 16, 512
 
 
-def shingle_counts(hashes: np.ndarray) -> bytes:
-    """How many shingles fall to each counter. Two documents share at most the sum of their smaller counters."""
-    return _counters(hashes, COUNTERS)
+def _counters(hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles fall to each counter, a byte each; all at 255 if one of them doesn't fit, so that nothing is ruled out.
+
+    Two documents share at most the sum of their smaller counters.
+    """
+    found = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % n, minlength=n)
+    return (found if found.max() < 256 else np.full(n, 255)).astype(np.uint8)
 
 
-def _counters(hashes: np.ndarray, n: int) -> bytes:
-    return np.bincount((hashes >> np.uint64(32)).astype(np.int64) % n, minlength=n).astype("<i4").tobytes()
+def shingle_counts(hashes: np.ndarray) -> bytes:
+    return _counters(hashes, COUNTERS).tobytes()
 
 
 def fine_counts(hashes: np.ndarray) -> bytes:
-    """The same with a counter for every four shingles or so: a power of two, so that those of a longer document fold to those of a shorter."""
-    return _counters(hashes, max(COUNTERS, 1 << (len(hashes) // 4).bit_length()))
+    """The number of shingles, and a counter for every SHARED of them or so: a power of two, so that those of a longer document fold to those of a shorter."""
+    return np.array([len(hashes)], "<i4").tobytes() + _counters(hashes, max(COUNTERS, 1 << (len(hashes) // SHARED).bit_length())).tobytes()
 
 
-def may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+def may_be_alike(x: bytes, y: bytes, similarity: float) -> bool:
     """Whether two documents can be `similarity` alike by their fine counters."""
-    n = min(len(x), len(y))
-    x, y = x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)
-    shared = int(np.minimum(x, y).sum())
-    return shared >= similarity * (int(x.sum()) + int(y.sum()) - shared) - 1e-9
+    (n,), (m,) = np.frombuffer(x, "<i4", 1), np.frombuffer(y, "<i4", 1)
+    a, b = np.frombuffer(x, np.uint8, offset=4), np.frombuffer(y, np.uint8, offset=4)
+    size = min(len(a), len(b))
+    shared = min(int(np.minimum(a.reshape(-1, size).sum(0, dtype=np.int64), b.reshape(-1, size).sum(0, dtype=np.int64)).sum()), int(n), int(m))
+    return shared >= similarity * (int(n) + int(m) - shared) - 1e-9
 
 
-def crossing(docs: np.ndarray, parts: np.ndarray, side: np.ndarray, counts: np.ndarray, similarity: float, best: bool) -> list[tuple[int, int]]:
+def crossing(docs: np.ndarray, parts: np.ndarray, side: np.ndarray, counts: np.ndarray, sizes: np.ndarray, similarity: float, best: bool) -> list[tuple[int, int]]:
     """Pairs of one cell that lie in different components and may be `similarity` alike by their counters; with `best` each document's likeliest only.
 
     side: 0 or 1, the block; documents of one side meet in the cell of that block alone, where all are of side 0.
     """
-    sizes, order = counts.sum(1), np.arange(len(docs))
+    order = np.arange(len(docs))
     both_sides, out = bool(side.any()), []
     for i in range(len(docs)):
         ok = (parts != parts[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
@@ -295,7 +300,7 @@ def crossing(docs: np.ndarray, parts: np.ndarray, side: np.ndarray, counts: np.n
         at = np.flatnonzero(ok)
         if not len(at):
             continue
-        shared = np.minimum(counts[at], counts[i]).sum(1)
+        shared = np.minimum(np.minimum(counts[at], counts[i]).sum(1, dtype=np.int64), np.minimum(sizes[at], sizes[i]))
         bound = shared - similarity * (sizes[at] + sizes[i] - shared)
         on = np.flatnonzero(bound >= -1e-9)
         if best and len(on):
@@ -334,6 +339,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     in one component by then are compared, in cells of blocks of CELL documents, but for those whose sizes or counters
     rule the similarity out. So no pair of that similarity is left in two components. Each comparison is exact over all shingles.
     """
+    with scratch(docs.sparkSession):
+        return materialize(_near_duplicates(docs, words, similarity, key, text, rounds, common, most), "near", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, words: int, similarity: float, key: str, text: str, rounds: int, common: int, most: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -362,7 +372,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
 
     def ruled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([may_be_alike(np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4"), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array([may_be_alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
         give_back()
 
@@ -386,14 +396,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
             held = [b for b in batches if b.num_rows]
             if held:
                 t = pa.Table.from_batches(held)
-                k, lo, hi, ids, parts, block = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "doc_id", "c", "block"))
-                counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<i4").reshape(-1, COUNTERS)
+                k, lo, hi, ids, parts, block, sizes = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "doc_id", "c", "block", "size"))
+                counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTERS)
                 order = np.lexsort((ids, hi, lo, k))
                 k, lo, hi = k[order], lo[order], hi[order]
                 begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
                 for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(k)], strict=True):
                     at = order[x:y]
-                    found = crossing(ids[at], parts[at], (block[at] != lo[x]).astype(np.int8), counts[at], similarity, best) if y - x > 1 and (lo[x] == hi[x] or len(np.unique(block[at])) > 1) else []
+                    found = crossing(ids[at], parts[at], (block[at] != lo[x]).astype(np.int8), counts[at], sizes[at].astype(np.int64), similarity, best) if y - x > 1 and (lo[x] == hi[x] or len(np.unique(block[at])) > 1) else []
                     if found:
                         a, b = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -466,8 +476,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
         still = materialize(placed.groupBy("k", "n").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k", "n"), "open")
         blocks = F.ceil(F.col("n") / CELL).cast("int")
         cells = by_key(placed.drop("n"), still, ["k"], most=most).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
-        cells = cells.join(marks.select("doc_id", "counts"), "doc_id").select("k", "doc_id", "c", "block", "counts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        cells = cells.select("k", "doc_id", "c", "block", "counts", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        cells = cells.join(marks.select("doc_id", "counts", "size"), "doc_id").select("k", "doc_id", "c", "block", "counts", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = cells.select("k", "doc_id", "c", "block", "counts", "size", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         found = cells.repartition("k", "lo", "hi").mapInArrow(meet(turn + 1 < rounds), "a bigint, b bigint").distinct()
         found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(alike(found))

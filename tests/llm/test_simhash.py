@@ -172,6 +172,21 @@ def test_repeated_keys_with_other_texts(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, long), (1, long), (1, other), (2, "quite something else")])
 
 
+def test_fine_counters_lose_no_pair():
+    """Documents of any sizes, and counters that don't fit a byte."""
+    rng = np.random.default_rng(8)
+    for n in (3, 80, 300, 5000, 9000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.7, 0.85, 0.95):
+            y = np.unique(np.concatenate([base[: int(n * share)], rng.integers(0, 2**63, int(n * (1 - share) / 3)).astype(np.uint64)]))
+            if len(np.intersect1d(base, y)) >= 0.8 * len(np.union1d(base, y)):
+                assert S.may_be_alike(S.fine_counts(base), S.fine_counts(y), 0.8)
+    same = np.arange(1000, dtype=np.uint64)  # all in one counter
+    assert S.may_be_alike(S.fine_counts(same), S.fine_counts(same[:900]), 0.8)
+    far = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(2)]
+    assert not S.may_be_alike(*map(S.fine_counts, far), 0.8)
+
+
 def test_keys_of_any_size(spark):
     rows = [((1 << 62) + 5, "a b c"), ((1 << 62) + 6, "a b c"), (-(1 << 63), "x y z q"), ((1 << 63) - 1, "x y z q"), ((1 << 63) - 2, "k l m n")]
     got = {r.doc_id: r.component_id for r in S.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
@@ -235,10 +250,10 @@ def test_cells_lose_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
     made = [np.unique(np.concatenate([rng.choice(base, 54, replace=False), rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)])) for _ in range(40)]
-    counts = np.array([np.frombuffer(S.shingle_counts(h), "<i4") for h in made])
+    counts, sizes = np.array([np.frombuffer(S.shingle_counts(h), np.uint8) for h in made]), np.array([len(h) for h in made])
     sets, ids, parts = [set(h.tolist()) for h in made], np.arange(100, 140), np.arange(40) % 7
     for side in (np.zeros(40, int), np.arange(40) % 2):
-        got = set(S.crossing(ids, parts, side, counts, 0.8, False))
+        got = set(S.crossing(ids, parts, side, counts, sizes, 0.8, False))
         want = {(100 + i, 100 + j) for i in range(40) for j in range(i) if parts[i] != parts[j] and (side[i] != side[j] or not side.any()) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         assert want and want <= got and all(parts[a - 100] != parts[b - 100] for a, b in got)
-        assert set(S.crossing(ids, parts, side, counts, 0.8, True)) <= got
+        assert set(S.crossing(ids, parts, side, counts, sizes, 0.8, True)) <= got
