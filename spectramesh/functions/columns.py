@@ -179,21 +179,25 @@ def heat_kernel(lambdas: Col, phi: Col, times: Col) -> Column:
 def right_of_path(disp: Col, forward: Col, back: Col, normal: Col, tolerance: float = 1e-4) -> Column:
     """Whether a displacement lies right of a path at one of its points; all are structs x, y, z.
 
-    Angles are taken in the plane of the way forward and of its cross product with the normal. Right is where the angle exceeds that of
-    the way back by more than the tolerance.
+    Seen along the normal, one turns from the way back; what is met before the way forward, and not within the tolerance of the
+    way back, is on that side.
     """
-
-    def cross(a: Column, b: Column) -> Column:
-        return F.struct((a["y"] * b["z"] - a["z"] * b["y"]).alias("x"), (a["z"] * b["x"] - a["x"] * b["z"]).alias("y"), (a["x"] * b["y"] - a["y"] * b["x"]).alias("z"))
+    d, f, k, n = map(_c, (disp, forward, back, normal))
 
     def inner(a: Column, b: Column) -> Column:
         return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
-    d, f, k, n = map(_c, (disp, forward, back, normal))
-    side = cross(f, n)
+    def along(v: Column) -> Column:
+        """How far v goes forward, on the scale of `aside`."""
+        return inner(v, f) * F.sqrt(inner(n, n) - inner(f, n) * inner(f, n) / inner(f, f))
+
+    def aside(v: Column) -> Column:
+        """The volume of v, the way forward and the normal."""
+        return v["x"] * (f["y"] * n["z"] - f["z"] * n["y"]) + v["y"] * (f["z"] * n["x"] - f["x"] * n["z"]) + v["z"] * (f["x"] * n["y"] - f["y"] * n["x"])
 
-    def angle(v: Column) -> Column:
-        a = F.atan2(inner(v, side) / F.sqrt(inner(side, side)), inner(v, f) / F.sqrt(inner(f, f)))
-        return F.when(a < 0, a + 2 * math.pi).otherwise(a)
+    def turn(v: Column) -> Column:
+        """From the way back to v, about the normal."""
+        t = F.atan2(along(k) * aside(v) - aside(k) * along(v), along(k) * along(v) + aside(k) * aside(v))
+        return F.when(t < 0, t + 2 * math.pi).otherwise(t)
 
-    return angle(d) > angle(k) + tolerance
+    return (turn(d) > tolerance) & (turn(d) < turn(f))

@@ -16,12 +16,25 @@ from pyspark.sql import functions as F
 from spectramesh.functions.columns import chebyshev, digamma, euclidean
 
 
-def pair_distances(df: DataFrame, group: str, key: str, vectors: list[str], metric: str = "chebyshev") -> DataFrame:
-    """group, i, j, d_<vector> for all ordered pairs within a group, each point with itself included."""
+#: Points of a group that a task has on either side of its pairs.
+BLOCK = 2048
+
+
+def pair_distances(df: DataFrame, group: str, key: str, vectors: list[str], metric: str = "chebyshev", block: int = BLOCK) -> DataFrame:
+    """group, i, j, d_<vector> for all ordered pairs within a group, each point with itself included.
+
+    A group's points are dealt into blocks of about `block`, and every block meets every other as a key of its own, so that neither side of
+    a task's pairs grows with the group.
+    """
     d = {"chebyshev": chebyshev, "euclidean": euclidean}[metric]
-    a = df.select(F.col(group).alias("g"), F.col(key).alias("i"), *(F.col(v).alias(f"_a_{v}") for v in vectors))
-    b = df.select(F.col(group).alias("_g"), F.col(key).alias("j"), *(F.col(v).alias(f"_b_{v}") for v in vectors))
-    return a.join(b, F.col("g") == F.col("_g")).select("g", "i", "j", *(d(f"_a_{v}", f"_b_{v}").alias(f"d_{v}") for v in vectors))
+    # A row per group.
+    parts = F.broadcast(df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")))
+    rows = df.join(parts, F.col(group) == F.col("_g"))
+    own, all_of = F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a = rows.select(F.col(group).alias("g"), F.col(key).alias("i"), own.alias("_p"), all_of.alias("_q"), *(F.col(v).alias(f"_a_{v}") for v in vectors))
+    b = rows.select("_g", F.col(key).alias("j"), own.alias("_s"), all_of.alias("_r"), *(F.col(v).alias(f"_b_{v}") for v in vectors))
+    on = (F.col("g") == F.col("_g")) & (F.col("_p") == F.col("_r")) & (F.col("_q") == F.col("_s"))
+    return a.join(b, on).select("g", "i", "j", *(d(f"_a_{v}", f"_b_{v}").alias(f"d_{v}") for v in vectors))
 
 
 def neighbours(df: DataFrame, group: str, key: str, vector: str, k: int, metric: str = "euclidean") -> DataFrame:

@@ -24,9 +24,53 @@ def quality_filter(mesh: DataFrame, features: DataFrame, on: list[str], intensit
     return mesh.join(f, on, "left").where(~(_below(F.col("_intensity"), tol) | _above(F.col(f"`{sphericity}`"), most))).drop("_intensity")
 
 
+#: Rows whose values one task may sort out for an exact quantile.
+NEAR_ROWS = 1 << 20
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: tuple[float, ...], near_rows: int = NEAR_ROWS) -> DataFrame:
+    """One row with the array `q` of exact quantiles (linear interpolation); nulls are left out, without values all are null.
+
+    A table of up to `near_rows` values is sorted out at once. In a larger one, each quantile is first bracketed: a pass counts the values
+    below and within the bracket and takes approximate quantiles within, until few enough distinct values are left that could be the quantile.
+    """
+    v = F.col(value).cast("double")
+    some = df.where(v.isNotNull()).select(v.alias("v"))
+    n = some.count()
+    if n <= near_rows:
+        return some.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
+    found = []
+    for share in shares:
+        at = share * (n - 1)
+        low, high, below, within = None, None, 0, some
+        while True:
+            count = within.count()
+            if count <= near_rows:
+                break
+            # Around the wanted place, as far as the sketch may err and one value more.
+            place, slack = (at - below) / (count - 1), 2e-4 + 2 / count
+            a, b = within.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, place - slack)), F.lit(min(1.0, place + slack))), 20_000)).first()[0]
+            a, b = (a if place > slack else low), (b if place < 1 - slack else high)
+            if (a, b) == (low, high) or a is not None and a == b:
+                break  # many equal values: few distinct ones
+            low, high = a, b
+            within = some.where((F.lit(low is None) | (F.col("v") >= low)) & (F.lit(high is None) | (F.col("v") <= high)))
+            below = 0 if low is None else some.where(F.col("v") < low).count()
+        values = within.groupBy("v").agg(F.count("*").alias("c"))
+        ends = F.aggregate(
+            F.array_sort(F.collect_list(F.struct("v", "c"))),
+            F.struct(F.lit(float(below)).alias("n"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")),
+            lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.when(s["a"].isNull() & (s["n"] + x["c"] > int(at)), x["v"]).otherwise(s["a"]).alias("a"), F.when(s["b"].isNull() & (s["n"] + x["c"] > min(n - 1, int(at) + 1)), x["v"]).otherwise(s["b"]).alias("b")),
+        )
+        e = values.agg(ends.alias("e")).select("e.a", "e.b").first()
+        found.append(e.a + (at - int(at)) * ((e.b if e.b is not None else e.a) - e.a))
+    return df.sparkSession.createDataFrame([(found,)], "q array<double>")
+
+
 def percentile_cut(df: DataFrame, value: str, q: float = 0.95) -> DataFrame:
     """Rows strictly below the exact q-quantile (linear interpolation) over all rows."""
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(value, F.lit(q)).alias("_cut")))).where(F.col(value) < F.col("_cut")).drop("_cut")
+    cut = exact_quantiles(df, value, (q,)).select(F.get("q", 0).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).where(F.col(value) < F.col("_cut")).drop("_cut")
 
 
 def strided_sample(df: DataFrame, group: list[str], order: list[str], step: int = 10) -> DataFrame:
@@ -76,7 +120,7 @@ def random_pick(df: DataFrame, key: str, n: int = 20, seed: int = 0) -> DataFram
 
 
 def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
-    return df.agg(*(F.percentile(value, F.lit(q)).alias(f"p{q * 100:g}".replace(".", "_")) for q in shares))
+    return exact_quantiles(df, value, shares).select(*(F.get("q", i).alias(f"p{q * 100:g}".replace(".", "_")) for i, q in enumerate(shares)))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

@@ -103,3 +103,20 @@ def test_streams(spark, tmp_path):
     (tmp_path / "m" / "a.obj").write_text("v 0 0 0\n")
     files = ingest.mesh_stream(spark, str(tmp_path / "m"))
     assert files.isStreaming
+
+
+def test_exact_quantiles_in_brackets(spark):
+    """A table too large to be sorted out at once, with ties, hot values and nulls."""
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=6000), np.repeat([1.0, 2.0, 7.0], [4000, 1500, 500]), np.concatenate([np.zeros(5000), rng.exponential(size=1000)]), np.arange(5000.0)):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)] * 5, "v double").repartition(3)
+        shares = (0.0, 0.25, 0.5, 0.9, 0.95, 0.999, 1.0)
+        for near in (200, 1 << 20):
+            assert np.allclose(quality.exact_quantiles(df, "v", shares, near).first()["q"], np.quantile(values, shares), rtol=0, atol=1e-12)
+    assert quality.exact_quantiles(df.limit(0), "v", (0.5,)).first()["q"] is None
+
+
+def test_pairs_in_blocks(spark):
+    df = spark.createDataFrame([(g, i, [float(i * 7 % 13), float(i)]) for g in range(2) for i in range(30)], "g int, i int, x array<double>")
+    want = sorted(map(tuple, information.pair_distances(df, "g", "i", ["x"]).collect()))
+    assert sorted(map(tuple, information.pair_distances(df, "g", "i", ["x"], block=4).collect())) == want and len(want) == 2 * 30 * 30
