@@ -116,7 +116,7 @@ def exclude_labels(fields: DataFrame, names: DataFrame, exclude: tuple[str, ...]
 
 def random_pick(df: DataFrame, key: str, n: int = 20, seed: int = 0) -> DataFrame:
     """n rows chosen by a hash of the key: a fixed random sample for each seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:

@@ -182,7 +182,7 @@ def exclude_labels(spark, d):
     return quality.exclude_labels(fields, names, ("machinery",)).select("c_custkey", "field", "prefix", "label")
 
 
-@query()
+@query("SELECT vec_id FROM embeddings ORDER BY md5('7:' || vec_id::VARCHAR), vec_id LIMIT 20")
 def random_pick(spark, d):
     return quality.random_pick(vectors(spark, d), "vec_id", 20, 7).select("vec_id")
 

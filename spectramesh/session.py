@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -13,3 +18,19 @@ def ship(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that the driver and all executors share; in local mode, where it is unset, a new local one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spectramesh-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"

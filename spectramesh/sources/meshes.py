@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 import numpy as np
@@ -176,3 +178,65 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
         faces.select("mesh_id", F.lit(1).alias("k"), F.col("fid").alias("n"), F.concat_ws(" ", F.lit("f"), F.col("a") + 1, F.col("b") + 1, F.col("c") + 1).alias("value"))
     )
     lines.repartition("mesh_id").sortWithinPartitions("mesh_id", "k", "n").select("mesh_id", "value").write.mode("overwrite").partitionBy("mesh_id").text(path)
+
+
+def stl_bytes(v: np.ndarray, f: np.ndarray) -> bytes:
+    """Binary STL: 32-bit corners, normals left at zero."""
+    out = np.zeros(len(f), np.dtype([("normal", "<f4", 3), ("corner", "<f4", (3, 3)), ("more", "<u2")]))
+    out["corner"] = v[f]
+    return bytes(80) + struct.pack("<I", len(f)) + out.tobytes()
+
+
+def vtp_text(v: np.ndarray, f: np.ndarray, fields: dict[str, np.ndarray]) -> str:
+    """Polygonal data in XML, arrays as text."""
+
+    def array(kind: str, values: np.ndarray, more: str = "") -> str:
+        return f'<DataArray type="{kind}" format="ascii"{more}>{" ".join(map(repr, values.ravel().tolist()))}</DataArray>'
+
+    data = "".join(array("Float64", x, f' Name="{k}"') for k, x in fields.items())
+    polys = array("Int64", f, ' Name="connectivity"') + array("Int64", np.arange(1, len(f) + 1) * 3, ' Name="offsets"')
+    points = array("Float64", v, ' NumberOfComponents="3"')
+    return f'<VTKFile type="PolyData" byte_order="LittleEndian"><PolyData><Piece NumberOfPoints="{len(v)}" NumberOfPolys="{len(f)}"><PointData>{data}</PointData><Points>{points}</Points><Polys>{polys}</Polys></Piece></PolyData></VTKFile>'
+
+
+def write_files(vertices: DataFrame, faces: DataFrame, path: str, kind: str = "obj", fields: DataFrame | None = None) -> DataFrame:
+    """Write one file per mesh, path/<mesh_id>.<kind> (stl, obj, vtp); fields (mesh_id, vid, field, value) go into .vtp alone. Returns mesh_id, path, bytes.
+
+    A file appears as a whole; a task that is run again replaces it by an equal one.
+    """
+    if kind not in PARSERS:
+        raise ValueError(f"unsupported kind {kind!r}: stl, obj, vtp")
+    points = vertices.select("mesh_id", "vid", "x", "y", "z")
+    if fields is not None:
+        named = fields.groupBy(F.col("mesh_id").alias("_m"), F.col("vid").alias("_v")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+        points = points.join(named, (F.col("mesh_id") == F.col("_m")) & (F.col("vid") == F.col("_v")), "left").drop("_m", "_v")
+
+    def run(key: tuple, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        v, f = v.sort_values("vid"), f.sort_values("fid")
+        at, tri = v[["x", "y", "z"]].to_numpy(float), np.searchsorted(v["vid"].to_numpy(), f[["a", "b", "c"]].to_numpy())
+        rows = [dict(x) if x is not None else {} for x in v["fields"]] if "fields" in v else []
+        found = {k: np.array([x.get(k, np.nan) for x in rows]) for k in sorted({k for x in rows for k in x})}
+        data = stl_bytes(at, tri) if kind == "stl" else (obj_text(at, tri) if kind == "obj" else vtp_text(at, tri, found)).encode()
+        to = f"{path}/{key[0]}.{kind}"
+        put(to, data)
+        return pd.DataFrame({"mesh_id": [key[0]], "path": [to], "bytes": [len(data)]})
+
+    # Names of their own: vertices, faces and fields may come from one table.
+    points, corners = points.withColumnRenamed("mesh_id", "_mesh"), faces.select(F.col("mesh_id").alias("_other"), "fid", "a", "b", "c")
+    return points.groupBy("_mesh").cogroup(corners.groupBy("_other")).applyInPandas(run, "mesh_id string, path string, bytes bigint")
+
+
+def put(path: str, data: bytes) -> None:
+    """A file of any store that pyarrow reaches; local ones are moved into place when they are whole."""
+    if path.startswith("file:") or "://" not in path:
+        at = Path("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+        at.parent.mkdir(parents=True, exist_ok=True)
+        part = at.with_name(f".{at.name}.{uuid.uuid4().hex}")
+        part.write_bytes(data)
+        part.replace(at)
+        return
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_output_stream(at) as out:
+        out.write(data)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectramesh.session import work_dir
+
 
 def well_path(root: str | Column = "") -> Column:
     """root/timepoint/zarr/row letter/column/round: the folder of a well."""
@@ -45,13 +46,13 @@ def read_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The table as it is now, in the folder of spark.checkpoint.dir (where that is unset, as in tests, a new local one).
+    """The table as it is now, in the folder of spark.checkpoint.dir (see `session.work_dir`).
 
     Where eigenvalues coincide, their vectors depend on the last bit of the input; whatever is made from a basis must see the same one.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectramesh-"))
+        sc.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
 
 
