@@ -10,7 +10,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -46,8 +46,14 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+#: What a task's end calls to let go of things that the worker hasn't used for a while.
+idle: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end; workers live on for other tasks."""
+    for forget in idle:
+        forget()
     gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

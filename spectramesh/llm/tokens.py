@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectramesh.llm.common import bucket, chunks, get_bytes, get_range, materialize, new_path, put_bytes, range_bounds, running, ship
+from spectramesh.llm.common import bucket, chunks, get_bytes, get_range, idle, materialize, new_path, put_bytes, range_bounds, running, ship
 
 MAGIC = b"SMTK0001"
-#: Distinct words whose ids a worker remembers between chunks (about 140 MB); past it those that came up once are forgotten.
-MEMO_WORDS = 600_000
+#: Distinct words whose ids a worker remembers between chunks (about 90 MB); past it those that came up once are forgotten.
+MEMO_WORDS = 400_000
+#: Seconds after which a worker that does other work lets its encoders go.
+IDLE = 20
 #: Ids in one file: 32 MB at two bytes each. It bounds what a writer or reader holds.
 FILE_TOKENS = 16 << 20
 KEYS_PER_BIT_LEVELS = 24
@@ -107,6 +110,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of self.dtype."""
+        _last[0] = time.monotonic()
         if not self.by_word:
             return self.direct(texts)
         words = [t.replace("\n", " ").lower().split(" ") if self._plain(t) else None for t in texts]
@@ -127,6 +131,15 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_last = [0.0]
+
+
+def _forget() -> None:
+    if time.monotonic() - _last[0] > IDLE:
+        _encoders.clear()
+
+
+idle.append(_forget)
 
 
 def encoder(file: str) -> Encoder:
