@@ -69,3 +69,31 @@ FROM (SELECT *, list_transform(ats, lambda ks, i: ys[i] - 1 / (1 + exp(-(b + lis
 last AS MATERIALIZED (SELECT w, b FROM gd WHERE epoch = {epochs}), weight AS MATERIALIZED (SELECT h, w[k] AS v FROM seen, last),
 pg AS (SELECT row_number() OVER () AS r, page_id, {host} AS host, {path} AS path FROM pages), z AS (SELECT r, sum(v) AS z FROM (SELECT r, unnest({feats}) AS h FROM pg) JOIN weight USING (h) GROUP BY r)
 SELECT page_id, host, path, {name} AS rule, coalesce({says}, CASE WHEN coalesce(z, 0) + b >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM pg LEFT JOIN z USING (r), last"""
+
+
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+
+
+def hard_negatives(positives: int = 5, negatives: int = 10) -> str:
+    """All rows against the anchors; scores are whole numbers that doubles hold."""
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINE}),
+s AS MATERIALIZED (SELECT a.r AS ar, a.id AS anchor_id, c.r AS cr, c.id AS cid, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.r <> c.r AND len(a.x) = len(c.x) WHERE a.id % 100 = 0),
+p AS (SELECT ar, anchor_id, cr AS pr, cid AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, cid, cr) <= {positives})
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY ar, pr ORDER BY score DESC, cid, cr))::INT AS rank, cid AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (ar, anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= {negatives}"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """A table of entries per round; whole numbers in doubles, which hold them."""
+    steps = f"""e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS r, vec_id, label, x FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS x FROM embeddings WHERE {_FINE} AND len(embedding) > 0)),
+p AS MATERIALIZED (SELECT r, k, x[k * (len(x) // {parts}) + 1 : (k + 1) * (len(x) // {parts})] AS x FROM e, range({parts}) t(k)), b0 AS MATERIALIZED (SELECT k, r AS i, x AS c FROM p WHERE r < {entries})"""
+    for n in range(rounds + 1):
+        steps += f""",
+a{n} AS MATERIALIZED (SELECT r, k, any_value(x) AS x, min({{'d': list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c), 'i': i}}) AS m FROM p JOIN b{n} USING (k) GROUP BY r, k)"""
+        if n < rounds:
+            steps += f""",
+m{n} AS (SELECT k, i, list(f ORDER BY j) AS c FROM (SELECT k, i, j, floor(sum(y) / count(*)) AS f FROM (SELECT k, m.i AS i, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{n}) GROUP BY k, i, j) GROUP BY k, i),
+b{n + 1} AS MATERIALIZED (SELECT k, i, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m USING (k, i))"""
+    return f"""WITH {steps},
+sha AS (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda y: y::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY k, i)) AS codebooks_sha256 FROM b{rounds}),
+o AS (SELECT vec_id, label, string_agg(printf('%02x', m.i), '' ORDER BY k) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} JOIN e USING (r) GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, sha"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectramesh.llm import decontaminate, langid, licenses, oracles, packing, reshard, simhash, tokens, toxicity, urlfilter, vptree
+from spectramesh.llm import decontaminate, hardnegatives, langid, licenses, multiset, oracles, packing, reshard, simhash, tokens, toxicity, urlfilter, vectorcodes, vptree
 from spectramesh.llm.common import ship
 
 SHARDS, SEQUENCE, END_ID = 40, 4096, 2
@@ -66,6 +66,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_token_files, op3_language_id, op4_toxicity, op5_url_filter, op6_decontamination, op7_license_scan, op8_vptree_neighbours, op9_packing, op10_simhash)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_token_files, op3_language_id, op4_toxicity, op5_url_filter, op6_decontamination, op7_license_scan, op8_vptree_neighbours, op9_packing, op10_simhash, op11_hard_negatives, op12_vector_codes, op13_multiset_fingerprints)}
 #: Trained text models, ids of a tokenizer library, files and XXH64 can't be said in SQL; tests compare those with brute-force versions.
-ORACLES: dict[str, str] = {"op5_url_filter": oracles.url_filter(RULES), "op6_decontamination": oracles.decontamination(), "op7_license_scan": oracles.scan(), "op8_vptree_neighbours": oracles.neighbours()}
+ORACLES: dict[str, str] = {"op5_url_filter": oracles.url_filter(RULES), "op6_decontamination": oracles.decontamination(), "op7_license_scan": oracles.scan(), "op8_vptree_neighbours": oracles.neighbours(), "op11_hard_negatives": oracles.hard_negatives(), "op12_vector_codes": oracles.vector_codes()}
