@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.operators import clustering, scaling
+from spectramesh.operators import clustering, quality, scaling
 from spectramesh.plans import pipelines
 from spectramesh.plans.queries import CENTERS, DIST, GRID, TIMES, centers, grids, query, read, rounded, vectors
 from spectramesh.session import new_path
-from spectramesh.sources import meshes, tables
+from spectramesh.sources import meshes, stores, tables
 from spectramesh.streaming import ingest
 
 WHOLE = f"""WITH {GRID}, nv AS (SELECT mesh_id, count(*) AS vertices, round(sum(x), 3) + 0.0 AS sx, round(sum(y), 3) + 0.0 AS sy, round(sum(z), 3) + 0.0 AS sz FROM vert GROUP BY 1), nf AS (SELECT mesh_id, count(*) AS faces, round(sum(s), 3) AS area FROM geo GROUP BY 1)
@@ -59,20 +57,41 @@ def vtp_fields(spark, d):
     return rounded(meshes.vertex_fields(written(spark, d, "vtp", True)))
 
 
-@query("SELECT 'm' AS mesh_id, vid::INT AS vid, round(vid / 10.0, 6) AS x, vid * 2.0 AS y, 1.0 AS z FROM range(12) r(vid)")
+@query("SELECT 'm' AS mesh_id, (row_number() OVER (ORDER BY r_regionkey) - 1)::INT AS vid, r_regionkey / 10.0 AS x, r_regionkey * 2.0 AS y, length(r_name)::DOUBLE AS z FROM region")
 def mesh_from_arrays(spark, d):
-    v = np.stack([np.arange(12) / 10, np.arange(12) * 2.0, np.ones(12)], axis=1)
-    return rounded(meshes.from_arrays(spark, "m", v, np.array([[0, 1, 2]]))[0])
+    """Arrays of the driver, here of the regions, as a mesh."""
+    v = np.array([(r.r_regionkey / 10, r.r_regionkey * 2.0, len(r.r_name)) for r in read(spark, d, "region").orderBy("r_regionkey").collect()], float)
+    return rounded(meshes.from_arrays(spark, "m", v, np.array([[0, 1, 2], [2, 3, 4]]))[0])
 
 
-@query("SELECT (row_number() OVER (ORDER BY c_custkey DESC) - 1)::INT AS pos, c_custkey::INT AS label FROM customer")
+@query("SELECT c_nationkey AS list, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) - 1)::INT AS pos, c_custkey::INT AS label FROM customer")
 def label_list(spark, d):
-    """A vector of labels in a file of one array, in its own order."""
-    keys = [r.c_custkey for r in read(spark, d, "customer").select("c_custkey").orderBy(F.desc("c_custkey")).collect()]
-    path, out = f"{new_path(spark, 'labels')}/good_labels.npy", io.BytesIO()
-    np.save(out, np.array(keys, np.int64))
-    meshes.put(path, out.getvalue())
-    return tables.read_labels(spark, path).select("pos", "label")
+    """Vectors of labels in files of one array each, in their own order: a list per nation, written where its rows are."""
+    path, rows = new_path(spark, "labels"), read(spark, d, "customer")
+    tables.write_labels(rows, path, "c_nationkey", "c_custkey", F.desc("c_custkey"))
+    found = tables.read_labels(spark, f"{path}/*.npy")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.npy$", 1).cast("int").alias("list"), "pos", "label")
+
+
+@query("SELECT p_partkey::VARCHAR AS obs_name, p_brand, p_size::BIGINT AS p_size, p_retailprice, p_retailprice / p_size AS ratio FROM part")
+def store_round_trip(spark, d):
+    """A chunked store written from a table and read back, without the columns that aren't wanted."""
+    path = new_path(spark, "store")
+    rows = read(spark, d, "part").select("*", (F.col("p_retailprice") / F.col("p_size")).alias("ratio"), (F.col("p_size") * 2.0).alias("twice"))
+    stores.write_table(rows, path, "p_partkey", ["p_retailprice", "twice", "ratio"], ["p_brand", "p_type", "p_size"], row_chunk=300, column_chunk=2)
+    return stores.read_table(spark, path, var=["ratio", "p_retailprice"], obs=["p_brand", "p_size"]).drop("row")
+
+
+@query("""WITH mesh AS (SELECT l_partkey::VARCHAR AS obs_name, l_partkey AS label, avg(l_discount) * 26 AS sphericity FROM lineitem GROUP BY ALL), feat AS (SELECT p_partkey::VARCHAR AS obs_name, p_size / 10.0 AS i FROM part)
+SELECT obs_name, label::INT AS label FROM mesh LEFT JOIN feat USING (obs_name) WHERE NOT (coalesce(i < 1, false) OR coalesce(sphericity > 1.3, false))""")
+def store_good_labels(spark, d):
+    """The job that makes lists of good labels: a feature store and a mesh store, each read by the columns that the limits need."""
+    features, shapes = new_path(spark, "features"), new_path(spark, "shapes")
+    part = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") / 10.0).alias("C01.min_intensity"), "p_retailprice")
+    stores.write_table(part, features, "name", ["p_retailprice", "C01.min_intensity"], row_chunk=512, column_chunk=1)
+    mesh = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("label")).agg((F.avg("l_discount") * 26).alias("sphericity"), F.sum("l_quantity").alias("volume")).withColumn("name", F.col("label").cast("string"))
+    stores.write_table(mesh, shapes, "name", ["volume", "sphericity"], ["label"], row_chunk=512)
+    return tables.good_labels(stores.read_table(spark, features, ["C01.min_intensity"], []), stores.read_table(spark, shapes, ["sphericity"], ["label"]))
 
 
 @query("SELECT n_name AS timepoint, count(*) AS n, sum(c_custkey)::BIGINT AS total, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spectramesh.session import work_dir
+from spectramesh.session import new_path, work_dir
 
 
 def well_path(root: str | Column = "") -> Column:
@@ -45,6 +45,29 @@ def read_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_arrays(spark, path).select("path", F.posexplode("values").alias("pos", "_v")).select("path", "pos", F.col("_v").cast("int").alias("label"))
 
 
+def write_labels(rows: DataFrame, path: str, group: str, label: str, *order: Column) -> None:
+    """A file `<group>.npy` with the vector of labels for each group, in the given order. A group's vector is made in one task; ties go by label."""
+    from spectramesh.sources.meshes import put
+
+    place = F.row_number().over(Window.partitionBy("g").orderBy(*order, "l")).alias("p")
+    some = rows.select(F.col(group).alias("g"), F.col(label).cast("bigint").alias("l"), "*").select("g", "l", place)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, part.sort_values("p")["l"].to_numpy(np.int64))
+        put(f"{path}/{key[0]}.npy", out.getvalue())
+        return pd.DataFrame({"n": [len(part)]})
+
+    some.groupBy("g").applyInPandas(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def good_labels(features: DataFrame, shapes: DataFrame, key: str = "obs_name", label: str = "label", tol: float = 1.0, most: float = 1.3) -> DataFrame:
+    """key, label of the items whose least intensity and sphericity lie within the limits: features and shapes as they come from stores."""
+    from spectramesh.operators.quality import quality_filter
+
+    return quality_filter(shapes, features, [key], "C01.min_intensity", "sphericity", tol, most).select(key, F.col(label).cast("int").alias(label))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The table as it is now, in the folder of spark.checkpoint.dir (see `session.work_dir`).
 
@@ -56,6 +79,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written into the shared folder and read again: cuts the lineage like `settle`, in one pass, and keeps columns prunable."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
