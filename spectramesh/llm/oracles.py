@@ -42,9 +42,9 @@ best AS (SELECT r, template, max(got) AS got, arg_min(a, (-got, a)) AS a FROM sh
 SELECT any_value(doc_id) AS doc_id, any_value(license) AS license, template::INT AS template, any_value(got / total) AS containment, any_value(a) AS first_word FROM best JOIN hit USING (r, template) WHERE got / total >= 0.8 GROUP BY r, template"""
 
 
-def url_filter(rules: list[tuple[str, str]], epochs: int = 200, rate: float = 2.0, decay: float = 1e-3) -> str:
+def url_filter(rules: list[tuple[str, str]], epochs: int = 200, rate: float = 1.0, decay: float = 1e-3) -> str:
     """Gradient descent as a recursive table of one row."""
-    urls = ", ".join(f"('https://{h.format(s)}{U.PATH_FORMS[(i + k) % 4].format(100 + 7 * i + k)}', {y})" for y, sites in ((1, U.BLOCKED_SITES), (0, U.ALLOWED_SITES)) for i, s in enumerate(sites) for k, h in enumerate(U.HOST_FORMS))
+    urls = ", ".join(f"('{u}', {y})" for u, y in U.made_urls())
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     host = f"coalesce(translate(regexp_extract({rest}, '^[^/?#]*', 0), '{U.UPPER}', '{U.LOWER}'), '')"
     path = f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
@@ -59,7 +59,7 @@ def url_filter(rules: list[tuple[str, str]], epochs: int = 200, rate: float = 2.
         h, slash, p = rule.partition("/")
         fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash}{p}')"
         name, says = f"CASE WHEN {fits} THEN '{rule}' ELSE {name} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
-    return f"""WITH RECURSIVE lab AS MATERIALIZED (SELECT row_number() OVER (ORDER BY url) AS i, y, {feats} AS f FROM (SELECT url, y::DOUBLE AS y, {host} AS host, {path} AS path FROM (VALUES {urls}) v(url, y))),
+    return f"""WITH RECURSIVE lab AS MATERIALIZED (SELECT row_number() OVER (ORDER BY url, y) AS i, y, {feats} AS f FROM (SELECT url, y::DOUBLE AS y, {host} AS host, {path} AS path FROM (VALUES {urls}) v(url, y))),
 seen AS MATERIALIZED (SELECT h, row_number() OVER (ORDER BY h) AS k FROM (SELECT DISTINCT unnest(f) AS h FROM lab)), pair AS MATERIALIZED (SELECT i, k FROM (SELECT i, unnest(f) AS h FROM lab) JOIN seen USING (h)),
 rws AS (SELECT list(y ORDER BY i) AS ys, list(ks ORDER BY i) AS ats, count(*)::DOUBLE AS n FROM lab JOIN (SELECT i, list(k ORDER BY k) AS ks FROM pair GROUP BY i) USING (i)), ins AS (SELECT list(xs ORDER BY k) AS inside FROM (SELECT k, list(i ORDER BY i) AS xs FROM pair GROUP BY k)),
 fixed AS MATERIALIZED (SELECT * FROM rws, ins),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectramesh.llm.common import let, materialize
@@ -22,24 +22,42 @@ BUCKETS = 1 << 16
 ORDERS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Site names of the labelled table, by verdict: gambling, pills, adult, advertising and link spam, against everyday sites. Each comes with a few hosts and paths.
-BLOCKED_SITES = (
-    "casino-royal", "online-casino", "casinobonus", "bestcasino", "win-jackpot", "poker-win", "winbig", "lucky-slots", "bets-online", "sport-bets", "livebets", "free-spins", "freecoins", "free-chips",
-    "pills-online", "buy-pills", "pillshop", "cheap-meds", "cheap-watches", "cheapviagra", "diet-pills", "adult-cams", "x-adult", "adultvideo", "xxx-video", "adult-dating",
-    "ad-tracker", "track-click", "click-ads", "ads-server", "popup-ads", "tracking-pixel", "banner-ads", "link-farm", "spam-links", "seo-spam", "clickfarm", "spammail",
-)
-ALLOWED_SITES = (
-    "daily-news", "city-library", "weather", "open-science", "history-archive", "garden-club", "travel-notes", "recipes", "museum", "university", "education", "station-times", "the-reader",
-    "physics-lab", "health-service", "music-school", "books", "photo-journal", "math-notes", "river-walks", "theatre", "engineering", "farmlife", "northern-trails", "mother-care", "gathering",
-    "nation", "breathing-room", "other-voices", "north-theatre", "the-thirteenth-hour", "bathtub-repair", "youth-orchestra", "motherboard", "lighthouse-trust", "healthy-things", "birthday-cakes", "smith-and-son",
-)
-HOST_FORMS = ("{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com")
-PATH_FORMS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}")
+#: Words that tell a site's kind, the labelled table's whole knowledge: gambling, adult content, drugs by post, advertising and fraud against
+#: everyday subjects. They were written down without a look at any table of pages.
+UNWANTED = """casino poker slots roulette blackjack jackpot bingo betting bookmaker lottery gambling wager baccarat sportsbook bets
+porn xxx sex nude erotic escorts webcams camgirls hentai fetish milf adult hookup lesbian lingerie
+viagra cialis pharmacy pills steroids xanax tramadol weightloss painkillers meds
+adserver adclick popunder banners tracker affiliate pixel adnetwork retargeting ads clicks
+spam backlinks phishing malware keygen warez torrent cracked scam giveaway prizes followers"""
+ORDINARY = """news times post herald journal magazine press radio weather science physics chemistry biology history geography math library university college school academy museum gallery theatre orchestra
+garden kitchen recipes cooking bakery coffee wine travel hotel airline railway bus maps city council government parliament court police hospital clinic health medicine dentist nursing
+software linux python database cloud developer engineering robotics electronics camera photo video music guitar piano choir film cinema books reading poetry writers dictionary grammar
+football rugby tennis cycling running swimming hiking climbing sailing chess toys games kids family parents wedding fashion shoes jewelry furniture carpentry plumbing roofing painting
+farm dairy forest river ocean birds horses dogs cats insects flowers trees energy solar climate recycling charity church temple mosque volunteer archive encyclopedia finance bank insurance taxes
+market auction jobs career estate rental architecture bridge car motor bicycle train aviation space astronomy language translation culture philosophy religion society law notary"""
+#: What surrounds the words in turn, the same for both kinds, so that it tells nothing.
+NAMES = ("{}", "my{}", "{}online", "best-{}", "{}24", "the{}club", "{}-shop", "top{}", "{}world", "city-{}", "{}hub", "go{}")
+SUFFIXES = (".com", ".org", ".net", ".example.com", ".info", ".co.uk", ".example.org", ".de", ".example.net")
+PREFIXES, PATH_FORMS = ("", "www.", "m.", "blog."), ("/", "/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}")
+#: Urls of a word.
+EACH = 4
+
+
+def made_urls() -> list[tuple[str, int]]:
+    """(url, label) of the table, 1: block. A word's place in its own list decides what surrounds it."""
+    out = []
+    for label, text in ((1, UNWANTED), (0, ORDINARY)):
+        for i, word in enumerate(text.split()):
+            for k in range(EACH):
+                j = 5 * i + 7 * k
+                host = PREFIXES[(i + k) % len(PREFIXES)] + NAMES[j % len(NAMES)].format(word) + SUFFIXES[(i + 2 * k) % len(SUFFIXES)]
+                out.append((f"https://{host}{PATH_FORMS[(i + k) % len(PATH_FORMS)].format(100 + 37 * j % 9000)}", label))
+    return out
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: block) of the sites above: each with four forms of host and path."""
-    rows = [{"url": "https://" + h.format(s) + PATH_FORMS[(i + k) % 4].format(100 + 7 * i + k), "label": y} for y, sites in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)) for i, s in enumerate(sites) for k, h in enumerate(HOST_FORMS)]
+    """url, label of the table."""
+    rows = [{"url": u, "label": y} for u, y in made_urls()]
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<url:string,label:int>>")))
 
 
@@ -70,18 +88,18 @@ def grams(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*(of("h", whole, n) for n in ORDERS), *(of("p", path, n) for n in ORDERS)))
 
 
-def train(labelled: DataFrame, epochs: int = 200, rate: float = 2.0, decay: float = 1e-3) -> tuple[list[float], float]:
+def train(labelled: DataFrame, epochs: int = 200, rate: float = 1.0, decay: float = 1e-3) -> tuple[list[float], float]:
     """Weights by bucket, and the bias. labelled: url, label; rows with a null label are left out."""
-    rows = labelled.where(F.col("label").isNotNull()).select(F.col("label").cast("double").alias("y"), grams(host_of(F.col("url")), path_of(F.col("url"))).alias("f"))
-    table = rows.agg(F.array_sort(F.collect_list(F.struct("y", "f"))).alias("rows")).select("rows", F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["f"])))).alias("seen"))
-    table = materialize(table, "urls")  # a row; without a table between them, each step would compute the one before anew
-    # An example's features as places in `seen`; a feature's examples as places in `rows`.
-    table = table.select(
-        "seen", F.size("rows").alias("n"), F.transform("rows", lambda r: F.struct(r["y"].alias("y"), F.transform(r["f"], lambda f: (F.array_position("seen", f) - 1).cast("int")).alias("at"))).alias("rows")
-    )
-    table = table.select("*", F.transform("seen", lambda _, i: F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.array_contains(F.get("rows", j)["at"], i))).alias("inside"))
-
-    table = materialize(table, "urls")
+    rows = labelled.where(F.col("label").isNotNull()).select("url", F.col("label").cast("double").alias("y"), grams(host_of(F.col("url")), path_of(F.col("url"))).alias("f"))
+    # The labelled table is small by its purpose; its rows and its n-grams get numbers, and each list of the others' numbers is one shuffle.
+    rows = materialize(rows.withColumn("i", F.row_number().over(Window.orderBy("url", "y")) - 1), "urls")
+    seen = rows.select(F.explode("f").alias("h")).distinct().withColumn("k", F.row_number().over(Window.orderBy("h")) - 1)
+    pairs = materialize(rows.select("i", F.explode("f").alias("h")).join(seen, "h"), "url_grams")
+    listed = lambda key, other: F.sort_array(F.collect_list(F.struct(key, *other)))
+    at = rows.select("i", "y").join(pairs.groupBy("i").agg(F.sort_array(F.collect_list("k")).alias("at")), "i", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>"))).agg(listed("i", ("y", "at")).alias("rows"), F.count("*").alias("n"))
+    inside = pairs.groupBy("k", "h").agg(F.sort_array(F.collect_list("i")).alias("ids")).agg(listed("k", ("h", "ids")).alias("all"))
+    table = at.crossJoin(inside).select("rows", "n", F.transform("all", lambda x: x["h"]).alias("seen"), F.transform("all", lambda x: x["ids"]).alias("inside"))
+    table = materialize(table, "urls")  # a row; without a table between them, each epoch would compute the one before anew
 
     def sigmoid(z: Column) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))

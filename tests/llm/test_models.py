@@ -156,20 +156,51 @@ def test_url_model(spark, data):
     w, b = np.zeros(urlfilter.BUCKETS), 0.0
     for _ in range(20):
         r = [t - 1 / (1 + np.exp(-(b + w[f].sum()))) for t, f in zip(y, feats)]
-        w = w * (1 - 2.0 * 1e-3)
+        w = w * (1 - 1e-3)
         for e, f in zip(r, feats):
-            w[f] += 2.0 * e / len(y)
-        b += 2.0 * sum(r) / len(y)
+            w[f] += e / len(y)
+        b += sum(r) / len(y)
     assert np.allclose(w, weights) and abs(b - bias) < 1e-9
-    # None of the tables' sites is in the labelled table; those that should be blocked have a hyphen.
-    pages = QUERIES["op5_url_filter"](spark, "/root/testdata/sf0.1").where("rule is null").collect()
-    sites = {x for r in pages for x in r.host.split(".")}
-    assert not sites & {*urlfilter.BLOCKED_SITES, *urlfilter.ALLOWED_SITES}
-    assert np.mean([r.verdict == "block" for r in pages if "-" in r.host]) > 0.95 and np.mean([r.verdict == "block" for r in pages if "-" not in r.host]) < 0.02
     assert urlfilter.judge(spark.createDataFrame([], "page_id bigint, url string"), RULES).count() == 0
     assert urlfilter.train(labelled.limit(0)) == ([0.0] * urlfilter.BUCKETS, -1.0)
 
 
+#: Sites known in public for what they offer, none of which the model was made from: gambling, adult content, drugs by post, advertising and
+#: traffic trade; and news, knowledge, public bodies, trade and daily life.
+BAD = """
+888casino.com bet365.com betfair.com betway.com bovada.lv bwin.com casino.com caesarscasino.com draftkings.com fanduel.com ladbrokes.com leovegas.com mrgreen.com
+partypoker.com pokerstars.eu slotomania.com stake.com unibet.com williamhill.com winamax.fr 10bet.com 1xbet.com 22bet.ng betonline.ag casumo.com ggpoker.eu jackpotcity.net
+jackpotjoy.com lottoland.co.uk onlinecasinos.net roulette.org slots.lv tipico.de vegasslotsonline.com europacasino.com betsson.com betvictor.com
+pornhub.com xvideos.com xnxx.com xhamster.com redtube.com youporn.com tube8.com spankbang.com brazzers.com chaturbate.com livejasmin.com bongacams.com stripchat.com
+adultfriendfinder.com adultwork.com adultempire.com sexcams.com sex.com xtube.com nudevista.com camsoda.com hentaihaven.xxx beeg.com eporner.com porntube.com
+canadapharmacyonline.com canadianpharmacyworld.com genericviagra.net viagra-store.com cialisonline.net edpillsbuy.org rxdrugshop.net noprescriptiondrugs.com pharmacychecker-discount.net
+steroids-shop.net weightlosspills.org onlinepharmacy24.net buyxanax.org modafinilxl.com
+doubleclick.net googlesyndication.com adnxs.com taboola.com outbrain.com criteo.com popads.net propellerads.com scorecardresearch.com quantserve.com adroll.com adform.net
+rubiconproject.com pubmatic.com openx.net trackcmp.net popcash.net exoclick.com juicyads.com mgid.com revcontent.com adsterra.com tracking202.com trafficjunky.net
+buybacklinks.net freebacklinks.org seoclerks.com bulkmailer.biz buyfollowers.io trafficbot.co paidtoclick.in instafollowers.co freegiftcards.win claimyourprize.club
+account-verify-login.com secure-banking-update.com free-iphone-winner.com
+"""
+GOOD = """
+wikipedia.org nytimes.com bbc.co.uk theguardian.com lemonde.fr spiegel.de elpais.com reuters.com apnews.com npr.org washingtonpost.com economist.com aljazeera.com zeit.de
+lefigaro.fr elmundo.es sueddeutsche.de nature.com science.org arxiv.org pnas.org plos.org springer.com jstor.org mit.edu harvard.edu stanford.edu ox.ac.uk cam.ac.uk
+sorbonne-universite.fr tum.de uam.es ethz.ch berkeley.edu nasa.gov nih.gov cdc.gov noaa.gov loc.gov usgs.gov gov.uk service-public.fr bund.de europa.eu un.org who.int unesco.org
+github.com stackoverflow.com python.org apache.org kernel.org debian.org mozilla.org w3.org gnu.org rust-lang.org postgresql.org readthedocs.io gitlab.com linkedin.com
+freecodecamp.org khanacademy.org coursera.org edx.org duolingo.com britannica.com archive.org gutenberg.org goodreads.com openstreetmap.org weather.com meteofrance.com
+ikea.com etsy.com target.com rei.com decathlon.fr booking.com airbnb.com lonelyplanet.com nationalrail.co.uk sncf.com bahn.de renfe.com nhs.uk mayoclinic.org webmd.com
+allrecipes.com seriouseats.com marmiton.org chefkoch.de bonappetit.com metmuseum.org louvre.fr britishmuseum.org moma.org imdb.com spotify.com bandcamp.com
+strava.com fifa.com olympics.com nationalgeographic.com smithsonianmag.com audubon.org rhs.org.uk gardeners.com instructables.com craftsy.com trackandfield.org winchester.gov.uk
+habitat.org redcross.org doctorswithoutborders.org wwf.org amnesty.org greenpeace.org cancer.org parenting.com thisoldhouse.com houzz.com thesprucecrafts.com
+"""
+
+
+def test_urls_of_real_sites(spark):
+    """Few good sites are blocked. Of the bad ones only those are caught whose names hold a telling word: brands say nothing by their letters."""
+    rows = [(i, f"https://{s}/", y) for i, (s, y) in enumerate([(s, 1) for s in BAD.split()] + [(s, 0) for s in GOOD.split()])]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string, label int"), []).collect()
+    said = {r.page_id: r.verdict == "block" for r in got}
+    assert np.mean([said[i] for i, _, y in rows if y == 0]) < 0.1 and np.mean([said[i] for i, _, y in rows if y == 1]) > 0.35
+
+
 def test_long_texts_in_parts():
     rng = np.random.default_rng(0)
     model = langid.LanguageModel(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype("f4"), np.array([0.1, -0.2]))
