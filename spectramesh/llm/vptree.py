@@ -2,11 +2,15 @@
 
 Vectors are scaled to unit length, where the Euclidean distance orders as the cosine does, and dealt by a hash of their id into
 shards of about `shard_rows`. A shard's tree is built once and written to the shared folder, as the blocks of queries are; a task reads
-one tree and streams the blocks through it. A tree has many vantage points: a level's nodes split at the median distance to one of them,
-and every vector keeps its distances to all. By the triangle inequality a vector is no nearer to a query than the difference of their
-distances to any vantage point, and so than the root mean square of those differences. A node is left out if the difference to its limits, a
-vector if the root mean square, exceeds `factor` times the query's k-th best distance so far. Factor one leaves out nothing that could
-count and is exact; smaller factors leave out more. The shards' best are merged by score.
+one tree and streams the blocks through it. An inner node has a vantage point far out along the direction in which its vectors spread most,
+where distances to it differ most, and halves them at the median distance. By the triangle inequality a vector is no nearer to a
+query than the difference of their distances to any vantage point, so a leaf is no nearer than the largest gap, over the nodes above it, between
+the query's distance and the distances on the leaf's side. Leaves whose gap exceeds `factor` times the query's k-th best distance so far are
+left out; the others are scored by one matrix product each. Factor one leaves out nothing that could count and is exact.
+
+Without a given factor each tree sets its own: some of its vectors search it, and the factor is the least that keeps RECALL of their nearest. Where
+that leaves out less than WORTH of the pairs, as with vectors that spread alike in all of many directions, the tree takes factor one: nothing
+is gained there by losing neighbours. The shards' best are merged by score.
 
 Scores are computed from the original vectors in double precision, scaled by a power of two where their squares would not be finite or
 normal; equal vectors get equal scores wherever they lie.
@@ -29,13 +33,12 @@ from pyspark.sql import functions as F
 
 from spectramesh.llm.common import get_bytes, give_back, materialize, new_path, put_bytes, ship
 
-#: Vectors of a leaf, vantage points of a tree (fewer in a small shard), and the numbers that a search holds at once.
-LEAF, VANTAGES, AT_ONCE = 256, 128, 1 << 20
-#: Vectors that a query begins with, and the share of a tree's distances that its floor is above.
-FIRST, FLOOR = 64, 0.05
-#: How far the bounds are relaxed by default, times the root of the vectors' length: along one direction of many, differences are that
-#: much shorter than distances. Tests measure recall and the share of pairs that are scored.
-FACTOR = 0.8
+#: Vectors of a leaf, and the numbers that a search holds at once.
+LEAF, AT_ONCE = 256, 1 << 20
+#: What a tree's own factor must keep, from how many of its vectors, and what share of the pairs it must leave out.
+RECALL, PROBES, WORTH = 0.985, 128, 0.15
+#: How far the vantage points lie outside, in radii of their vectors, and what rounding may add to a distance or a score.
+OUTSIDE, ROUNDING = 3.0, 1e-7
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -49,41 +52,67 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Between all rows of two sets of unit vectors."""
-    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+def distances(unit: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Between all rows of two sets, the first of unit vectors."""
+    return np.sqrt(np.maximum(0, 1 + (points * points).sum(1)[None] - 2 * (unit @ points.T)))
 
 
 class Tree:
-    """A vantage-point tree. Nodes are rows of `ranges` (first, end, left, right; no children: -1) and of `low` and `high`.
+    """A vantage-point tree over unit vectors. Inner nodes are rows of `points` and `sides` (least and largest distance of the first and second half).
 
-    low, high: the least and the largest distance of a node's vectors to each vantage point. kept: each vector's distances to them.
+    paths: for each leaf the (inner node, side) pairs above it. starts: where the leaves begin. factor: the tree's own.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 1):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = 5, seed: int = 1):
         vectors = scaled(vectors)
-        rng = np.random.default_rng(seed)
         unit = vectors / np.sqrt(dots(vectors, vectors))[:, None]
-        self.vantages = unit[rng.permutation(len(ids))[: max(1, min(VANTAGES, len(ids) // 8))]]
-        kept, order, nodes = distances(unit, self.vantages).astype(np.float32), np.arange(len(ids)), []
-        # Raising small distances to a floor brings no two further apart; without it a vantage point's own zero outweighs all others.
-        self.floor = np.quantile(kept, FLOOR)
-        kept = np.maximum(kept, self.floor)
-
-        def build(a: int, b: int, depth: int) -> int:
-            me, left, right = len(nodes), -1, -1
-            nodes.append(None)
-            if b - a > LEAF:
-                half = (b - a) // 2
-                order[a:b] = order[a:b][np.argpartition(kept[order[a:b], depth % kept.shape[1]], half)]
-                left, right = build(a, a + half, depth + 1), build(a + half, b, depth + 1)
-            nodes[me] = (a, b, left, right)
-            return me
-
-        build(0, len(ids), 0)
-        self.ranges = np.array(nodes, np.int64)
-        self.ids, self.vectors, self.kept = ids[order], vectors[order], kept[order]
-        self.low, self.high = (np.array([f(self.kept[a:b], axis=0) for a, b, *_ in nodes]) for f in (np.min, np.max))
+        order, points, sides, leaves = np.arange(len(ids)), [], [], []
+        rng = np.random.default_rng(seed)
+
+        def build(a: int, b: int, above: list) -> None:
+            if b - a <= LEAF:
+                leaves.append((a, above))
+                return
+            own, half, me = unit[order[a:b]], (b - a) // 2, len(points)
+            points.append(outside(own, rng))
+            d = distances(own, points[me][None])[:, 0]
+            turn = np.argpartition(d, half)
+            order[a:b], d = order[a:b][turn], d[turn]
+            sides.append([d[:half].min(), d[:half].max(), d[half:].min(), d[half:].max()])
+            build(a, a + half, [*above, (me, 0)])
+            build(a + half, b, [*above, (me, 1)])
+
+        build(0, len(ids), [])
+        self.ids, self.vectors, self.unit = ids[order], vectors[order], unit[order]
+        self.points, self.sides = np.array(points).reshape(-1, vectors.shape[1]), np.array(sides).reshape(-1, 4)
+        self.starts = np.array([a for a, _ in leaves] + [len(ids)])
+        deep = max(len(p) for _, p in leaves)
+        self.paths = np.array([[*p, *[(-1, 0)] * (deep - len(p))] for _, p in leaves], np.int64).reshape(len(leaves), deep, 2)
+        self.factor = self._own_factor(k, rng)
+
+    def gaps(self, unit: np.ndarray) -> np.ndarray:
+        """At least how far each leaf is from each vector."""
+        out = np.zeros((len(unit), len(self.paths)))
+        if len(self.points):
+            d = distances(unit, self.points)
+            beside = np.maximum(0, np.stack([np.maximum(self.sides[:, 2 * s] - d, d - self.sides[:, 2 * s + 1]) for s in (0, 1)], 2))
+            for leaf, path in enumerate(self.paths):
+                above = path[path[:, 0] >= 0]
+                out[:, leaf] = beside[:, above[:, 0], above[:, 1]].max(1, initial=0)
+        return out
+
+    def _own_factor(self, k: int, rng: np.random.Generator) -> float:
+        if len(self.paths) < 4:
+            return 1.0
+        who = rng.permutation(len(self.ids))[:PROBES]
+        s = self.unit[who] @ self.unit.T
+        s[np.arange(len(who)), who] = -np.inf
+        near = np.argpartition(-s, k, axis=1)[:, :k]
+        far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, near, 1).min(1))) + ROUNDING
+        gap = self.gaps(self.unit[who]) / far[:, None]
+        leaf = np.searchsorted(self.starts, near, side="right") - 1
+        factor = min(1.0, float(np.quantile(np.take_along_axis(gap, leaf, 1), RECALL, method="higher")) + 1e-6)
+        return factor if (gap > factor).mean() >= WORTH else 1.0
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -95,88 +124,68 @@ class Tree:
         tree = cls.__new__(cls)
         with np.load(io.BytesIO(data)) as found:
             tree.__dict__.update({k: found[k] for k in found.files})
+        tree.factor = float(tree.factor)
         return tree
 
 
+def outside(unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A point far out along the direction in which the vectors spread most (some steps of the power method, from a random start)."""
+    middle = unit.mean(0)
+    x = unit - middle
+    way = rng.normal(size=unit.shape[1])
+    for _ in range(8):
+        way = x.T @ (x @ way)
+        size = np.sqrt(way @ way)
+        if not size > 0:  # equal vectors
+            return middle
+        way /= size
+    return middle + OUTSIDE * np.sqrt((x * x).sum(1).max()) * way
+
+
 class Search:
-    """The k best of a tree for a block of queries. scored: pairs whose score was computed."""
+    """The k best of a tree for a block of queries. bounds, scored: distances to vantage points and pairs that were computed."""
 
     def __init__(self, tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float | None = None):
         self.t, self.k, self.query_ids = tree, k, query_ids
-        self.factor = min(1.0, FACTOR / queries.shape[1] ** 0.5) if factor is None else factor
+        self.factor = tree.factor if factor is None else factor
         self.queries = scaled(queries)
         self.norms, self.query_norms = np.sqrt(dots(tree.vectors, tree.vectors)), np.sqrt(dots(self.queries, self.queries))
-        self.away = np.maximum(distances(self.queries / self.query_norms[:, None], tree.vantages).astype(np.float32), tree.floor)
+        self.unit = self.queries / self.query_norms[:, None]
         self.best = np.full((len(queries), k), -np.inf)
         self.at = np.full((len(queries), k), -1)
-        self.far = np.full(len(queries), np.inf)
-        self.scored = len(queries) * len(tree.vantages)
-        for c in range(0, len(queries), step := max(1, AT_ONCE // max(1, len(tree.ids)))):
+        self.bounds, self.scored = len(queries) * len(tree.points), 0
+        for c in range(0, len(queries), step := max(1, AT_ONCE // max(LEAF, len(tree.paths)))):
             self._walk(np.arange(c, min(c + step, len(queries))))
 
     def _walk(self, q: np.ndarray) -> None:
-        """Bounds first: a query's likeliest vectors, by them, give the distance that all others are measured by."""
-        gaps = np.full((len(q), len(self.t.ids)), np.inf, np.float32)
-        self._leaf(gaps, q, np.arange(len(q)), self._own(q))
-        self._take(gaps, q)
-        self._visit(gaps, q, np.arange(len(q)), 0)
-        self._take(gaps, q)
-        self._offer(gaps, q, gaps <= self._reach(q)[:, None])
-
-    def _reach(self, q: np.ndarray) -> np.ndarray:
-        return (self.factor * self.far[q] + 1e-3) ** 2
-
-    def _own(self, q: np.ndarray) -> np.ndarray:
-        """The leaf that each query would be in."""
-        node, depth = np.zeros(len(q), np.int64), 0
-        while (inner := self.t.ranges[node, 2] >= 0).any():
-            v = depth % self.away.shape[1]
-            left, right = self.t.ranges[node, 2], self.t.ranges[node, 3]
-            nearer = self.away[q, v] <= (self.t.high[left, v] + self.t.low[right, v]) / 2
-            node, depth = np.where(inner, np.where(nearer, left, right), node), depth + 1
-        return node
-
-    def _leaf(self, gaps: np.ndarray, q: np.ndarray, at: np.ndarray, node: np.ndarray) -> None:
-        """Mean square, over all vantage points, of the differences between distances: at most the square of the distance."""
-        for leaf in np.unique(node):
-            some, (a, b) = at[node == leaf], self.t.ranges[leaf, :2]
-            x, y = self.away[q[some]], self.t.kept[a:b]
-            gaps[some, a:b] = np.where(np.isnan(gaps[some, a:b]), np.nan, ((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T) / x.shape[1])
-
-    def _visit(self, gaps: np.ndarray, q: np.ndarray, at: np.ndarray, node: int) -> None:
-        """Leave out nodes whose limits are too far by the same measure."""
-        low, high = self.t.low[node], self.t.high[node]
-        beyond = np.maximum(0, np.maximum(low - self.away[q[at]], self.away[q[at]] - high))
-        at = at[(beyond**2).mean(1) <= self._reach(q[at])]
-        if len(at):
-            if self.t.ranges[node, 2] < 0:
-                self._leaf(gaps, q, at, np.full(len(at), node))
-            else:
-                self._visit(gaps, q, at, int(self.t.ranges[node, 2]))
-                self._visit(gaps, q, at, int(self.t.ranges[node, 3]))
-
-    def _take(self, gaps: np.ndarray, q: np.ndarray) -> None:
-        """Score the FIRST likeliest vectors of each query."""
-        n = min(FIRST, gaps.shape[1])
-        bound = np.partition(np.where(np.isnan(gaps), np.inf, gaps), n - 1, axis=1)[:, n - 1]
-        self._offer(gaps, q, (gaps <= bound[:, None]) & np.isfinite(gaps))
-
-    def _offer(self, gaps: np.ndarray, q: np.ndarray, which: np.ndarray) -> None:
-        """Score the pairs marked in `which`; NaN marks them as done."""
-        at, rows = np.nonzero(which)
-        gaps[at, rows] = np.nan
-        for c in range(0, len(at), AT_ONCE // 4):
-            self._score(q[at[c : c + AT_ONCE // 4]], rows[c : c + AT_ONCE // 4])
+        """The likeliest leaf first; then every leaf for the queries that it isn't too far from."""
+        gaps = self.t.gaps(self.unit[q])
+        own = gaps.argmin(1)
+        for leaf in np.unique(own):
+            self._leaf(q[own == leaf], leaf)
+        for leaf in range(gaps.shape[1]):
+            last = self.best[q, -1]
+            far = np.where(np.isfinite(last), np.sqrt(np.maximum(0, 2 - 2 * np.minimum(last, 1))), np.inf)
+            self._leaf(q[(own != leaf) & (gaps[:, leaf] <= self.factor * far + ROUNDING)], leaf)
+
+    def _leaf(self, q: np.ndarray, leaf: int) -> None:
+        """Scores of all pairs by one product; those that could be among the best, up to rounding, are computed again in a fixed order."""
+        a, b = self.t.starts[leaf], self.t.starts[leaf + 1]
+        if not len(q) or a == b:
+            return
+        self.scored += len(q) * int(b - a)
+        s = self.unit[q] @ self.t.unit[a:b].T
+        s[self.query_ids[q][:, None] == self.t.ids[None, a:b]] = -np.inf
+        least = self.best[q, -1]
+        if b - a > self.k:
+            least = np.maximum(least, np.partition(s, b - a - self.k, axis=1)[:, b - a - self.k])
+        i, j = np.nonzero((s >= least[:, None] - ROUNDING) & np.isfinite(s))
+        for c in range(0, len(i), step := max(1, AT_ONCE // self.queries.shape[1])):
+            self._score(q[i[c : c + step]], a + j[c : c + step])
 
     def _score(self, q: np.ndarray, rows: np.ndarray) -> None:
         """Score pairs (q ascending) and keep each query's k best, equal scores by id."""
-        self.scored += len(q)
-        other = self.t.ids[rows] != self.query_ids[q]
-        q, rows = q[other], rows[other]
-        score = np.empty(len(q))
-        for c in range(0, len(q), step := max(1, AT_ONCE // self.queries.shape[1])):
-            i, j = q[c : c + step], rows[c : c + step]
-            score[c : c + step] = dots(self.queries[i], self.t.vectors[j]) / (self.query_norms[i] * self.norms[j])
+        score = dots(self.queries[q], self.t.vectors[rows]) / (self.query_norms[q] * self.norms[rows])
         on = score >= self.best[q, -1]
         q, rows, score = q[on], rows[on], score[on]
         who = np.unique(q)
@@ -189,8 +198,6 @@ class Search:
         top = place < self.k
         q, rows, score, place = q[top], rows[top], score[top], place[top]
         self.best[q, place], self.at[q, place] = score, rows
-        last = self.best[who, -1]
-        self.far[who] = np.where(np.isfinite(last), np.sqrt(np.maximum(0, 2 - 2 * np.minimum(last, 1))), np.inf)
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, candidate ids and scores."""
@@ -206,7 +213,7 @@ def usable(vector: Column) -> Column:
 def nearest(vectors: DataFrame, query: Column, k: int = 5, factor: float | None = None, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. query: a predicate on vectors that marks the query rows, by the columns key and vector.
 
-    factor: one is exact; without it, FACTOR over the root of the vectors' length, one at most.
+    factor: one is exact; without it, each tree's own.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -222,7 +229,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, factor: float | None
 
     def tree(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/shard-{name[0]}-{name[1]}.npz"
-        put_bytes(path, Tree(*arrays(part)).to_bytes())
+        put_bytes(path, Tree(*arrays(part), k).to_bytes())
         give_back()
         return pd.DataFrame({"dim": [name[0]], "path": [path]})
 

@@ -46,39 +46,56 @@ def test_recall_of_a_relaxed_search(spark, data):
     assert np.mean([len(set(got[q]) & set(w)) / 5 for q, w in want.items()]) >= 0.95
 
 
-@pytest.mark.parametrize("clustered", [False, True])
-def test_pruning_and_recall(clustered):
-    """At the default factor a third of the pairs is scored at most, and nine of ten neighbours are found; in separate clusters, whole nodes go."""
+def shapes(n=9000, d=64):
+    """Vectors that trees can tell apart, and vectors that they can't."""
     rng = np.random.default_rng(7)
-    centres = rng.normal(size=(40, 64)) * 3
-    x = rng.normal(size=(9000, 64)) + (centres[rng.integers(0, 40, 9000)] if clustered else 0)
-    ids, q = np.arange(9000), np.arange(0, 9000, 50)
+    x, centres = rng.normal(size=(n, d)), rng.normal(size=(40, d)) * 3
+    return {
+        "alike in all directions": (x, None),
+        "far from the origin": (x + 2, None),
+        "falling spectrum": (x * np.arange(1, d + 1) ** -0.5, 0.5),
+        "steep spectrum": (x / np.arange(1, d + 1), 0.5),
+        "few dimensions": (rng.normal(size=(n, 8)) @ rng.normal(size=(8, d)) + 0.01 * x, 0.5),
+        "few dimensions, far away": (rng.normal(size=(n, 4)) @ rng.normal(size=(4, d)) + 1, 0.5),
+        "clusters": (centres[rng.integers(0, 40, n)] + x, 0.2),
+        "tight clusters": (centres[rng.integers(0, 40, n)] + 0.3 * x, 0.2),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(shapes(60)))
+def test_pruning_and_recall(kind):
+    """A tree's own factor keeps the neighbours and leaves out most pairs where the vectors allow that; else it is one. Factor one is exact."""
+    x, most = shapes()[kind]
+    n = len(x)
+    ids, q = np.arange(n), np.arange(0, n, 50)
     tree = vptree.Tree(ids, x)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = unit[q] @ unit.T
     s[np.arange(len(q)), q] = -9
     want = np.argsort(-s, axis=1)[:, :5]
-    for factor, least, most in ((None, 0.95, 0.35), (1.0, 1.0, 1.1)):
+    assert (tree.factor == 1.0) == (most is None)
+    for factor, least in ((None, 0.95), (1.0, 1.0)):
         search = vptree.Search(vptree.Tree.from_bytes(tree.to_bytes()), ids[q], x[q], 5, factor)
         found = {}
         for a, b, _ in zip(*search.found(), strict=True):
             found.setdefault(a, set()).add(b)
         assert np.mean([len(found[a] & set(w)) / 5 for a, w in zip(ids[q], want)]) >= least
-        assert search.scored <= most * len(q) * len(ids)
+        if factor is None:
+            assert search.scored + search.bounds <= (most or 1.01) * len(q) * n
 
 
 def test_bounds_leave_out_nothing_at_factor_one():
-    """What the tree measures by is never more than the distance."""
+    """No leaf is farther by its gap than any of its vectors is."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(600, 6))
+    x = rng.normal(size=(3000, 6))
     x[100:130] = x[5] * np.linspace(1, 2, 30)[:, None]
-    tree = vptree.Tree(np.arange(600), x)
-    search = vptree.Search(tree, np.arange(600), x, 3, 1.0)
-    u = tree.vectors / np.linalg.norm(tree.vectors, axis=1, keepdims=True)
-    q = x / np.linalg.norm(x, axis=1, keepdims=True)
-    real = vptree.distances(q, u)
-    gap = np.sqrt(((search.away[:, None] - tree.kept[None]) ** 2).mean(2))
-    assert (gap <= real + 1e-3).all()
+    x[200:900] = x[7]
+    tree = vptree.Tree(np.arange(3000), x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    real, gaps = np.linalg.norm(unit[:200, None] - tree.unit[None], axis=2), tree.gaps(unit[:200])
+    for leaf, (a, b) in enumerate(zip(tree.starts, tree.starts[1:])):
+        assert (gaps[:, leaf] <= real[:, a:b].min(1) + 1e-6).all()
+    assert sorted(tree.ids) == list(range(3000)) and gaps.max() > 0.3
 
 
 def test_scores_and_edges(spark):
