@@ -6,7 +6,8 @@ letters, which carry over to inflected forms that training never saw. The score
     bias + sum of w_i + 1/2 sum over f of ((sum of v_if)^2 - sum of v_if^2)
 
 so that pairs of terms count that an additive model misses. Trained in numpy by AdaGrad on a bounded sample of labelled rows: first the
-terms that tell the label by themselves, then all terms of the sample on what those leave unexplained, so that every term that the sample
+terms that tell the label by themselves or in pairs - pairs whose documents' labels differ from chance by more than either term's and more
+than the best of as many random pairs would - then all terms of the sample on what those leave unexplained, so that every term that the sample
 holds has a weight and factors.
 
 Null and empty texts have no terms: their score is the logistic of the bias. Labels that are null or of unknown documents are no
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from spectramesh.llm.common import bounded_sample, chunks, give_back, materialize, ship
 from spectramesh.llm.langid import held_out
 
-#: The sample's bounds: labelled documents whose terms training reads, and terms that training begins with.
-SAMPLE_ROWS, TERMS = 12_000, 1 << 14
-HASH, FACTORS, STEPS = 1 << 20, 4, 80_000
-#: The phase of all terms: a document of more terms shares its step, and one with a smaller gradient is explained already.
-SHARED, LEFT = 2, 0.1
+#: The sample's bounds: labelled documents whose terms training reads, terms that training begins with, and most frequent terms whose pairs are looked at.
+SAMPLE_ROWS, TERMS, PAIR_TERMS = 12_000, 1 << 14, 2048
+HASH, FACTORS, STEPS = 1 << 20, 4, 40_000
+#: The phase of all terms: its rounds; a document of more terms shares its step, and one with a smaller gradient is explained already.
+LATE, SHARED, LEFT = 6, 2, 0.1
 MEMO_WORDS = 200_000
 words = re.compile(r"[^\W\d_]+").findall
 
@@ -124,7 +125,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int | None = None,
         early = np.isin(ids, first)
         phases = [([at[early[at]] for at in rows], False), (rows, True)]
     for now, shared in phases:
-        for _ in range(epochs or max(6, -(-STEPS // len(now)))):
+        for _ in range(epochs or (LATE if shared else max(6, -(-STEPS // len(now))))):
             for i in rng.permutation(len(now)):
                 at, y = now[i], labels[i]
                 vi = v[at]
@@ -164,6 +165,44 @@ def telling(rows: DataFrame) -> DataFrame:
     return ranked.where(F.col("g") >= math.log(max(2, ranked.count()))).orderBy(F.desc("g"), "h").limit(TERMS).select("h")
 
 
+def deviance(n: np.ndarray, k: np.ndarray, total: float, hits: float) -> np.ndarray:
+    """How much less likely the labels are if documents with a term (n of them, k labelled) are like all others: a logarithm of a likelihood ratio."""
+    n, k, p = n.astype(float), k.astype(float), hits / max(1.0, total)
+
+    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    return part(k, n * p) + part(n - k, n * (1 - p)) + part(hits - k, (total - n) * p) + part(total - n - hits + k, (total - n) * (1 - p))
+
+
+def paired(docs: list[np.ndarray], labels: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
+    """Terms of the pairs that tell the label beyond either of their terms, among the `most` most frequent terms of the sample."""
+    labels = np.asarray(labels)
+    if not len(docs) or labels.min() == labels.max():
+        return np.zeros(0, np.int64)
+    ids, n = np.unique(np.concatenate(docs), return_counts=True)
+    keep = np.sort(ids[np.lexsort((ids, -n))[:most]])
+    both, hits = (np.zeros((len(keep), len(keep)), np.float32) for _ in range(2))
+    for c in range(0, len(docs), 1000):
+        some = docs[c : c + 1000]
+        at = np.searchsorted(keep, every := np.concatenate(some))
+        row, known = np.repeat(np.arange(len(some)), [len(d) for d in some]), keep[np.minimum(at, len(keep) - 1)] == every
+        x = np.zeros((len(some), len(keep)), np.float32)
+        x[row[known], at[known]] = 1
+        both += x.T @ x
+        x = x[labels[c : c + 1000] > 0]
+        hits += x.T @ x
+    total, positive = float(len(docs)), float((labels > 0).sum())
+    alone = deviance(both.diagonal(), hits.diagonal(), total, positive)
+    limit, found = np.log(max(2.0, len(keep) * (len(keep) - 1) / 2)), []
+    for i in range(len(keep) - 1):
+        ratio = deviance(both[i, i + 1 :], hits[i, i + 1 :], total, positive)
+        j = np.flatnonzero(ratio >= limit + np.maximum(alone[i], alone[i + 1 :])) + i + 1
+        if len(j):
+            found += [i, *j.tolist()]
+    return keep[np.unique(np.array(found, np.int64))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Train on a bounded sample of the labelled rows whose crc32(key) mod 5 isn't 0.
 
@@ -188,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # Documents are views of one array of four bytes a term.
     lists = sample.column("ids").chunk(0) if sample.num_rows else pa.array([], pa.list_(pa.int32()))
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    model = train([values[ends[i] : ends[i + 1]] for i in order], sample.column("y").to_numpy()[order], first=first)
+    rows, y = [values[ends[i] : ends[i + 1]] for i in order], sample.column("y").to_numpy()[order]
+    model = train(rows, y, first=np.union1d(first, paired(rows, y)))
     del sample, lists, values
     give_back()
     return model

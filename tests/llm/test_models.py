@@ -81,17 +81,27 @@ def test_interaction_beyond_additive_weights():
     assert right > 0.9
 
 
-def test_interaction_through_fit(spark):
-    """Terms that tell the label in pairs only have weights and factors too."""
+@pytest.mark.parametrize("fillers, of", [(20, 800), (8, 800), (8, 100)])
+def test_interaction_through_fit(spark, fillers, of):
+    """Terms that tell the label in pairs only, among many that tell nothing."""
     rng = np.random.default_rng(1)
     docs, labels = [], []
-    for i in range(2000):
+    for i in range(3000):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        docs.append((i, " ".join([*(f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.integers(10, 40, 4).tolist()), "xa" if a else "xb", "ya" if b else "yb"]), "en", 0.0, ""))
+        docs.append((i, " ".join([*(f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.choice(of, fillers, False).tolist()), "xa" if a else "xb", "ya" if b else "yb"]), "en", 0.0, ""))
         labels.append((i, 1, int(a != b)))
     got = toxicity.score_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).where("held_out").collect()
     truth = {i: y for i, _, y in labels}
-    assert len(got) > 300 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.9
+    assert len(got) > 500 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.9
+
+
+def test_pairs_are_not_found_in_noise():
+    rng = np.random.default_rng(3)
+    docs = [np.unique(rng.integers(0, 300, 30)) for _ in range(2000)]
+    y = rng.integers(0, 2, 2000)
+    assert len(toxicity.paired(docs, y)) == 0 and len(toxicity.paired(docs, np.zeros(2000))) == 0 and len(toxicity.paired([], np.zeros(0))) == 0
+    docs = [np.union1d(d, [1000 + t, 2000 + u]) for d, t, u in zip(docs, y, rng.integers(0, 2, 2000))]
+    assert not set(toxicity.paired(docs, y)) - {1000, 1001}  # what tells alone needs no pair
 
 
 def test_toxicity_held_out(spark):
