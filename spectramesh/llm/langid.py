@@ -31,6 +31,8 @@ from spectramesh.llm.common import bounded_sample, crc_mod, give_back, ship
 #: The sample's bound: labelled documents that training reads, and the bytes that it reads of each (evenly spaced stretches).
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 2000
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
+#: Standard deviations by which a short text may lie below the threshold, and the characters of the short pieces that the temperature is set by.
+SLACK, SHORT = 1.0, 40
 UND = "und"
 _keep = np.zeros(256, bool)
 _keep[ord("a") : ord("z") + 1] = True
@@ -75,7 +77,8 @@ def _parts(data: np.ndarray, most: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """langs: learned values, sorted; table: bucket x language; bias; temperature; familiar: log frequency by bucket; threshold of familiarity."""
+    """langs: learned values, sorted; table: bucket x language; bias; temperature; familiar: log frequency by bucket; threshold of familiarity for long
+    texts, and how far single subwords spread around it: a mean over n of them is allowed to lie SLACK * spread / sqrt(n) lower."""
 
     langs: list[str] = field(default_factory=list)
     table: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
@@ -83,13 +86,14 @@ class LanguageModel:
     temperature: float = 1.0
     familiar: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
     threshold: float = -np.inf
+    spread: float = 0.0
 
     def logits(self, texts: list[str], most: int = 1 << 18) -> np.ndarray:
         """Mean of the subwords' rows, plus bias; about `most` bytes are worked on at once, however long a text is."""
         return self.measure(texts, most)[0]
 
-    def measure(self, texts: list[str], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-        """Logits and familiarity of each text (0 without subwords)."""
+    def measure(self, texts: list[str], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits and familiarity of each text (0 without subwords), and its number of subwords."""
         sums, known, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), np.zeros(len(texts))
         held: list[tuple[int, np.ndarray]] = []
 
@@ -115,7 +119,7 @@ class LanguageModel:
                 size += len(part) + 1
         if held:
             add()
-        return sums / np.maximum(counts, 1)[:, None] + self.bias, known / np.maximum(counts, 1)
+        return sums / np.maximum(counts, 1)[:, None] + self.bias, known / np.maximum(counts, 1), counts
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, rejected of each text."""
@@ -123,11 +127,11 @@ class LanguageModel:
         empty = np.array([not _letter(t) for t in some])
         if not self.langs:
             return pd.DataFrame({"lang_pred": UND, "score": 0.0, "rejected": empty}, index=range(len(some)))
-        z, known = self.measure(some)
+        z, known, counts = self.measure(some)
         p = softmax(z / self.temperature) if some else np.zeros((0, len(self.langs)))
         best = p.argmax(1) if len(p) else np.zeros(0, int)
         top = np.where(empty, 0.0, p.max(1) if len(p) else 0.0)
-        return pd.DataFrame({"lang_pred": np.where(empty, UND, np.array(self.langs, object)[best]), "score": np.clip(top, 0, 1), "rejected": empty | (known < self.threshold)})
+        return pd.DataFrame({"lang_pred": np.where(empty, UND, np.array(self.langs, object)[best]), "score": np.clip(top, 0, 1), "rejected": empty | (known < self.threshold - SLACK * self.spread / np.sqrt(np.maximum(counts, 1)))})
 
 
 _blank = np.array([32], np.uint8)
@@ -159,8 +163,8 @@ def shuffled(text: str, rng: np.random.Generator) -> str:
     return " ".join(line[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
-def familiarity(texts: list[str], reject_share: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Log frequency of each bucket in the texts, and the threshold below which a text is rejected.
+def familiarity(texts: list[str], reject_share: float, rng: np.random.Generator) -> tuple[np.ndarray, float, float]:
+    """Log frequency of each bucket in the texts, the threshold below which a long text is rejected, and the standard deviation of single subwords.
 
     Of fewer texts than it takes to hold one beyond the quantile, the least familiar one counts. Where shuffled texts are not below
     that, nothing can be told by familiarity and nothing is rejected for it.
@@ -179,10 +183,30 @@ def familiarity(texts: list[str], reject_share: float, rng: np.random.Generator)
     mixed = (subwords(_lower(shuffled(stretches(t)[0], rng)))[0] for t in texts)
     noise = [float(table[b].mean()) for b in mixed if len(b)]
     if not clean or not noise:
-        return table, -np.inf
+        return table, -np.inf, 0.0
     low = float(np.quantile(clean, reject_share)) if len(clean) * reject_share >= 1 else min(clean)
     middle = float(np.median(noise))
-    return table, (low + middle) / 2 if middle < low else -np.inf
+    share = counts / max(1, counts.sum())
+    spread = float(np.sqrt(max(0.0, (share * table**2).sum() - (share * table).sum() ** 2)))
+    return table, (low + middle) / 2 if middle < low else -np.inf, spread
+
+
+def temperature(model: LanguageModel, held: list[tuple[str, str]], rng: np.random.Generator) -> float:
+    """The temperature of least mean loss over held-out texts, a short piece of each, and a short piece with shuffled letters, which is of no language.
+
+    Texts alone would be told so surely that ever lower temperatures seem better.
+    """
+    y = np.array([model.langs.index(v) for _, v in held])
+    begin = [int(rng.integers(0, max(1, len(t) - SHORT))) for t, _ in held]
+    pieces = [t[a : a + SHORT] for (t, _), a in zip(held, begin, strict=True)]
+    whole, short, noise = (model.logits(x) for x in ([t for t, _ in held], pieces, [shuffled(t, rng) for t in pieces]))
+
+    def loss(t: float) -> float:
+        told = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for z in (whole, short)]
+        return float(sum(told) - np.log(np.maximum(softmax(noise / t), 1e-12)).mean())
+
+    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 81))
+    return float(min(grid, key=loss))
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.5, reject_share: float = 0.0005, seed: int = 1) -> LanguageModel:
@@ -220,11 +244,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.
             e[ids] = rows
     del examples
     model = LanguageModel(langs, (e @ w).astype(np.float32), bias)
-    z, y = model.logits([t for t, _ in held]), np.array([langs.index(v) for _, v in held])
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 61))
-    losses = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(losses))])
-    model.familiar, model.threshold = familiarity([t for t, _ in pairs], reject_share, rng)
+    model.temperature = temperature(model, held, rng)
+    model.familiar, model.threshold, model.spread = familiarity([t for t, _ in pairs], reject_share, rng)
     return model
 
 

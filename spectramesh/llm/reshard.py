@@ -155,7 +155,9 @@ def make_plan(sizes: dict[int, int], large: list[tuple[int, int, int, int]], sha
     supply = np.array([sizes.get(s, 0) for s in range(old)], np.int64)
     every = supply + np.bincount([x[1] for x in large], [x[0] for x in large], old).astype(np.int64)
     ideal = cut(every, level(want.min() - want, total) if total else nothing, cost)
-    starts = {s: [b for b in ideal if b[0] == s] for s in range(old)}
+    starts: dict[int, list] = {}
+    for b in ideal:
+        starts.setdefault(b[0], []).append(b)
     placed, put = np.zeros(shards), []
     heap = [(float(-want[t]), t) for t in range(shards)]
     heapq.heapify(heap)
