@@ -74,9 +74,22 @@ def inverse_soft_assignment(encoded: Col, sigma: Col) -> Column:
     return _c(sigma) * F.sqrt(-2 * F.log(F.greatest(_c(encoded), F.lit(1e-10))))
 
 
-def noised(x: Col, level: float = 1e-10, seed: int | None = None) -> Column:
-    """x, or with a seed x plus Gaussian noise; ties are otherwise broken by id."""
-    return _c(x) if seed is None else _c(x) + F.randn(seed) * level
+def hashed_uniform(seed: int, *key: Col) -> Column:
+    """A number between 0 and 1, both excluded, from the MD5 of seed and key: the same one wherever and whenever it is computed."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(_c(k).cast("string") for k in key)))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+
+
+def hashed_normal(seed: int, *key: Col) -> Column:
+    """A standard normal deviate from seed and key: Box and Muller's transform of two hashed numbers."""
+    return F.sqrt(-2.0 * F.log(hashed_uniform(seed, *key, F.lit("r")))) * F.cos(2 * math.pi * hashed_uniform(seed, *key, F.lit("a")))
+
+
+def noised(x: Col, level: float = 1e-10, seed: int | None = None, key: Col | None = None) -> Column:
+    """x, or with a seed x plus Gaussian noise: by a hash of the key, the same on any partitioning; ties are otherwise broken by id."""
+    if seed is None:
+        return _c(x)
+    return _c(x) + (F.randn(seed) if key is None else hashed_normal(seed, key)) * level
 
 
 # ---- degrees --------------------------------------------------------------------------------------------------------
@@ -201,3 +214,29 @@ def right_of_path(disp: Col, forward: Col, back: Col, normal: Col, tolerance: fl
         return F.when(t < 0, t + 2 * math.pi).otherwise(t)
 
     return (turn(d) > tolerance) & (turn(d) < turn(f))
+
+
+# ---- spherical harmonics --------------------------------------------------------------------------------------------
+
+
+def legendre_column(x: Col, m: int, lmax: int) -> Column:
+    """Normalised associated functions of order m at x = sin(latitude), an array over the degrees m .. lmax: upward recurrence in a fold."""
+    x = _c(x)
+    scale = math.prod(math.sqrt((2 * k + 1) / (2 * k)) for k in range(1, m + 1)) * (math.sqrt(2) if m else 1.0)
+    first = F.pow(F.greatest(F.lit(0.0), 1 - x * x), F.lit(m / 2)) * scale if m else x * 0 + 1.0
+    a = [math.sqrt((2 * l + 1) * (2 * l - 1) / ((l - m) * (l + m))) for l in range(m + 1, lmax + 1)]
+    b = [math.sqrt((2 * l + 1) * (l + m - 1) * (l - m - 1) / ((l - m) * (l + m) * (2 * l - 3))) if l > m + 1 else 0.0 for l in range(m + 1, lmax + 1)]
+    if not a:
+        return F.array(first)
+    steps = F.array(*(F.struct(F.lit(p).alias("a"), F.lit(q).alias("b")) for p, q in zip(a, b, strict=True)))
+
+    def up(s: Column, c: Column) -> Column:
+        now = c["a"] * x * F.element_at(s, -1) - c["b"] * F.coalesce(F.get(s, F.size(s) - 2), F.lit(0.0))
+        return F.concat(s, F.array(now))
+
+    return F.aggregate(steps, F.array(first), up)
+
+
+def harmonic_names(lmax: int) -> list[tuple[int, int, int]]:
+    """(sign, l, m) of the functions in order: sign 0 cosine, 1 sine."""
+    return [(sign, l, m) for l in range(lmax + 1) for m in range(l + 1) for sign in ((0, 1) if m else (0,))]

@@ -95,6 +95,8 @@ def _filtered(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int, k: int, degre
         if np.abs(ax[:, :k] - x[:, :k] * values[:k]).max() < tol * top:
             break
         cut = max(float(values[-1]), 1e-9 * top)
+    else:
+        raise ValueError(f"the {k} lowest eigenpairs of {n} vertices did not converge in {most} rounds")
     return values[:k], x[:, :k]
 
 

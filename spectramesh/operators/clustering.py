@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.functions.columns import euclidean, inverse_soft_assignment, soft_assignment
+from spectramesh.functions.columns import euclidean, hashed_uniform, inverse_soft_assignment, soft_assignment
 
 METHODS = ("nearest", "weighted", "nearest_sample", "sphere_intersection")
 
@@ -85,21 +85,42 @@ def _table(spark, rows: list) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, center array<double>")
 
 
-def lloyd(points: DataFrame, centers: DataFrame, steps: int, vector: str = "x") -> DataFrame:
-    """A fixed number of steps from given centres; repeatable. After each step the few centres come to the driver, which ends the lineage."""
+def lloyd(points: DataFrame, centers: DataFrame, steps: int, vector: str = "x", still: float | None = None) -> DataFrame:
+    """Steps from given centres: as many as told, or fewer if no component of any centre moves by more than `still`. After each step the few centres come to the driver, which ends the lineage."""
+    held = [(r.cluster, list(r.center)) for r in centers.orderBy("cluster").collect()]
     for _ in range(steps):
-        centers = _table(points.sparkSession, [(r.cluster, list(r.center)) for r in lloyd_step(points, centers, vector).orderBy("cluster").collect()])
-    return centers
+        before, held = held, [(r.cluster, list(r.center)) for r in lloyd_step(points, _table(points.sparkSession, held), vector).orderBy("cluster").collect()]
+        if still is not None and max((abs(p - q) for (_, u), (_, v) in zip(before, held, strict=True) for p, q in zip(u, v, strict=True)), default=0.0) <= still:
+            break
+    return _table(points.sparkSession, held)
 
 
-def kmeans(points: DataFrame, k: int, vector: str = "x", seed: int = 42, steps: int = 50) -> DataFrame:
-    """Centres of k-means|| with Lloyd steps: cluster, center."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def seeds(points: DataFrame, k: int, key: str, vector: str = "x", seed: int = 42) -> DataFrame:
+    """Centres to begin with: cluster, center. The first is a random point, each further one a point drawn by its squared distance to the nearest so far.
 
-    ready = points.select(array_to_vector(F.col(vector)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=steps).fit(ready)
-    return _table(points.sparkSession, [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())])
+    A draw is a race: each point's time is exponential with that distance as its rate, from a hash of seed, round and key, and the least time wins. So
+    a round is one sum over the points, and the same points win on any partitioning; equal times go by key. Fewer distinct points give fewer centres.
+    """
+    rows, chosen = points.select(F.col(key).alias("key"), F.col(vector).alias("x")).where(F.col(vector).isNotNull()), []
+    for j in range(k):
+        rate = F.lit(1.0)
+        if chosen:
+            near = F.lit(None).cast("double")
+            for c in chosen:
+                near = F.least(near, F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+            rate = near
+        time = -F.log(hashed_uniform(seed, F.lit(j), "key")) / rate
+        won = rows.where(rate > 0).agg(F.min(F.struct(time.alias("t"), "key", "x")).alias("w")).first().w
+        if won is None:
+            break
+        chosen.append([float(v) for v in won.x])
+    return _table(points.sparkSession, list(enumerate(chosen)))
+
+
+def kmeans(points: DataFrame, k: int, vector: str = "x", seed: int = 42, steps: int = 100, key: str | None = None, still: float = 1e-12) -> DataFrame:
+    """Centres of k-means: cluster, center. Drawn seeds, then Lloyd steps until nothing moves. key: what tells points apart; without it, the vector."""
+    named = points.select(F.col(vector).alias("x"), (F.col(key) if key else F.to_json(F.struct(vector))).alias("key"))
+    return lloyd(named, seeds(named, k, "key", "x", seed), steps, "x", still)
 
 
 def exemplars(points: DataFrame, centers: DataFrame, key: str, vector: str = "x", order: list[int] | None = None) -> DataFrame:
@@ -114,7 +135,7 @@ def exemplars(points: DataFrame, centers: DataFrame, key: str, vector: str = "x"
 # ---- decoding -------------------------------------------------------------------------------------------------------
 
 
-def decode(codes: DataFrame, centers: DataFrame, method: str = "nearest", code: str = "code", out: str = "x", sigma: float | None = None, samples: DataFrame | None = None, sample_key: str = "id") -> DataFrame:
+def decode(codes: DataFrame, centers: DataFrame, method: str = "nearest", code: str = "code", out: str = "x", sigma: float | DataFrame | None = None, samples: DataFrame | None = None, sample_key: str = "id") -> DataFrame:
     """Spectra for codes (arrays with an entry per centre).
 
     nearest: the centre of the largest entry, the first of equals. weighted: centres weighted by entry over the sum plus 1e-8.
@@ -139,14 +160,35 @@ def decode(codes: DataFrame, centers: DataFrame, method: str = "nearest", code:
         raise ValueError("sphere_intersection needs sigma")
     from spectramesh.kernels.embed import intersect_spheres
 
-    return c.withColumn("_d", F.transform(code, lambda e: inverse_soft_assignment(e, F.lit(float(sigma))))).withColumn(out, intersect_spheres(F.col("centers"), F.col("_d"))).drop("centers", "_d")
+    one = sigma.select(F.col("sigma").alias("_sigma")) if isinstance(sigma, DataFrame) else c.sparkSession.createDataFrame([(float(sigma),)], "_sigma double")
+    c = c.crossJoin(F.broadcast(one))
+    return c.withColumn("_d", F.transform(code, lambda e: inverse_soft_assignment(e, F.col("_sigma")))).drop("_sigma").withColumn(out, intersect_spheres(F.col("centers"), F.col("_d"))).drop("centers", "_d")
+
+
+#: Samples that a code is compared with at once.
+SAMPLE_BLOCK = 1024
 
 
-def decode_by_sample(codes: DataFrame, samples: DataFrame, key: str, code: str = "code", out: str = "x") -> DataFrame:
+def decode_by_sample(codes: DataFrame, samples: DataFrame, key: str, code: str = "code", out: str = "x", block: int = SAMPLE_BLOCK) -> DataFrame:
+    """Each code's nearest sample. Samples are packed into blocks, a row each, and a block's nearest is folded where code and block meet; the smallest of those is kept on the way into the shuffle.
+
+    Codes get numbers in a written copy, since rows may be equal; the winner's vector is looked up afterwards.
+    """
+    from spectramesh.sources.tables import written
+
     s = samples.select(F.col(key).alias("_key"), F.col(code).alias("_code"), F.col("x").alias("_x"))
-    own = [c for c in codes.columns if c not in (code,)]
-    pairs = codes.crossJoin(s).withColumn("_d", euclidean(code, "_code"))
-    return pairs.groupBy(*own).agg(F.min(F.struct("_d", "_key")).alias("_b"), F.first(code).alias(code)).join(s.select("_key", "_x"), F.col("_b._key") == F.col("_key")).select(*own, code, F.col("_x").alias(out))
+    parts = max(1, -(-s.count() // block))
+    blocks = s.groupBy(F.pmod(F.xxhash64("_key"), F.lit(parts)).alias("_b")).agg(F.collect_list(F.struct("_key", "_code")).alias("_some")).select("_some")
+    own = written(codes.withColumn("_row", F.monotonically_increasing_id()), "codes")
+
+    def near(best, one):
+        now = F.struct(euclidean(F.col(code), one["_code"]).alias("d"), one["_key"].alias("k"))
+        return F.least(best, now)
+
+    start = F.lit(None).cast(f"struct<d:double,k:{samples.schema[key].dataType.simpleString()}>")
+    pairs = own.select("_row", code).crossJoin(blocks).select("_row", F.aggregate("_some", start, near).alias("_n"))
+    best = pairs.groupBy("_row").agg(F.min("_n").alias("_n")).select("_row", F.col("_n.k").alias("_key"))
+    return own.join(best, "_row").join(s.select("_key", "_x"), "_key").drop("_row", "_key").withColumnRenamed("_x", out)
 
 
 def stack_with_centers(points: DataFrame, centers: DataFrame, vector: str = "x") -> DataFrame:

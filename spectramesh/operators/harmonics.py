@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectramesh.functions.columns import amplitude, degree, degree_weight, heat_kernel
+from spectramesh.operators.quality import NEAR_ROWS, grouped_quantile
 
 
 def modes(basis: DataFrame, mesh: str, *keep: str) -> DataFrame:
@@ -113,9 +114,12 @@ def inner_product(a: DataFrame, b: DataFrame, mesh: str = "mesh_id") -> DataFram
     return left.join(right, [mesh, "mode"]).groupBy(mesh, "channel_a", "channel_b").agg(F.sum(F.col("_a") * F.col("_b") * degree_weight("mode")).alias("inner"))
 
 
-def band_statistics(spectra: DataFrame, value: str = "power") -> DataFrame:
+def band_statistics(spectra: DataFrame, value: str = "power", near_rows: int = NEAR_ROWS) -> DataFrame:
     """channel, l, median, mean, std (population) over all meshes."""
-    return spectra.groupBy("channel", "l").agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    by = ["channel", "l"]
+    sums = spectra.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    middle = grouped_quantile(spectra, by, value, 0.5, near_rows).withColumnRenamed("q", "median")
+    return sums.join(middle, by, "left").select(*by, "median", "mean", "std")
 
 
 def log_spectra(spectra: DataFrame, value: str = "power", offset: float | None = 1e-10) -> DataFrame:

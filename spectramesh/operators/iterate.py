@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from spectramesh.sources.tables import written
 
 
-def dirichlet(laplacian: DataFrame, fixed: DataFrame, tol: float = 1e-12, rounds: int = 2000) -> tuple[DataFrame, DataFrame]:
+def dirichlet(laplacian: DataFrame, fixed: DataFrame, tol: float = 1e-10, rounds: int = 2000, look: int = 5) -> tuple[DataFrame, DataFrame]:
     """Solves sum_j w_ij x_j = 0 at every vertex without a given value: (mesh_id, vid, x; mesh_id, rounds, residual).
 
     laplacian: mesh_id, i, j, w, symmetric and negative semidefinite, diagonal included. fixed: mesh_id, vid, value. Conjugate
     gradients on the rows scaled to a unit diagonal; meshes go on until their residual has shrunk by `tol`. A vertex that isn't joined to any
     fixed one keeps zero. `residual` is the largest one at the end relative to the start, for each mesh; a mesh that
-    needs more than `rounds` rounds keeps a residual above `tol`.
+    needs more than `rounds` rounds keeps a residual above `tol`. Every `look` rounds the driver asks whether any mesh goes on.
     """
     given = fixed.select("mesh_id", "vid", F.col("value").cast("double").alias("value"))
     w = laplacian.where("i <> j").select("mesh_id", "i", "j", (-F.col("w")).alias("w"))
@@ -43,8 +43,8 @@ def dirichlet(laplacian: DataFrame, fixed: DataFrame, tol: float = 1e-12, rounds
 
     state = written(told(start.withColumns({"beta": zero, "alpha": zero})).withColumns({"rr0": F.col("rr"), "turn": F.lit(0), "alpha": F.try_divide(F.col("rr"), F.col("rt")), "going": F.col("rr") > 0}))
     for turn in range(1, rounds + 1):
-        if not state.agg(F.max("going")).first()[0]:
-            break
+        if turn % look == 1 and not state.agg(F.max("going")).first()[0]:
+            break  # rounds in between cost a finished mesh nothing
         # One reduction a round: directions p and their images q follow from r and t with the sums of the round before.
         p, q = F.col("r") + F.col("beta") * F.col("p"), F.col("t") + F.col("beta") * F.col("q")
         moved = state.where("going").select("mesh_id", "vid", "s", (F.col("x") + F.col("alpha") * p).alias("x"), (F.col("r") - F.col("alpha") * q).alias("r"), p.alias("p"), q.alias("q"), "rr0", F.col("rr").alias("_rr"), F.col("alpha").alias("_alpha"))

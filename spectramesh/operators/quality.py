@@ -67,6 +67,47 @@ def exact_quantiles(df: DataFrame, value: str, shares: tuple[float, ...], near_r
     return df.sparkSession.createDataFrame([(found,)], "q array<double>")
 
 
+#: Bins that a bracket is cut into in each round.
+BINS = 1024
+
+
+def grouped_quantile(df: DataFrame, by: list[str], value: str, share: float = 0.5, near_rows: int = NEAR_ROWS) -> DataFrame:
+    """by, q: the exact quantile (linear interpolation) of each group; nulls are left out.
+
+    Groups of up to `near_rows` values are sorted out at once. Otherwise all groups are narrowed down together: a round counts the values in
+    BINS equal parts of each bracket and keeps the part that holds the wanted place, until the brackets hold few values or one alone. Counts
+    are added up before the shuffle, so no task sees a whole group.
+    """
+    from spectramesh.sources.tables import written
+
+    v = F.col(value).cast("double")
+    some = df.where(v.isNotNull()).select(*by, v.alias("_v"))
+    sizes = some.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= near_rows:
+        return some.groupBy(*by).agg(F.percentile("_v", F.lit(share)).alias("q"))
+    at = F.lit(share) * (F.col("_n") - 1)
+    # Two places a group, the second one only where interpolation needs it: the _want-th value (from 0) lies in [_lo, _hi], below which are _below values.
+    places = F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))
+    state = written(sizes.select(*by, at.alias("_at"), places.alias("_want"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside")))
+    while state.where((F.col("_inside") > near_rows) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        width = (F.col("_hi") - F.col("_lo")) / BINS
+        part = F.least(F.lit(BINS - 1), F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width))).cast("int")
+        open_ = state.where((F.col("_inside") > near_rows) & (F.col("_lo") < F.col("_hi")))
+        within = some.join(open_, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        bins = within.groupBy(*by, "_want", F.coalesce(part, F.lit(0)).alias("_part")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        before = Window.partitionBy(*by, "_want").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("_sum", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        hit = bins.join(open_.select(*by, "_want", "_at", "_below"), [*by, "_want"]).where((F.col("_below") + F.col("_sum") <= F.col("_want")) & (F.col("_want") < F.col("_below") + F.col("_sum") + F.col("_c")))
+        moved = hit.select(*by, "_at", "_want", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), (F.col("_below") + F.col("_sum")).alias("_below"), F.col("_c").alias("_inside"))
+        state = written(moved.unionByName(state.where((F.col("_inside") <= near_rows) | (F.col("_lo") >= F.col("_hi")))))
+    rest = some.join(state.where("_lo < _hi"), by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    found = rest.groupBy(*by, "_want", "_at", "_below").agg(F.array_sort(F.collect_list("_v")).alias("_s")).select(*by, "_at", "_want", F.get("_s", (F.col("_want") - F.col("_below")).cast("int")).alias("_x"))
+    found = found.unionByName(state.where("_lo = _hi").select(*by, "_at", "_want", F.col("_lo").alias("_x")))
+    near = F.col("_want") == F.floor("_at")
+    both = found.groupBy(*by, "_at").agg(F.max(F.when(near, F.col("_x"))).alias("_a"), F.max(F.when(~near, F.col("_x"))).alias("_b"))
+    return both.select(*by, (F.col("_a") + (F.col("_at") - F.floor("_at")) * F.coalesce(F.col("_b") - F.col("_a"), F.lit(0.0))).alias("q"))
+
+
 def percentile_cut(df: DataFrame, value: str, q: float = 0.95) -> DataFrame:
     """Rows strictly below the exact q-quantile (linear interpolation) over all rows."""
     cut = exact_quantiles(df, value, (q,)).select(F.get("q", 0).alias("_cut"))

@@ -218,9 +218,13 @@ def cart_sph_roundtrip(spark, d):
     return rounded(p.select("*", x.alias("x"), y.alias("y"), z.alias("z")))
 
 
-@query("SELECT j::INT AS j, round(pow(10, 2 * j / 99.0), 6) AS t FROM range(100) r(j)")
+@query("SELECT p_size AS n, j::INT AS j, round(pow(10, 2 * j / (p_size + 1.0)), 6) AS t FROM (SELECT DISTINCT p_size FROM part WHERE p_size < 20), range(50) r(j) WHERE j < p_size + 2")
 def time_grid(spark, d):
-    return rounded(spark.range(1).select(F.posexplode(C.time_grid()).alias("j", "t")))
+    """A grid of times for each small part size: so many and two more, over two decades."""
+    sizes = sorted(r.p_size for r in read(spark, d, "part").where("p_size < 20").select("p_size").distinct().collect())
+    grids_ = F.array(*(F.struct(F.lit(n).alias("n"), C.time_grid(n + 2).alias("t")) for n in sizes))
+    n = read(spark, d, "part").where("p_size < 20").select(F.col("p_size").alias("n")).distinct()
+    return rounded(n.select("n", F.posexplode(F.filter(grids_, lambda g: g["n"] == F.col("n"))[0]["t"]).alias("j", "t")))
 
 
 @query("SELECT n, round(-0.5772156649015329 + coalesce(list_sum(list_transform(range(1, n), lambda i: 1.0 / i)), 0), 9) AS psi FROM (SELECT DISTINCT p_size AS n FROM part WHERE p_size > 0)")
@@ -248,9 +252,15 @@ def center_scale_10(spark, d):
     return rounded(scaling.center_and_scale(coordinates(spark, d), divisor=10.0))
 
 
-@query("SELECT lat, lon FROM (SELECT 90 - i * 180.0 / 12 AS lat FROM range(12) a(i)), (SELECT j * 360.0 / 24 AS lon FROM range(24) b(j))")
+@query("""WITH g AS (SELECT 90 - i * 180.0 / 12 AS lat, j * 360.0 / 24 AS lon FROM range(12) a(i), range(24) b(j)), p AS (SELECT n_nationkey AS k, 7.0 * n_nationkey - 80 AS la, 14.0 * n_nationkey AS lo FROM nation)
+SELECT k, lat, lon, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(radians(la)) + cos(radians(lat)) * cos(radians(la)) * cos(radians(lon - lo)))))), 5) AS away FROM g, p""")
 def lat_lon_grid(spark, d):
-    return geometry.lat_lon_grid(spark, 12, 24)
+    """Angles between a grid's points and a place for each nation."""
+    p = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (7.0 * F.col("n_nationkey") - 80).alias("la"), (14.0 * F.col("n_nationkey")).alias("lo"))
+    g = geometry.lat_lon_grid(spark, 12, 24)
+    rad = lambda c: F.radians(c)
+    cosine = F.sin(rad("lat")) * F.sin(rad("la")) + F.cos(rad("lat")) * F.cos(rad("la")) * F.cos(F.radians(F.col("lon") - F.col("lo")))
+    return rounded(p.crossJoin(F.broadcast(g)).select("k", "lat", "lon", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).alias("away")), 5)
 
 
 # ---- spectra --------------------------------------------------------------------------------------------------------
@@ -461,11 +471,15 @@ def decode_sample(spark, d):
     return rounded(clustering.decode(asked, c, "nearest_sample", samples=e.select("vec_id", "code", "x"), sample_key="vec_id").select("id", "x"))
 
 
-@query()
+@query(f"""WITH {CODES}, r AS (SELECT vec_id, cluster, sigma * sqrt(-2 * ln(greatest(e, 1e-10))) AS d FROM code, sig), f AS (SELECT vec_id, arg_min(d, cluster) AS d FROM r GROUP BY 1)
+SELECT vec_id, cluster, round(r.d ** 2 - f.d ** 2, 5) + 0.0 AS beyond_first FROM r JOIN f USING (vec_id)""")
 def decode_spheres(spark, d):
+    """The found point's squared distance to each centre, less that to the first one: what the equations of the spheres ask for."""
     e, c = _codes(spark, d)
-    sigma = clustering.bandwidth(vectors(spark, d), c).first()["sigma"]
-    return rounded(clustering.decode(e.select("vec_id", "code"), c, "sphere_intersection", sigma=sigma).select("vec_id", "x"))
+    found = clustering.decode(e.select("vec_id", "code"), c, "sphere_intersection", sigma=clustering.bandwidth(vectors(spark, d), c))
+    far = clustering.distance_vector(found.select("vec_id", "x"), c, "x", "d")
+    rows = far.select("vec_id", F.posexplode(F.transform("d", lambda v: v * v - F.get("d", 0) * F.get("d", 0))).alias("_i", "beyond_first"), "clusters")
+    return rounded(rows.select("vec_id", F.get("clusters", F.col("_i")).alias("cluster"), "beyond_first"), 5)
 
 
 @query(f"WITH {CENTERS} SELECT 'data' AS kind, vec_id AS id, round(x[1], 6) + 0.0 AS first FROM emb UNION ALL SELECT 'center', cluster, round(center[1], 6) + 0.0 FROM cen")
@@ -507,9 +521,23 @@ def bof_vocabulary(spark, d):
     return descriptors.fit_vocabulary(basis(spark, d), TIMES, 4)[0]
 
 
-@query()
+def _kmeans_sql(k: int, seed: int = 42, steps: int = 60) -> str:
+    """Drawn seeds one after another, then steps as a recursive table of one row."""
+    draw = lambda j: f"((('0x' || substr(md5('{seed}:{j}:' || vec_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+    sql = f"s0 AS MATERIALIZED (SELECT 0 AS k, x FROM emb ORDER BY -ln({draw(0)}), vec_id LIMIT 1)"
+    for j in range(1, k):
+        sql += f""",
+s{j} AS MATERIALIZED (SELECT {j} AS k, x FROM (SELECT any_value(e.x) AS x, e.vec_id, min(list_distance(e.x, c.x) ** 2) AS r FROM emb e, (SELECT * FROM {" UNION ALL SELECT * FROM ".join(f"s{i}" for i in range(j))}) c GROUP BY e.vec_id) WHERE r > 0 ORDER BY -ln({draw(j)}) / r, vec_id LIMIT 1)"""
+    return f"""WITH RECURSIVE {EMB}, {sql}, l AS (SELECT 0 AS step, list(x ORDER BY k) AS cs FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(k))})
+UNION ALL SELECT step + 1, list(c ORDER BY k) FROM (SELECT step, k, list(v ORDER BY m) AS c FROM (SELECT step, k, m, avg(v) AS v FROM (SELECT step, k, unnest(x) AS v, unnest(range(64)) AS m FROM
+(SELECT step, x, list_position(d, list_min(d)) - 1 AS k FROM (SELECT step, x, list_transform(cs, lambda c: list_distance(c, x)) AS d FROM emb, l WHERE step < {steps}))) GROUP BY ALL) GROUP BY ALL) GROUP BY step)
+SELECT (k - 1)::INT AS cluster, list_transform(cs[k], lambda v: round(v, 6) + 0.0) AS center FROM l, range(1, {k + 1}) r(k) WHERE step = {steps}"""
+
+
+@query(_kmeans_sql(6))
 def kmeans_vocabulary(spark, d):
-    return clustering.kmeans(vectors(spark, d), 6)
+    """Drawn seeds, and Lloyd steps until the centres stand still."""
+    return rounded(clustering.kmeans(vectors(spark, d), 6, key="vec_id"))
 
 
 # ---- neighbours and information -------------------------------------------------------------------------------------
@@ -701,7 +729,7 @@ def align_invariants(spark, d):
 @query()
 def sphere_parameterisation(spark, d):
     v, f = _spheres(spark, d)
-    return sphere.sphere_angles(v, f, outer=2, steps=50)
+    return sphere.sphere_angles(v, f)
 
 
 @query()
