@@ -1,14 +1,17 @@
-"""Low-dimensional embeddings: principal components over any number of rows, layouts of small tables."""
+"""Low-dimensional embeddings: principal components and landmark layouts over any number of rows, neighbour graphs, layouts of small tables."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectramesh.kernels import embed
 from spectramesh.operators.clustering import stack_with_centers
+from spectramesh.operators.information import neighbours
 
 METHODS = ("pca", "tsne", "mds", "umap")
 
@@ -45,9 +48,83 @@ def loadings(model: DataFrame) -> DataFrame:
     return model.select(F.posexplode("loadings").alias("pc", "_l")).select("pc", F.posexplode("_l").alias("dim", "loading"))
 
 
+def landmarks(points: DataFrame, n: int, key: str = "id", vector: str = "x") -> list[tuple[object, list[float]]]:
+    """(key, vector) of n points far from each other: the one of the smallest key, then again and again the point farthest from those so far, the smallest key of equals.
+
+    A round is one sum over the points. Fewer distinct points give fewer landmarks.
+    """
+    rows, chosen = points.select(F.col(key).alias("k"), F.col(vector).alias("x")).where(F.col(vector).isNotNull()), []
+    for _ in range(n):
+        if not chosen:
+            won = rows.agg(F.min(F.struct("k", "x")).alias("w")).select("w.k", "w.x", F.lit(1.0).alias("d")).first()
+        else:
+            near = F.lit(float("inf"))
+            for _, c in chosen:
+                near = F.least(near, squared(F.col("x"), F.array(*map(F.lit, c))))
+            won = rows.agg(F.min(F.struct((-near).alias("d"), "k", "x")).alias("w")).select("w.k", "w.x", (-F.col("w.d")).alias("d")).first()
+        if won.x is None or not won.d > 0:
+            break
+        chosen.append((won.k, [float(v) for v in won.x]))
+    return chosen
+
+
+def squared(a: Column, b: Column) -> Column:
+    """The squared distance of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+
+
+def landmark_layout(points: DataFrame, components: int = 2, n: int = 64, key: str = "id", vector: str = "x", out: str = "y") -> DataFrame:
+    """Adds a layout of any number of rows: the landmarks are laid out by classical scaling, and every row is placed by its distances to them.
+
+    The driver holds the landmarks alone. Where the vectors span no more dimensions than there are components, all distances are kept.
+    """
+    from spectramesh.kernels.eigen import fix_signs
+
+    x = np.array([v for _, v in landmarks(points, n, key, vector)], float)
+    if not len(x):
+        return points.withColumn(out, F.lit(None).cast("array<double>"))
+    d2 = embed.squared_distances(x)
+    centre = np.eye(len(x)) - 1 / len(x)
+    values, vectors = np.linalg.eigh(-0.5 * centre @ d2 @ centre)
+    values, vectors = values[::-1][:components], fix_signs(vectors[:, ::-1][:, :components])
+    real = values > 1e-9 * max(float(values[0]), 1e-300)
+    back = np.where(real, vectors / np.sqrt(np.where(real, values, 1.0)), 0.0)
+    back = np.pad(back, ((0, 0), (0, components - back.shape[1])))
+    away = F.array(*(squared(F.col(vector), F.array(*map(F.lit, v))) - F.lit(m) for v, m in zip(x.tolist(), d2.mean(0).tolist(), strict=True)))
+    one = lambda w: F.aggregate(F.zip_with("_away", F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s - 0.5 * v)
+    return points.withColumn("_away", away).withColumn(out, F.array(*(one(back[:, c].tolist()) for c in range(components)))).drop("_away")
+
+
+def fuzzy_graph(points: DataFrame, k: int = 15, key: str = "id", vector: str = "x", group: str | None = None, halvings: int = 64) -> DataFrame:
+    """i, j, w: the neighbour graph that a UMAP layout starts from, each pair once (i < j), of each group by itself.
+
+    A point's k nearest get memberships exp(-(d - rho) / sigma): rho is its nearest positive distance, and sigma, found by halving within a
+    fold over the point's own list, makes them add up to log2(k). The two directions a, b of a pair join to a + b - a b.
+    """
+    rows = points.select((F.col(group) if group else F.lit(0)).alias("part_of"), F.col(key).alias("point"), F.col(vector).alias("at"))
+    near = neighbours(rows, "part_of", "point", "at", k, "euclidean").groupBy("part_of", "i").agg(F.array_sort(F.collect_list(F.struct("rank", "j", "d"))).alias("s"))
+    near = near.withColumn("rho", F.coalesce(F.array_min(F.filter(F.transform("s", lambda e: e["d"]), lambda d: d > 0)), F.lit(0.0)))
+    near = near.withColumn("e", F.transform("s", lambda e: F.greatest(F.lit(0.0), e["d"] - F.col("rho"))))
+
+    def halve(b: Column, _: Column) -> Column:
+        total = F.aggregate("e", F.lit(0.0), lambda s, v: s + F.when(v > 0, F.exp(-v / b["mid"])).otherwise(1.0))
+        wide = total > math.log2(k)
+        low, high = F.when(wide, b["low"]).otherwise(b["mid"]), F.when(wide, b["mid"]).otherwise(b["high"])
+        return F.struct(low.alias("low"), high.alias("high"), F.when(high.isNull(), low * 2).otherwise((low + high) / 2).alias("mid"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("mid"))
+    near = near.withColumn("sigma", F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve)["mid"])
+    told = near.select("i", "sigma", F.inline(F.zip_with("s", "e", lambda s, e: F.struct(s["j"].alias("j"), e.alias("e")))))
+    told = told.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("e") > 0, F.exp(-F.col("e") / F.col("sigma"))).otherwise(1.0).alias("w"))
+    both = told.groupBy("a", "b").agg(F.sum("w").alias("s"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.count("*").alias("n"))
+    return both.select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("s") - F.when(F.col("n") == 2, F.col("lo") * F.col("hi")).otherwise(0.0)).alias("w"))
+
+
 def layout(rows: DataFrame, method: str, components: int = 2, seed: int = 42, perplexity: float = 30.0) -> DataFrame:
-    """kind, id, x, y of a small table kind, id, x: t-SNE, MDS or UMAP over all of it, in one task. Over `embed.MOST` rows raise an error."""
+    """kind, id, x, y of a small table kind, id, x: t-SNE, MDS or UMAP over all of it, in one task. Over `embed.MOST` rows, MDS goes by landmarks; the others raise an error."""
     if rows.limit(embed.MOST + 1).count() > embed.MOST:
+        if method == "mds":
+            return landmark_layout(rows.select("kind", "id", "x"), components)
         raise ValueError(f"{method} lays out {embed.MOST} rows at most, since it holds all distances")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:

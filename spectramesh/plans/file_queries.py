@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectramesh.operators import clustering, quality, scaling
+from spectramesh.operators import clustering, geometry, harmonics, scaling
 from spectramesh.plans import pipelines
-from spectramesh.plans.queries import CENTERS, DIST, GRID, TIMES, centers, grids, query, read, rounded, vectors
+from spectramesh.plans.queries import CENTERS, DIST, GRID, MASS, TIMES, centers, grids, query, read, rounded, vectors
 from spectramesh.session import new_path
 from spectramesh.sources import meshes, stores, tables
 from spectramesh.streaming import ingest
@@ -129,16 +129,55 @@ def layout_csv_round_trip(spark, d):
     return rounded(spark.read.schema("vec_id bigint, x double, y double").option("header", True).csv(path))
 
 
-@query("SELECT n_nationkey::VARCHAR AS mesh_id, channel, 4 AS modes FROM nation, (VALUES ('x'), ('y'), ('z'), ('height'), ('id')) c(channel) WHERE n_nationkey < 3 UNION ALL SELECT 'broken', 'error', 0")
-def decompose_files(spark, d):
-    """The whole job over files, one of them damaged: four coefficients of each coordinate and field, and a row of status for the damaged one."""
-    path, (v, f) = new_path(spark, "job"), (t.where("mesh_id in ('0', '1', '2')") for t in grids(spark, d))
+def job_files(spark, d) -> str:
+    """A folder with the grids as .vtp files with two fields, and a damaged file."""
+    path, (v, f) = new_path(spark, "job"), grids(spark, d)
     fields = v.select("mesh_id", "vid", F.lit("height").alias("field"), F.col("z").alias("value")).unionByName(v.select("mesh_id", "vid", F.lit("id").alias("field"), F.col("vid").cast("double").alias("value")))
     meshes.write_files(v, f, path, "vtp", fields).write.format("noop").mode("overwrite").save()
     meshes.put(f"{path}/broken.vtp", b"<VTKFile><PolyData>")
-    found = pipelines.decompose(spark, path, lmax=2)
-    good = found["coefficients"].groupBy("mesh_id", "channel").agg(F.count("*").cast("int").alias("modes"))
-    return good.unionByName(found["status"].select("mesh_id", F.col("status").alias("channel"), F.lit(0).alias("modes")))
+    return path
+
+
+@query(f"""WITH {MASS}, m AS (SELECT mesh_id, vid, sum(m) AS m FROM share GROUP BY ALL), t AS (SELECT mesh_id, sum(m) AS total FROM m GROUP BY 1), c AS (SELECT mesh_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM vert GROUP BY 1),
+s AS (SELECT mesh_id, sum(m * z) AS h, sum(m * vid) AS i, sum(m * (x - cx)) AS x, sum(m * (y - cy)) AS y, sum(m * (z - cz)) AS zz FROM m JOIN vert USING (mesh_id, vid) JOIN (SELECT mesh_id, x AS cx, y AS cy, z AS cz FROM c) USING (mesh_id) GROUP BY 1)
+SELECT mesh_id, 9 AS modes, round(total / 100, 6) AS area, round(abs(h) / sqrt(total) / 10, 5) AS height, round(abs(i) / sqrt(total) / 10, 4) AS id, round(sqrt(x * x + y * y + zz * zz) / sqrt(total) / 100, 6) AS middle, 0.0::DOUBLE AS unsolved, 0.0::DOUBLE AS skew FROM s JOIN t USING (mesh_id)
+UNION ALL SELECT 'broken', 0, NULL, NULL, NULL, NULL, NULL, NULL""")
+def decompose_files(spark, d):
+    """The whole job over files, one of them damaged; its bundle saved and read back, and checked by what it must hold.
+
+    The first mode is constant, so the first coefficients are known: of both fields, and of the coordinates together. unsolved: how far any
+    mode misses L phi = -lambda M phi, with the Laplacian and the masses of the joined tables; skew: how far any two miss being orthonormal.
+    """
+    out, found = new_path(spark, "bundle"), pipelines.decompose(spark, job_files(spark, d), lmax=3)
+    tables.save_bundle(out, **{k: found[k] for k in ("basis", "coefficients", "vertices", "faces", "status")})
+    got = tables.load_bundle(spark, out, "basis", "coefficients", "vertices", "faces", "status")
+    c = got["coefficients"]
+    first = c.where("mode = 0").groupBy("mesh_id").agg(F.max(F.when(F.col("channel") == "height", F.abs("c"))).alias("height"), F.max(F.when(F.col("channel") == "id", F.abs("c"))).alias("id"), F.sqrt(F.sum(F.when(F.col("channel").isin("x", "y", "z"), F.col("c") * F.col("c")))).alias("middle"))
+    modes = harmonics.modes(got["basis"], "mesh_id", "mass").select("mesh_id", "vid", "mode", "p", "mass")
+    lam = got["basis"].groupBy("mesh_id").agg(F.first("lambdas").alias("l"), F.sum("mass").alias("area"), F.first(F.size("phi")).alias("modes"))
+    applied = geometry.cot_laplacian(got["vertices"].drop("rotation"), got["faces"]).join(modes.select("mesh_id", F.col("vid").alias("j"), "mode", "p"), ["mesh_id", "j"]).groupBy("mesh_id", F.col("i").alias("vid"), "mode").agg(F.sum(F.col("w") * F.col("p")).alias("lp"))
+    miss = applied.join(modes, ["mesh_id", "vid", "mode"]).join(lam, "mesh_id").groupBy("mesh_id").agg(F.max(F.abs(F.col("lp") + F.get("l", F.col("mode")) * F.col("mass") * F.col("p"))).alias("unsolved"))
+    pair = modes.alias("p").join(modes.alias("q"), ["mesh_id", "vid"]).groupBy("mesh_id", F.col("p.mode").alias("i"), F.col("q.mode").alias("j")).agg(F.sum(F.col("p.p") * F.col("q.p") * F.col("p.mass")).alias("s"))
+    skew = pair.groupBy("mesh_id").agg(F.max(F.abs(F.col("s") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))).alias("skew"))
+    good = first.join(lam.drop("l"), "mesh_id").join(miss, "mesh_id").join(skew, "mesh_id")
+    place = {"area": 6, "height": 5, "id": 4, "middle": 6, "unsolved": 5, "skew": 5}
+    good = good.select("mesh_id", "modes", *((F.round(k, n) + F.lit(0.0)).alias(k) for k, n in place.items()))
+    bad = got["status"].select("mesh_id", F.lit(0).alias("modes"), *(F.lit(None).cast("double").alias(k) for k in place))
+    return good.unionByName(bad)
+
+
+@query("SELECT 'read' AS stage, count(*) AS rows, 1::BIGINT AS failed, true AS timed FROM nation UNION ALL SELECT 'align', count(*) * 64, 0, true FROM nation UNION ALL SELECT 'eigenbasis', count(*) * 64, 0, true FROM nation")
+def job_stages(spark, d):
+    """Rows, failures and times of the job's stages, as they were counted on the way."""
+    stages = pipelines.Stages()
+    pipelines.decompose(spark, job_files(spark, d), lmax=2, stages=stages)
+    return stages.table(spark).select("stage", "rows", "failed", (F.col("seconds") > 0).alias("timed"))
+
+
+@query("SELECT user_id, event_type, min(ts)::TIMESTAMP AS first FROM events GROUP BY ALL")
+def stream_first_seen(spark, d):
+    """Items of a stream that haven't been seen before, over two batches of the same files: the second one finds everything done."""
+    return ingest.first_seen_table(spark, read(spark, d, "events"), ["user_id", "event_type"], "ts", new_path(spark, "seen"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectramesh.functions import columns as C
-from spectramesh.operators import clustering, embedding, geometry, iterate, leastsquares, quality, reporting
-from spectramesh.plans.queries import CENTERS, CODES, EDGES, EMB, GRID, HKS, MODES, POLES, TIMES, _spheres, basis, centers, coordinates, grids, query, read, rounded, vectors
-from spectramesh.operators import harmonics
+from spectramesh.operators import clustering, embedding, geometry, harmonics, iterate, leastsquares, quality, reporting, scaling
+from spectramesh.plans.queries import EDGES, EMB, HKS, LMAX, MODES, POLES, TIMES, _spheres, basis, coefficients, coordinates, grids, query, read, rounded, vectors
 
 LAPLACE = (
     POLES
@@ -76,8 +75,6 @@ PRE = MODES + """, band AS (SELECT vec_id AS id, l, sum(c * c) AS power FROM mod
 
 
 def _bands(spark, d):
-    from spectramesh.plans.queries import LMAX, coefficients
-
     return harmonics.band_power(coefficients(spark, d), LMAX, "vec_id").select(F.col("vec_id").alias("id"), (F.col("l") / 4).cast("int").alias("l"), (F.col("l") % 4).alias("t"), "power")
 
 
@@ -95,8 +92,6 @@ flat AS (SELECT id, flatten(list(code ORDER BY l)) AS code FROM wcode GROUP BY i
 
 def _words(spark, d):
     """Codes by given words, so that the way from bands to codes is repeatable in SQL."""
-    from spectramesh.operators import scaling
-
     f = clustering.SpectralFeatures(n_words=3)
     pre = f.preprocess(_bands(spark, d))
     rows = clustering.spectra_vectors(pre.withColumn("il", F.struct("id", "l")), "il", ["t"], "log", "raw").select("il.id", "il.l", "raw")
@@ -146,3 +141,43 @@ def pca_first_component(spark, d):
     m = embedding.principal_components(v, 1)
     y = embedding.project(v, m).crossJoin(F.broadcast(m.select(F.get("variance", 0).alias("variance"))))
     return y.select("id", F.round("variance", 5).alias("variance"), (F.round(F.get("y", 0), 4) + 0.0).alias("score"))
+
+
+# ---- layouts and graphs ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {EMB}, p AS (SELECT vec_id AS id, x[1:3] AS x FROM emb), lm AS (SELECT 0 AS n, list({{'id': id, 'x': x}} ORDER BY id)[1:1] AS ls FROM p UNION ALL
+SELECT n + 1, list_append(ls, far) FROM (SELECT n, ls, arg_max({{'id': id, 'x': x}}, (d, -id)) AS far FROM (SELECT n, ls, id, x, list_min(list_transform(ls, lambda l: list_distance(l.x, x))) AS d FROM lm, p WHERE n < 7) GROUP BY n, ls))
+SELECT id, k::INT AS landmark, round(list_distance(x, ls[k + 1].x), 5) AS away FROM p, (SELECT ls FROM lm WHERE n = 7), range(8) r(k)""")
+def landmark_layout(spark, d):
+    """Points of three components, placed anew by their distances to eight landmarks: they are as far from those as before."""
+    p = vectors(spark, d).select(F.col("vec_id").alias("id"), F.slice("x", 1, 3).alias("x"))
+    marks = embedding.landmarks(p, 8)
+    y = embedding.landmark_layout(p, 3, 8)
+    own = y.where(F.col("id").isin([k for k, _ in marks])).select(F.col("id").alias("mark"), F.col("y").alias("_m"))
+    place = F.array_position(F.array(*(F.lit(k) for k, _ in marks)), F.col("mark")) - 1
+    return rounded(y.crossJoin(F.broadcast(own)).select("id", place.cast("int").alias("landmark"), F.sqrt(embedding.squared(F.col("y"), F.col("_m"))).alias("away")), 5)
+
+
+@query(f"""WITH RECURSIVE {EMB}, nb AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.x, b.x) AS d FROM emb a JOIN emb b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) <= 10),
+ro AS (SELECT i, coalesce(min(d) FILTER (d > 0), 0) AS rho FROM nb GROUP BY i), le AS (SELECT i, list(greatest(0, d - rho) ORDER BY d, j) AS e FROM nb JOIN ro USING (i) GROUP BY i),
+h AS (SELECT 0 AS n, i, e, 0.0::DOUBLE AS low, NULL::DOUBLE AS high, 1.0::DOUBLE AS mid FROM le UNION ALL SELECT n + 1, i, e, low, high, CASE WHEN high IS NULL THEN low * 2 ELSE (low + high) / 2 END FROM
+(SELECT n, i, e, CASE WHEN wide THEN low ELSE mid END AS low, CASE WHEN wide THEN mid ELSE high END AS high FROM (SELECT *, list_sum(list_transform(e, lambda v: CASE WHEN v > 0 THEN exp(-v / mid) ELSE 1.0 END)) > log2(10) AS wide FROM h WHERE n < 64))),
+w AS (SELECT nb.i, nb.j, CASE WHEN d - rho > 0 THEN exp(-(d - rho) / mid) ELSE 1.0 END AS w FROM nb JOIN ro USING (i) JOIN h ON h.i = nb.i AND n = 64)
+SELECT least(i, j) AS i, greatest(i, j) AS j, round(sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END, 5) AS w FROM w GROUP BY least(i, j), greatest(i, j)""")
+def neighbour_graph(spark, d):
+    """Edges between each vector and its ten nearest, with their fuzzy weights."""
+    return rounded(embedding.fuzzy_graph(vectors(spark, d).select(F.col("vec_id").alias("id"), "x"), 10), 5)
+
+
+@query(f"WITH {HKS} SELECT mesh_id, vid, round(c1.c, 6) + 0.0 AS x, round(c2.c, 6) + 0.0 AS y, round(c3.c, 6) + 0.0 AS z, round(h, 6) AS value FROM hks JOIN modes c1 ON c1.vec_id = vid AND c1.m = 0 JOIN modes c2 ON c2.vec_id = vid AND c2.m = 1 JOIN modes c3 ON c3.vec_id = vid AND c3.m = 2 WHERE t_index = 2")
+def vertex_scalars(spark, d):
+    """A signature over the vertices, as a plot of surfaces shows it."""
+    h = harmonics.heat_kernel_signature(basis(spark, d), TIMES).where("t_index = 2").select("mesh_id", "vid", F.col("h").alias("value"))
+    return rounded(reporting.surface(coordinates(spark, d), h))
+
+
+@query("SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) + 0.0 AS x, round(embedding[2]::DOUBLE, 6) + 0.0 AS y FROM embeddings")
+def scatter_table(spark, d):
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "label", F.col("x").alias("y"))
+    return rounded(reporting.scatter(v, "id", "label"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 
 def windowed(events: DataFrame, time: str, keys: list[str], value: str, size: str = "1 day", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -39,6 +42,41 @@ def for_each_batch(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], o
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def first_seen(items: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """keys, time of the items that the stream meets for the first time, each key once: what is done is skipped by keyed state, however late it comes again.
+
+    Within a batch the earliest row of a key counts, so a batch that is run again emits the same rows.
+    """
+    schema = StructType([f for f in items.schema.fields if f.name in keys] + [StructField("_first", TimestampType())])
+    state = StructType([StructField("done", BooleanType())])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        least = None
+        for b in batches:
+            at = b["_at"].min()
+            least = at if least is None or at < least else least
+        if not held.exists and least is not None:
+            held.update((True,))
+            yield pd.DataFrame({**{f.name: [v] for f, v in zip(schema.fields, key, strict=False)}, "_first": [least]})
+
+    names = [f.name for f in schema.fields[:-1]]
+    rows = items.select(*names, F.col(time).cast("timestamp").alias("_at"))
+    found = rows.groupBy(*names).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return found.withColumnRenamed("_first", time)
+
+
+def first_seen_table(spark: SparkSession, table: DataFrame, keys: list[str], time: str, folder: str) -> DataFrame:
+    """Run `first_seen` over a table's rows, ordered by time in files, and once more over copies of the files: the result is a table of each key once."""
+    path, schema = f"{folder}/in", table.schema
+    table.orderBy(time).write.mode("append").parquet(path)
+    for _ in range(2):
+        found = first_seen(spark.readStream.schema(schema).parquet(path), keys, time)
+        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        table.write.mode("append").parquet(path)  # everything comes again, later
+    return spark.read.parquet(f"{folder}/out").select(*keys, F.col(time).alias("first"))
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now and return its result."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -108,3 +108,33 @@ def test_label_files(spark, tmp_path):
     tables.write_labels(rows, str(tmp_path), "well", "label", F.col("place"))
     got = {(r.path.rsplit("/", 1)[1], r.pos): r.label for r in tables.read_labels(spark, f"{tmp_path}/*.npy").collect()}
     assert got == {("w1.npy", 0): 3, ("w1.npy", 1): 9, ("w1.npy", 2): 5, ("w2.npy", 0): 7}
+
+
+def test_landmark_layout_of_many_rows(spark, monkeypatch):
+    """Beyond the rows that one task lays out, scaling goes by landmarks; few dimensions are kept exactly, and empty tables stay empty."""
+    from spectramesh.kernels import embed
+    from spectramesh.operators import embedding
+
+    monkeypatch.setattr(embed, "MOST", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2)) @ rng.normal(size=(2, 7)) + 5
+    df = spark.createDataFrame([("data", i, list(map(float, v))) for i, v in enumerate(x)], "kind string, id long, x array<double>")
+    y = np.array([r.y for r in embedding.layout(df, "mds").orderBy("id").collect()])
+    far = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert y.shape == (300, 2) and np.allclose(far(y), far(x), atol=1e-8)
+    with pytest.raises(ValueError, match="at most"):
+        embedding.layout(df, "tsne")
+    assert len(embedding.landmarks(df.where("id < 5"), 64)) == 5 and embedding.landmark_layout(df.limit(0)).collect() == []
+
+
+def test_first_seen_over_batches(spark, tmp_path):
+    """A key comes out once, whichever batch brings it again, early or late."""
+    from spectramesh.streaming import ingest
+
+    schema = "k string, n int, at timestamp"
+    batches = [[("a", 1, 5), ("a", 1, 3), ("b", 1, 9)], [("a", 1, 1), ("c", 2, 2)], [("b", 1, 9), ("b", 2, 4)]]
+    for b in batches:
+        spark.createDataFrame([(k, n, pd.Timestamp(2024, 1, 1, 0, m)) for k, n, m in b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = ingest.first_seen(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["k", "n"], "at").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r.k, r.n, r["at"].minute) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 1, 3), ("b", 1, 9), ("b", 2, 4), ("c", 2, 2)]
