@@ -109,9 +109,21 @@ def squared_length(coeffs: DataFrame, mesh: str = "mesh_id", weighted: bool = Tr
 
 
 def inner_product(a: DataFrame, b: DataFrame, mesh: str = "mesh_id") -> DataFrame:
-    """mesh, channel_a, channel_b, inner: sum of a b / (2 l + 1) over modes, for every channel of a with every one of b."""
-    left, right = a.select(mesh, "mode", F.col("channel").alias("channel_a"), F.col("c").alias("_a")), b.select(mesh, "mode", F.col("channel").alias("channel_b"), F.col("c").alias("_b"))
-    return left.join(right, [mesh, "mode"]).groupBy(mesh, "channel_a", "channel_b").agg(F.sum(F.col("_a") * F.col("_b") * degree_weight("mode")).alias("inner"))
+    """mesh, channel_a, channel_b, inner: sum of a b / (2 l + 1) over the modes of both, for every channel of a with every one of b.
+
+    A channel's coefficients are one array by mode, so a pair of channels is one row and its sum a fold: nothing is shuffled by pair. Pairs
+    without a mode in common are left out.
+    """
+
+    def lists(df: DataFrame, name: str, out: str) -> DataFrame:
+        held = df.groupBy(mesh, F.col("channel").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("mode", "c"))).alias("_m"), F.max("mode").alias("_last"))
+        return held.select(mesh, name, F.transform(F.sequence(F.lit(0), "_last"), lambda m: F.try_element_at("_m", m)).alias(out))
+
+    both = lists(a, "channel_a", "_a").join(lists(b, "channel_b", "_b"), mesh)
+    products = F.filter(F.zip_with("_a", "_b", lambda x, y: x * y), lambda v: v.isNotNull())
+    weighted = F.transform(F.zip_with("_a", "_b", lambda x, y: x * y), lambda v, m: F.coalesce(v * degree_weight(m), F.lit(0.0)))
+    found = both.where(F.size(products) > 0).select(mesh, "channel_a", "channel_b", F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v).alias("inner"))
+    return found
 
 
 def band_statistics(spectra: DataFrame, value: str = "power", near_rows: int = NEAR_ROWS) -> DataFrame:

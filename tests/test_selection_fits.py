@@ -1,5 +1,7 @@
 """Quantiles of all groups at once, drawn seeds, tall least squares, hashed noise, blocked nearest samples: against numpy and plain loops."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -134,7 +136,7 @@ def test_first_seen_over_batches(spark, tmp_path):
     schema = "k string, n int, at timestamp"
     batches = [[("a", 1, 5), ("a", 1, 3), ("b", 1, 9)], [("a", 1, 1), ("c", 2, 2)], [("b", 1, 9), ("b", 2, 4)]]
     for b in batches:
-        spark.createDataFrame([(k, n, pd.Timestamp(2024, 1, 1, 0, m)) for k, n, m in b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame([(k, n, datetime(2024, 1, 1, 0, m)) for k, n, m in b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         q = ingest.first_seen(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["k", "n"], "at").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted((r.k, r.n, r["at"].minute) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 1, 3), ("b", 1, 9), ("b", 2, 4), ("c", 2, 2)]
