@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,20 +134,25 @@ def read_meshes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A file that can't be read gives a row with its error instead of failing the job.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for at, data in zip(p["path"], p["content"], strict=True):
-                name = at.rstrip("/").rpartition("/")[2].rpartition(".")[0]
+    def triples(x: np.ndarray, names: str, kind: pa.DataType) -> pa.Array:
+        """One list of structs, from the columns of an array."""
+        parts = [pa.array(np.ascontiguousarray(x[:, k]), kind) for k in range(3)]
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.StructArray.from_arrays(parts, list(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.struct([(c, t) for c in names])) for names, t in (("xyz", pa.float64()), ("abc", pa.int32()))] + [pa.list_(pa.struct([("field", pa.string()), ("values", pa.list_(pa.float64()))]))]
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name, status, error = at.rstrip("/").rpartition("/")[2].rpartition(".")[0], "ok", None
                 try:
                     v, f, fields = parse(at, data)
-                    one = ([dict(zip("xyz", map(float, r))) for r in v], [dict(zip("abc", map(int, r))) for r in f], [{"field": k, "values": x.tolist()} for k, x in fields.items()], "ok", None)
+                    cols = [triples(np.asarray(v, float).reshape(-1, 3), "xyz", pa.float64()), triples(np.asarray(f, np.int32).reshape(-1, 3), "abc", pa.int32()), pa.array([[{"field": k, "values": np.asarray(x, float)} for k, x in fields.items()]], kinds[2])]
                 except Exception as e:  # any damage of a file is its row's error
-                    one = (None, None, None, "error", f"{type(e).__name__}: {e}")
-                out.append((name, at, *one))
-            yield pd.DataFrame(out, columns=["mesh_id", "path", "vertices", "faces", "fields", "status", "error"])
+                    cols, status, error = [pa.nulls(1, t) for t in kinds], "error", f"{type(e).__name__}: {e}"
+                one = [pa.array([name]), pa.array([at]), *cols, pa.array([status]), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays(one, ["mesh_id", "path", "vertices", "faces", "fields", "status", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, MESH_FILES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, MESH_FILES)
 
 
 def vertices(meshes: DataFrame) -> DataFrame:
