@@ -119,7 +119,10 @@ def seeds(points: DataFrame, k: int, key: str, vector: str = "x", seed: int = 42
 
 def kmeans(points: DataFrame, k: int, vector: str = "x", seed: int = 42, steps: int = 100, key: str | None = None, still: float = 1e-12) -> DataFrame:
     """Centres of k-means: cluster, center. Drawn seeds, then Lloyd steps until nothing moves. key: what tells points apart; without it, the vector."""
-    named = points.select(F.col(vector).alias("x"), (F.col(key) if key else F.to_json(F.struct(vector))).alias("key"))
+    from spectramesh.sources.tables import written
+
+    # Every round reads the points; what they are made from is computed once.
+    named = written(points.select(F.col(vector).alias("x"), (F.col(key) if key else F.to_json(F.struct(vector))).alias("key")), "points")
     return lloyd(named, seeds(named, k, "key", "x", seed), steps, "x", still)
 
 
@@ -219,14 +222,14 @@ class SpectralFeatures:
         rows = spectra.groupBy("id", "l").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "log"))), lambda s: s["log"]).alias("raw"))
         scaler = scaling.fit_array_scaler(rows, "raw")
         x = scaling.scale_array(rows, scaler, "raw", "x").drop("raw")
-        centers = kmeans(x, self.n_words, "x", self.seed) if centers is None else centers
+        centers = kmeans(x.withColumn("_key", F.concat_ws(":", "id", "l")), self.n_words, "x", self.seed, key="_key") if centers is None else centers
         sigma = bandwidth(x, centers)
         return encode(x, centers, sigma).drop("x"), centers, sigma, scaler
 
     def clusters(self, codes: DataFrame, centers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(id, code, cluster, distance; centers) of the flattened codes."""
         flat = flatten_codes(codes, "id", "l")
-        centers = kmeans(flat, self.n_clusters, "code", self.seed) if centers is None else centers
+        centers = kmeans(flat, self.n_clusters, "code", self.seed, key="id") if centers is None else centers
         return assign(flat, centers, "code"), centers
 
     def fit_transform(self, spectra: DataFrame, value: str = "power", method: str = "pca", components: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -37,5 +37,5 @@ def fit_vocabulary(basis: DataFrame, times: list[float], words: int = 8, seed: i
     h = signatures(basis, times, mesh)
     scaler = scaling.fit_array_scaler(h, "h")
     x = scaling.scale_array(h, scaler, "h", "x")
-    centers = clustering.kmeans(x, words, "x", seed)
+    centers = clustering.kmeans(x.withColumn("_key", F.concat_ws(":", mesh, "vid")), words, "x", seed, key="_key")
     return centers, scaler, clustering.bandwidth(x, centers)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spectramesh.functions import columns as C
 from spectramesh.operators import clustering, embedding, geometry, harmonics, iterate, leastsquares, quality, reporting, scaling
-from spectramesh.plans.queries import EDGES, EMB, HKS, LMAX, MODES, POLES, TIMES, _spheres, basis, coefficients, coordinates, grids, query, read, rounded, vectors
+from spectramesh.plans.queries import EDGES, EMB, HKS, LMAX, MODES, POLES, TIMES, _spheres, basis, coefficients, coordinates, grids, kmeans_ctes, query, read, rounded, vectors
 
 LAPLACE = (
     POLES
@@ -125,6 +125,17 @@ def extractor_unflatten(spark, d):
     return rounded(clustering.unflatten(clustering.flatten_codes(codes, "id", "l"), "id", 3).select("id", "l", "code"))
 
 
+@query(f"""WITH RECURSIVE {PRE}, raw AS (SELECT id, l // 4 AS l, list(ln(power + 1e-10) ORDER BY l % 4) AS y FROM band GROUP BY ALL), st AS (SELECT t, avg(y[t + 1]) AS mu, stddev_pop(y[t + 1]) AS sd FROM raw, range(4) r(t) GROUP BY t),
+sc AS MATERIALIZED (SELECT id, l, id || ':' || l AS key, list((y[t + 1] - mu) / sd ORDER BY t) AS x FROM raw, st GROUP BY ALL), {kmeans_ctes('words', 'sc', 3, 4)},
+wd AS (SELECT id, l, cluster, list_distance(x, center) AS d FROM sc, words), wsig AS (SELECT avg(d) AS s FROM (SELECT min(d) AS d FROM wd GROUP BY id, l)), wcode AS (SELECT id, l, list(exp(-d * d / (2 * s * s)) ORDER BY cluster) AS code FROM wd, wsig GROUP BY ALL),
+flat AS MATERIALIZED (SELECT id AS key, flatten(list(code ORDER BY l)) AS x FROM wcode GROUP BY id), {kmeans_ctes('whole', 'flat', 4, 6)}
+SELECT key AS id, arg_min(cluster, (list_distance(x, center), cluster)) AS cluster, round(min(list_distance(x, center)), 5) AS distance FROM flat, whole GROUP BY key""")
+def extractor_fit(spark, d):
+    """Both levels fitted from the bands alone: words of bands, codes, clusters of items, and each item's place in them."""
+    found, _ = clustering.SpectralFeatures(n_words=3, n_clusters=4).fit_transform(_bands(spark, d))
+    return rounded(found.select("id", "cluster", "distance"), 5)
+
+
 @query("SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS segments FROM customer GROUP BY 1")
 def ordered_distinct(spark, d):
     return read(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list("c_mktsegment").alias("s")).select("c_nationkey", geometry.ordered_distinct(F.col("s")).alias("segments"))

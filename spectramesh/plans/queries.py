@@ -516,30 +516,32 @@ def bof_spectrum(spark, d):
     return rounded(descriptors.code_spectrum(*_vocabulary(spark, d), LMAX))
 
 
-@query()
-def bof_vocabulary(spark, d):
-    return descriptors.fit_vocabulary(basis(spark, d), TIMES, 4)[0]
-
-
-def _kmeans_sql(k: int, seed: int = 42, steps: int = 60) -> str:
-    """Drawn seeds one after another, then steps as a recursive table of one row."""
-    draw = lambda j: f"((('0x' || substr(md5('{seed}:{j}:' || vec_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
-    sql = f"s0 AS MATERIALIZED (SELECT 0 AS k, x FROM emb ORDER BY -ln({draw(0)}), vec_id LIMIT 1)"
+def kmeans_ctes(name: str, points: str, k: int, dims: int, seed: int = 42, steps: int = 60) -> str:
+    """Tables up to `name` (cluster, center) from a table key, x: drawn seeds one after another, then steps as a recursive table of one row."""
+    draw = lambda j: f"((('0x' || substr(md5('{seed}:{j}:' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+    seeds = [f"{name}_s{j}" for j in range(k)]
+    sql = f"{seeds[0]} AS MATERIALIZED (SELECT 0 AS k, x FROM {points} ORDER BY -ln({draw(0)}), key LIMIT 1)"
     for j in range(1, k):
         sql += f""",
-s{j} AS MATERIALIZED (SELECT {j} AS k, x FROM (SELECT any_value(e.x) AS x, e.vec_id, min(list_distance(e.x, c.x) ** 2) AS r FROM emb e, (SELECT * FROM {" UNION ALL SELECT * FROM ".join(f"s{i}" for i in range(j))}) c GROUP BY e.vec_id) WHERE r > 0 ORDER BY -ln({draw(j)}) / r, vec_id LIMIT 1)"""
-    return f"""WITH RECURSIVE {EMB}, {sql}, l AS (SELECT 0 AS step, list(x ORDER BY k) AS cs FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(k))})
-UNION ALL SELECT step + 1, list(c ORDER BY k) FROM (SELECT step, k, list(v ORDER BY m) AS c FROM (SELECT step, k, m, avg(v) AS v FROM (SELECT step, k, unnest(x) AS v, unnest(range(64)) AS m FROM
-(SELECT step, x, list_position(d, list_min(d)) - 1 AS k FROM (SELECT step, x, list_transform(cs, lambda c: list_distance(c, x)) AS d FROM emb, l WHERE step < {steps}))) GROUP BY ALL) GROUP BY ALL) GROUP BY step)
-SELECT (k - 1)::INT AS cluster, list_transform(cs[k], lambda v: round(v, 6) + 0.0) AS center FROM l, range(1, {k + 1}) r(k) WHERE step = {steps}"""
+{seeds[j]} AS MATERIALIZED (SELECT {j} AS k, x FROM (SELECT any_value(e.x) AS x, e.key, min(list_distance(e.x, c.x) ** 2) AS r FROM {points} e, (SELECT * FROM {" UNION ALL SELECT * FROM ".join(seeds[:j])}) c GROUP BY e.key) WHERE r > 0 ORDER BY -ln({draw(j)}) / r, key LIMIT 1)"""
+    return f"""{sql}, {name}_l AS (SELECT 0 AS step, list(x ORDER BY k) AS cs FROM ({" UNION ALL ".join(f"SELECT * FROM {s}" for s in seeds)})
+UNION ALL SELECT step + 1, list(c ORDER BY k) FROM (SELECT step, k, list(v ORDER BY m) AS c FROM (SELECT step, k, m, avg(v) AS v FROM (SELECT step, k, unnest(x) AS v, unnest(range({dims})) AS m FROM
+(SELECT step, x, list_position(d, list_min(d)) - 1 AS k FROM (SELECT step, x, list_transform(cs, lambda c: list_distance(c, x)) AS d FROM {points}, {name}_l WHERE step < {steps}))) GROUP BY ALL) GROUP BY ALL) GROUP BY step),
+{name} AS MATERIALIZED (SELECT (k - 1)::INT AS cluster, cs[k] AS center FROM {name}_l, range(1, {k + 1}) r(k) WHERE step = {steps})"""
 
 
-@query(_kmeans_sql(6))
+@query(f"WITH RECURSIVE {EMB}, pts AS (SELECT vec_id AS key, x FROM emb), {kmeans_ctes('km', 'pts', 6, 64)} SELECT cluster, list_transform(center, lambda v: round(v, 6) + 0.0) AS center FROM km")
 def kmeans_vocabulary(spark, d):
     """Drawn seeds, and Lloyd steps until the centres stand still."""
     return rounded(clustering.kmeans(vectors(spark, d), 6, key="vec_id"))
 
 
+@query(f"WITH RECURSIVE {BOF}, pts AS MATERIALIZED (SELECT mesh_id || ':' || vid AS key, list(x ORDER BY t_index) AS x FROM sx GROUP BY mesh_id, vid), {kmeans_ctes('km', 'pts', 4, 4)} SELECT cluster, list_transform(center, lambda v: round(v, 5) + 0.0) AS center FROM km")
+def bof_vocabulary(spark, d):
+    """Words of the signatures of all meshes' vertices together."""
+    return rounded(descriptors.fit_vocabulary(basis(spark, d), TIMES, 4)[0], 5)
+
+
 # ---- neighbours and information -------------------------------------------------------------------------------------
 
 FIELDS = HKS + ", fx AS (SELECT a.mesh_id AS label, a.vid AS id, a.h AS x, b.h AS y, c.h AS z FROM hks a JOIN hks b USING (mesh_id, vid) JOIN hks c USING (mesh_id, vid) WHERE a.t_index = 0 AND b.t_index = 1 AND c.t_index = 2)"
