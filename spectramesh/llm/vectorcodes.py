@@ -69,12 +69,13 @@ def first_books(rows: DataFrame, parts: int, entries: int) -> np.ndarray:
 def next_books(rows: DataFrame, books: np.ndarray) -> np.ndarray:
     """One round: assign all parts, then floor the means of the entries that got some."""
     parts, entries, width = books.shape
+    sent = rows.sparkSession.sparkContext.broadcast(books)
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total = np.zeros((parts, entries), np.int64), np.zeros(books.shape, np.int64)
+        count, total = np.zeros((parts, entries), np.int64), np.zeros((parts, entries, width), np.int64)
         for b in batches:
             x = matrix(b.column(0), parts * width)
-            codes, _ = assign(x, books)
+            codes, _ = assign(x, sent.value)
             for p in range(parts):
                 np.add.at(count[p], codes[:, p], 1)
                 np.add.at(total[p], codes[:, p], x[:, p * width : (p + 1) * width])
@@ -107,13 +108,13 @@ def compress(vectors: DataFrame, scale: int = 1024, parts: int = 4, entries: int
     books = first_books(fit, parts, entries)
     for _ in range(rounds):
         books = next_books(fit, books)
-    width = books.shape[2]
+    width, sent = books.shape[2], spark.sparkContext.broadcast(books)
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths = b.column(2).value_lengths().to_numpy()
             good = lengths == parts * width
-            codes, far = assign(matrix(b.column(2).filter(pa.array(good)), parts * width), books)
+            codes, far = assign(matrix(b.column(2).filter(pa.array(good)), parts * width), sent.value)
             flat = pa.array(codes.astype(np.int32).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(good) * parts]), pa.int32()), flat, mask=pa.array(~good)) if len(good) else pa.array([], pa.list_(pa.int32()))
             error = np.zeros(len(good), np.int64)

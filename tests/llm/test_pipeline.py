@@ -40,3 +40,21 @@ def test_run(spark, data):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert got.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     assert P.ORACLE_SQL is None
+
+
+def test_hostile_tables(spark, data):
+    """No documents at all; and null, empty, repeated and long rows with columns whose names clash with the stages' own."""
+    clean = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, size int, k string, rep bigint"
+    kept = [(*r, 0.5, 1, "k", 7) for r in clean.collect()]
+    first = next(r for r in kept if len(r[1]) > 400)
+    odd = [(None, first[1] + " more words", "en", "s", 3, 0.0, 0, "", 0), (10**7, None, None, None, None, None, None, None, None), (10**7 + 1, "", "en", "", 0, 0.0, 0, "", 0), first, first, (first[0], "another text with the same key and other words in it", "en", "", 0, 0.0, 0, "", 0), (10**7 + 2, (first[1] + " ") * 300, "en", "", 0, 0.0, 0, "", 0)]
+    for rows in ([], kept + odd):
+        now = spark.createDataFrame(rows, schema)
+        for k, (_, f) in enumerate(P.STAGES):
+            out = f(spark, now, data)
+            assert k == 4 or out.columns == now.columns
+            now = out.cache()
+        assert (now.count() == 0) == (not rows)
+    ids = {r.doc_id for r in now.collect()}
+    assert ids <= {r[0] for r in kept + odd} and 10**7 not in ids and len(ids) > 30
