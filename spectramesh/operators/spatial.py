@@ -7,7 +7,7 @@ reach nor, when counting, wholly within. A point's own cell gives the first k di
 points could be, and every cell that this radius touches is searched, so the result is exact. That takes about n^1.5 pairs where the
 first two coordinates tell points apart; where they don't, all pairs are left.
 
-Points without a vector take no part. Equal distances go by id.
+Points without a vector, or with a null or NaN in it, take no part. Equal distances go by id.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def _picked(found: str) -> Column:
 
 def place(df: DataFrame, group: str, key: str, vector: str, alone: int = 256) -> DataFrame:
     """g, i, v, n (points of the group), cell - as a written table. Groups of up to `alone` points are one cell."""
-    rows = df.select(F.col(group).alias("g"), F.col(key).alias("i"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("i"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     first, second = F.get("v", 0), F.coalesce(F.get("v", 1), F.get("v", 0))
     m = F.when(F.col("n") <= alone, 1).otherwise(F.least(F.lit(STEPS - 1), F.ceil(F.pow("n", F.lit(0.25))).cast("int")))
     # A row per group, then one per strip: some n^0.25 for n points.
