@@ -28,3 +28,49 @@ def test_inner_products_of_blocks(spark, monkeypatch):
     got = {tuple(r[:3]): r[3] for r in found.collect()}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], equal_nan=True) for k in want)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
+def test_neighbours_of_long_vectors(spark, monkeypatch, metric):
+    """Copies across blocks, ties by id, two groups; a large group of long vectors doesn't go by cells of space."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 8)), 1)
+    rows = [("a", i, x[i % 60].tolist()) for i in range(150)] + [("b", i, x[i].tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, i long, x array<double>")
+    want = sorted(tuple(r) for r in information.neighbours(df, "g", "i", "x", 3, metric).collect())
+    assert sorted(tuple(r) for r in blocks.nearest(df, "g", "i", "x", 3, metric, least=20, most=20).collect()) == want
+    monkeypatch.setattr(spatial, "nearest", None)
+    assert sorted(tuple(r) for r in information.neighbours(df, "g", "i", "x", 3, metric, block=100).collect()) == want
+
+
+def test_points_are_never_broadcast(spark):
+    """Joins of a row or more per point are merged, however small the tables look."""
+    df = spark.range(400).select(F.lit(1).alias("g"), F.col("id").alias("i"), F.array(F.rand(1), F.rand(2)).alias("x"), F.lit(0.1).alias("r"))
+    placed = spatial.place(df, "g", "i", "x", alone=30)
+    for found in (spatial.nearest(placed, 3), spatial.within(placed, df.select("g", "i", "r"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") >= 2
+        assert not any("BroadcastHashJoin" in line and " i#" in line for line in plan.splitlines())
+
+
+def test_fits_take_the_steps_of_their_sql(spark, data, monkeypatch):
+    from spectramesh.operators import clustering
+    from spectramesh.plans import QUERIES
+
+    told, kept = [], clustering.kmeans
+    monkeypatch.setattr(clustering, "kmeans", lambda points, k, vector="x", seed=42, steps=100, key=None: told.append(steps) or kept(points, k, vector, seed, 1, key))
+    QUERIES["kmeans_vocabulary"](spark, data)
+    QUERIES["extractor_fit"](spark, data)
+    assert told == [60, 60, 60]
+
+
+def test_first_seen_by_batches(spark, tmp_path):
+    """Null keys and keys of earlier batches; a key is written once, with the least time of its first batch."""
+    from spectramesh.streaming import ingest
+
+    src, schema = f"{tmp_path}/in", "k long, at timestamp"
+    for rows in ([(1, 5), (1, 3), (None, 4)], [(1, 1), (2, 9), (None, 2)]):
+        spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias("at")).write.mode("append").parquet(src)
+        ingest.remember_first(spark.readStream.schema(schema).parquet(src), ["k"], "at", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("batch", "k", F.unix_seconds("at")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == [(0, 1, 3), (0, None, 4), (1, 2, 9)]
