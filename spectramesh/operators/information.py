@@ -106,8 +106,8 @@ def _around(df: DataFrame, group: str, key: str, vectors: list[str], k: int, lim
     found = spatial.nearest(placed, k, metric)
     mine, theirs = rows.drop("_all"), rows.select("g", F.col("i").alias("j"), *(F.col(f"_v{f}").alias(f"_w{f}") for f in range(len(vectors))))
     entry = F.struct("d", "j", *(spatial.METRICS[metric](f"_v{f}", f"_w{f}").alias(f"d{f}") for f in range(len(vectors))))
-    p = found.join(mine, ["g", "i"]).join(theirs, ["g", "j"]).groupBy("g", "i").agg(F.array_sort(F.collect_list(entry)).alias("_k"))
-    p = p.join(placed.select("g", "i", "n"), ["g", "i"]).withColumns(dict(at))
+    p = spatial.beside(spatial.beside(found, mine, ["g", "i"]), theirs, ["g", "j"]).groupBy("g", "i").agg(F.array_sort(F.collect_list(entry)).alias("_k"))
+    p = spatial.beside(p, placed.select("g", "i", "n"), ["g", "i"]).withColumns(dict(at))
     if at:
         p = spatial.written(p)
     for f, (r, _) in enumerate(at):
@@ -115,7 +115,7 @@ def _around(df: DataFrame, group: str, key: str, vectors: list[str], k: int, lim
         cells = placed if len(vectors) == 1 else spatial.place(rows, "g", "i", f"_v{f}")
         n = spatial.within(cells, p.select("g", "i", F.col(r).alias("r")), strict)
         own = F.when(F.col(r) > 0, 1).otherwise(0) if strict else F.lit(1)
-        p = p.join(n.select("g", "i", F.col("n").alias("_n")), ["g", "i"]).withColumn(f"_c{f}", F.col("_n") - own).drop("_n")
+        p = spatial.beside(p, n.select("g", "i", F.col("n").alias("_n")), ["g", "i"]).withColumn(f"_c{f}", F.col("_n") - own).drop("_n")
     return p
 
 
@@ -135,7 +135,7 @@ def mutual_information(df: DataFrame, group: str, key: str, x: str, y: str, k: i
     if variant not in ("reference", "paper"):
         raise ValueError(f"unknown variant {variant!r}: reference, paper")
     if method == 1:
-        p = _around(df, group, key, [x, y], k, lambda near: [F.element_at(near, k)["d"]] * 2, block=block)
+        p = _around(df, group, key, [x, y], k, lambda near: [F.get(near, k - 1)["d"]] * 2, block=block)
         more = F.when(F.col("_r0") > 0, 2).otherwise(1) if variant == "reference" else F.lit(1)
         shift = F.lit(0.0)
     else:
@@ -150,7 +150,7 @@ def multivariate_mutual_information(df: DataFrame, group: str, key: str, variabl
     """group, mi, mi_raw of two or more vector columns: psi(k) + (m - 1) psi(N) - sum of mean psi(n_i + 1), strict counts with the point itself."""
     if len(variables) < 2:
         raise ValueError("two variables at least")
-    p = _around(df, group, key, variables, k, lambda near: [F.element_at(near, k)["d"]] * len(variables), block=block)
+    p = _around(df, group, key, variables, k, lambda near: [F.get(near, k - 1)["d"]] * len(variables), block=block)
     own = F.when(F.col("_r0") > 0, 1).otherwise(0)
     sums = [digamma(F.col(f"_c{f}") + own + 1, base) for f in range(len(variables))]
     total = sums[0]
@@ -177,7 +177,7 @@ def entropy(df: DataFrame, group: str, key: str, x: str, d: int, k: int = 3, blo
 
     c_d is the unit ball's volume, but one for d = 1. A k-th distance of zero leaves its point out of the mean.
     """
-    p = _around(df, group, key, [x], k, lambda near: [], metric="euclidean", block=block).select("g", "n", F.log(F.element_at("_k", k)["d"]).alias("_l"))
+    p = _around(df, group, key, [x], k, lambda near: [], metric="euclidean", block=block).select("g", "n", F.log(F.get("_k", k - 1)["d"]).alias("_l"))
     raw = -digamma(F.lit(k)) + digamma(F.max("n")) + math.log(ball_volume(d)) + d * F.avg("_l")
     return p.groupBy("g").agg(raw.alias("entropy")).withColumnRenamed("g", group)
 
@@ -191,7 +191,7 @@ def mi_matrix(long: DataFrame, group: str, key: str, field: str, vector: str, k:
     if large(long.withColumn("_gf", F.struct(group, field)), "_gf", block):
         one = long.select(F.col(group).alias("_g"), F.col(key).alias("_i"), F.col(field).alias("_f"), F.col(vector).alias("_x"))
         other = one.select("_g", "_i", F.col("_f").alias("_h"), F.col("_x").alias("_y"))
-        both = one.join(other, ["_g", "_i"]).where("_f >= _h").select(F.struct("_g", "_f", "_h").alias("_of"), "_i", "_x", "_y")
+        both = spatial.beside(one, other, ["_g", "_i"]).where("_f >= _h").select(F.struct("_g", "_f", "_h").alias("_of"), "_i", "_x", "_y")
         found = mutual_information(both, "_of", "_i", "_x", "_y", k, 2, base, block=block)
         return _mirrored(found.select(F.col("_of._g").alias(group), F.col("_of._f").alias("field_i"), F.col("_of._h").alias("field_j"), "mi", "mi_raw"), group)
     rows = long.withColumn("_gf", F.struct(F.col(group).alias("g"), F.col(field).alias("f")))

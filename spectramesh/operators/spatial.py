@@ -23,6 +23,11 @@ METRICS = {"chebyshev": chebyshev, "euclidean": euclidean}
 STEPS = 256
 
 
+def beside(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables with a row or more per point: sorted and merged, since a broadcast would take the points through the driver."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _borders(coordinate: Column) -> Column:
     return F.percentile_approx(coordinate, F.array(*(F.lit(j / STEPS) for j in range(1, STEPS))), 4 * STEPS)
 
@@ -87,31 +92,31 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """g, i, j, d, rank (1..k) of each placed point's k nearest others of its group."""
     d = METRICS[metric]
     b = points.select("g", F.col("cell").alias("other"), F.col("i").alias("j"), F.col("v").alias("w"))
-    own = points.join(b.withColumnRenamed("other", "cell"), ["g", "cell"]).where("i <> j").select("g", "cell", "i", "j", d("v", "w").alias("d"))
+    own = beside(points, b.withColumnRenamed("other", "cell"), ["g", "cell"]).where("i <> j").select("g", "cell", "i", "j", d("v", "w").alias("d"))
     first = own.groupBy("g", "cell", "i").agg(F.get(F.array_sort(F.collect_list("d")), k - 1).alias("r"))
-    reach = written(points.join(first, ["g", "cell", "i"], "left").select("g", "cell", "i", "v", F.coalesce("r", F.lit(float("inf"))).alias("r")))
+    reach = written(beside(points, first, ["g", "cell", "i"], "left").select("g", "cell", "i", "v", F.coalesce("r", F.lit(float("inf"))).alias("r")))
     boxes = _boxes(reach, F.max("r").alias("r_max"))
     near = boxes.join(_others(boxes), "g").where((F.col("cell") != F.col("other")) & (_gap(_box(), _box("o_"), metric) <= F.col("r_max"))).drop(*_BOX, "many", "flat", "r_max")
-    asks = reach.join(near, ["g", "cell"]).where(_gap(_here(), _box("o_"), metric) <= F.col("r")).select("g", "i", "v", "r", "other")
-    more = asks.join(b, ["g", "other"]).select("g", "i", "j", "r", d("v", "w").alias("d"))
-    both = own.join(reach.select("g", "i", "r"), ["g", "i"]).select("g", "i", "j", "r", "d").unionByName(more).where(F.col("d") <= F.col("r"))
+    asks = beside(reach, near, ["g", "cell"]).where(_gap(_here(), _box("o_"), metric) <= F.col("r")).select("g", "i", "v", "r", "other")
+    more = beside(asks, b, ["g", "other"]).select("g", "i", "j", "r", d("v", "w").alias("d"))
+    both = beside(own, reach.select("g", "i", "r"), ["g", "i"]).select("g", "i", "j", "r", "d").unionByName(more).where(F.col("d") <= F.col("r"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("g", "i").orderBy("d", "j"))).where(F.col("rank") <= k).select("g", "i", "j", "d", "rank")
 
 
 def within(points: DataFrame, radii: DataFrame, strict: bool = True, metric: str = "chebyshev") -> DataFrame:
     """g, i, n: placed points of the group (itself included) within the radius of each point. radii: g, i, r."""
     d, inside = METRICS[metric], (lambda a, b: a < b) if strict else (lambda a, b: a <= b)
-    rows = written(points.join(radii.select("g", "i", "r"), ["g", "i"]).select("g", "i", "v", "cell", "r"))
+    rows = written(beside(points, radii.select("g", "i", "r"), ["g", "i"]).select("g", "i", "v", "cell", "r"))
     boxes = _boxes(points)
     cells = rows.groupBy("g", "cell").agg(F.min("r").alias("r_min"), F.max("r").alias("r_max")).join(boxes, ["g", "cell"])
     pairs = cells.join(_others(boxes), "g").where(inside(_gap(_box(), _box("o_"), metric), F.col("r_max")))
     whole = F.col("flat") & F.col("o_flat") & inside(_span(_box(), _box("o_"), metric), F.col("r_min"))
     pairs = pairs.select("g", "cell", "other", "o_many", *(f"o_{c}" for c in _BOX), (F.col("flat") & F.col("o_flat")).alias("exact"), whole.alias("whole"))
     sums = pairs.where("whole").groupBy("g", "cell").agg(F.sum("o_many").alias("k"))
-    asks = rows.join(pairs.where("not whole"), ["g", "cell"]).where(inside(_gap(_here(), _box("o_"), metric), F.col("r")))
+    asks = beside(rows, pairs.where("not whole"), ["g", "cell"]).where(inside(_gap(_here(), _box("o_"), metric), F.col("r")))
     asks = asks.withColumn("all", F.col("exact") & inside(_span(_here(), _box("o_"), metric), F.col("r")))
     b = points.select("g", F.col("cell").alias("other"), F.col("v").alias("w"))
-    hits = asks.where("not all").join(b, ["g", "other"]).where(inside(d("v", "w"), F.col("r"))).select("g", "i", F.lit(1).cast("bigint").alias("k"))
+    hits = beside(asks.where("not all"), b, ["g", "other"]).where(inside(d("v", "w"), F.col("r"))).select("g", "i", F.lit(1).cast("bigint").alias("k"))
     some = rows.join(sums, ["g", "cell"], "left").select("g", "i", F.coalesce("k", F.lit(0)).cast("bigint").alias("k"))
     found = some.unionByName(asks.where("all").select("g", "i", F.col("o_many").alias("k"))).unionByName(hits)
     return found.groupBy("g", "i").agg(F.sum("k").alias("n"))
