@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType, TimestampType
 
 
 def windowed(events: DataFrame, time: str, keys: list[str], value: str, size: str = "1 day", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -65,15 +65,36 @@ def first_seen(items: DataFrame, keys: list[str], time: str) -> DataFrame:
     return found.withColumnRenamed("_first", time)
 
 
+def remember_first(stream: DataFrame, keys: list[str], time: str, out: str, checkpoint: str) -> StreamingQuery:
+    """`first_seen` for any number of keys: each micro-batch writes the keys that no earlier batch's folder in `out` has, with their least time.
+
+    A batch that is run again compares itself with the folders before its own and replaces that one.
+    """
+
+    def sink(df: DataFrame, number: int) -> None:
+        now = df.groupBy(*keys).agg(F.min(F.col(time).cast("timestamp")).alias(time))
+        if number:
+            kinds = {f.name: f.dataType for f in df.schema.fields}
+            schema = StructType([StructField(k, kinds[k]) for k in keys] + [StructField("batch", LongType())])
+            done = df.sparkSession.read.schema(schema).parquet(out).where(F.col("batch") < number).select(*(F.col(k).alias(f"_{k}") for k in keys))
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            now = now.join(done.hint("merge"), same, "left_anti")
+        now.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_seen_table(spark: SparkSession, table: DataFrame, keys: list[str], time: str, folder: str) -> DataFrame:
-    """Run `first_seen` over a table's rows, ordered by time in files, and once more over copies of the files: the result is a table of each key once."""
+    """Run `remember_first` over a table's rows, ordered by time in files, and once more over copies of the files: the result is a table of each key once."""
+    table = table.select(*keys, time)
     path, schema = f"{folder}/in", table.schema
     table.orderBy(time).write.mode("append").parquet(path)
-    for _ in range(2):
-        found = first_seen(spark.readStream.schema(schema).parquet(path), keys, time)
-        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-        table.write.mode("append").parquet(path)  # everything comes again, later
+    for run in range(2):
+        if run:
+            table.write.mode("append").parquet(path)  # everything comes again, later
+        remember_first(spark.readStream.schema(schema).parquet(path), keys, time, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*keys, F.col(time).alias("first"))
 
 
