@@ -74,3 +74,20 @@ def test_first_seen_by_batches(spark, tmp_path):
         ingest.remember_first(spark.readStream.schema(schema).parquet(src), ["k"], "at", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").select("batch", "k", F.unix_seconds("at")).collect()
     assert sorted((tuple(r) for r in got), key=repr) == [(0, 1, 3), (0, None, 4), (1, 2, 9)]
+
+
+def test_landmark_rounds_stay_small(spark):
+    """Thirty landmarks of long vectors: no expression grows with them; equals go by the smallest key."""
+    from spectramesh.operators import embedding
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 16))
+    df = spark.createDataFrame([(i, x[i % 100].tolist()) for i in range(200)] + [(900, None)], "id long, x array<double>")
+    chosen, near = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < 30:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    assert [k for k, _ in embedding.landmarks(df, 30)] == chosen
+    y = embedding.landmark_layout(df, 2, 30)
+    assert len(y._jdf.queryExecution().toString()) < 5000
+    assert {r.id: r.y for r in y.collect()}[900] == [None, None]
