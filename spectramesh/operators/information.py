@@ -3,7 +3,7 @@
 All operate on a table with a group, an id and vector columns (arrays of double). In groups of up to `BLOCK` points all pairs are built by
 an equality join, and everything that an estimate needs of a point is folded from its one sorted list of distances. If any group is larger,
 neighbours and counts come from cells of space (`spatial`), some n^1.5 pairs in the one to three dimensions that the estimators work in, and no
-list holds more than a cell's points. Neighbours of longer vectors come from blocks of all pairs (`blocks`). All ways give the same rows. Ties are broken by id; estimates come with the value before clamping at zero.
+list holds more than a cell's points. Neighbours of vectors beyond three components come from blocks of all pairs (`blocks`). All ways give the same rows. Ties are broken by id; estimates come with the value before clamping at zero.
 """
 
 from __future__ import annotations
@@ -44,12 +44,27 @@ def large(df: DataFrame, group: str, block: int = BLOCK) -> bool:
     return (df.groupBy(group).count().agg(F.max("count")).first()[0] or 0) > block
 
 
+def _extent(df: DataFrame, group: str, vector: str) -> tuple[int, int]:
+    """Points of the largest group, and components of the longest vector."""
+    most, width = df.groupBy(group).agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("w")).agg(F.max("n"), F.max("w")).first()
+    return most or 0, width or 0
+
+
+def neighbour_lists(df: DataFrame, group: str, key: str, vector: str, k: int, metric: str = "euclidean") -> DataFrame:
+    """g, i, near: `neighbours` as one array of (d, j) for each point that has any, by rank."""
+    if _extent(df, group, vector)[1] > FEW:
+        return blocks.nearest_lists(df, group, key, vector, k, metric)
+    found = neighbours(df, group, key, vector, k, metric).withColumnRenamed(group, "g")
+    return found.groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))
+
+
 def neighbours(df: DataFrame, group: str, key: str, vector: str, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """group, i, j, d, rank (1..k) of each point's k nearest others in its group; equals by id."""
-    most, width = df.groupBy(group).agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("w")).agg(F.max("n"), F.max("w")).first()
-    if (most or 0) > block:
-        found = blocks.nearest(df, group, key, vector, k, metric) if (width or 0) > FEW else spatial.nearest(spatial.place(df, group, key, vector), k, metric)
-        return found.withColumnRenamed("g", group)
+    most, width = _extent(df, group, vector)
+    if width > FEW:
+        return blocks.nearest(df, group, key, vector, k, metric).withColumnRenamed("g", group)
+    if most > block:
+        return spatial.nearest(spatial.place(df, group, key, vector), k, metric).withColumnRenamed("g", group)
     pairs = pair_distances(df, group, key, [vector], metric).where("i <> j")
     order = Window.partitionBy("g", "i").orderBy(f"d_{vector}", "j")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("g").alias(group), "i", "j", F.col(f"d_{vector}").alias("d"), "rank")
