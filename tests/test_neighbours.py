@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from spectramesh.operators import blocks, information
+from spectramesh.operators import blocks, embedding, information
 
 
 def tables():
@@ -54,3 +54,27 @@ def test_each_pair_of_blocks_is_met_once(spark, metric):
     for rows in (found, information.neighbours(df, "g", "i", "x", 3, metric)):
         assert "CoGroup" not in rows._jdf.queryExecution().toString() and "FlatMapGroupsInArrow" in rows._jdf.queryExecution().toString()
         assert sorted((r.i, r.j, r.d) for r in rows.collect()) == want
+
+
+def test_graph_is_weighed_in_arrow_batches(spark):
+    """Memberships add up to log2(k); equal points have one; weights come from lists of neighbours, without a row per step of halving."""
+    x = np.random.default_rng(6).normal(size=(80, 6))
+    x[40:45] = x[40]
+    found = embedding.fuzzy_graph(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"), 8)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "lambdafunction(exp" not in plan.lower()
+    got = {(r.i, r.j): r.w for r in found.collect()}
+    w, pairs = np.zeros((80, 80)), set()
+    for i in range(80):
+        mine = [(j, d) for a, j, d in plainly(x, np.arange(80), 8, "euclidean") if a == i]
+        rho = min(d for _, d in mine if d > 0)
+        e = [max(0.0, d - rho) for _, d in mine]
+        low, high, mid = 0.0, math.inf, 1.0
+        for _ in range(64):
+            low, high = (low, mid) if sum(math.exp(-v / mid) for v in e) > 3 else (mid, high)
+            mid = low * 2 if math.isinf(high) else (low + high) / 2
+        pairs |= {(min(i, j), max(i, j)) for j, _ in mine}
+        w[i, [j for j, _ in mine]] = [math.exp(-v / mid) for v in e]
+    both = w + w.T - w * w.T
+    assert got.keys() == pairs
+    assert all(abs(both[k] - v) < 1e-9 for k, v in got.items())
