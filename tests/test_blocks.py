@@ -1,6 +1,7 @@
 """Blocks of all pairs against plain sums and sorts: copies, missing entries, vectors of many components."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,40 @@ def test_inner_products_of_blocks(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
 
 
+def test_inner_products_by_strips(spark, monkeypatch):
+    """Blocks of several strips, a table with itself and with another one, whose channels have names, other modes, and groups of its own."""
+    rng = np.random.default_rng(4)
+    rows = [(g, ch, m, float(np.round(rng.normal(), 3))) for g, n in (("m", 40), ("n", 3), ("o", 1)) for ch in range(n) for m in range(ch % 3, 4 + ch % 5)]
+    more = [(g, f"b{ch}", m + 1, 0.5 * c) for g, ch, m, c in rows if g != "o" and ch % 4] + [("p", "b", 0, 1.0)]
+    a, b = spark.createDataFrame(rows, "mesh_id string, channel long, mode int, c double"), spark.createDataFrame(more, "mesh_id string, channel string, mode int, c double")
+    kept = blocks.products
+    monkeypatch.setattr(blocks, "products", lambda *args: kept(*args, least=7, most=7, strip=3))
+    for other, theirs in ((a, rows), (b, more)):
+        want = {}
+        for g, x, m, c in rows:
+            for h, y, k, d in theirs:
+                if (g, m) == (h, k):
+                    want[g, x, y] = want.get((g, x, y), 0.0) + c * d / (2 * int(m**0.5) + 1)
+        found = [tuple(r) for r in harmonics.inner_product(a, other).collect()]
+        got = {r[:3]: r[3] for r in found}
+        assert len(got) == len(found) and got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_rows_meet_few_blocks(spark, monkeypatch):
+    """However large a group, each row is sent to as many blocks: what is shuffled grows with rows, not with pairs."""
+    kept, held = blocks.met, []
+
+    def met(*args):
+        held.append(kept(*args[:4], lambda left, right: pa.table({"n": [left.num_rows + right.num_rows]}), "n long"))
+        return kept(*args)
+
+    monkeypatch.setattr(blocks, "met", met)
+    for n in (8000, 32000):
+        df = spark.range(n).select(F.lit("m").alias("mesh_id"), F.col("id").alias("channel"), F.lit(0).alias("mode"), F.lit(1.0).alias("c"))
+        harmonics.inner_product(df, df)
+    assert [h.agg(F.sum("n")).first()[0] for h in held] == [7 * 8000, 7 * 32000]
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
 def test_neighbours_of_long_vectors(spark, monkeypatch, metric):
     """Copies across blocks, ties by id, two groups; a large group of long vectors doesn't go by cells of space."""
